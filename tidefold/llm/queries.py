@@ -22,12 +22,31 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import langid
+
+    return langid.identify(read_table(spark, sf_dir, "documents"), "doc_id", declared="lang", host="source")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import quality
+
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import packing
 
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import token_store
 
@@ -35,8 +54,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op5_packing, op9_token_store)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op4_quality, op5_packing, op8_toxicity, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidefold.llm import quality
+
+    return {"op4_quality": quality.oracle()}
