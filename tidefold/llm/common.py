@@ -80,7 +80,7 @@ def open_input(uri: str):
     return files.open_input_file(path)
 
 
-def row_slices(batch, most_bytes: int = 8 << 20, column: str = "text"):
+def row_slices(batch, most_bytes: int = 4 << 20, column: str = "text"):
     """Parts of an Arrow batch whose texts stay near `most_bytes`; a single long text is a part of its own."""
     import numpy as np
     import pyarrow.compute as pc

@@ -2,8 +2,9 @@
 
 A byte-level BPE tokenizer splits text before it merges, and a space that a non-space follows
 always starts a new split.  So a text is cut at such spaces, every distinct chunk is encoded by
-the library once, and a document's ids are its chunks' ids in a row.  Texts where a space is
-followed by white space or by nothing go to the library whole.
+the library once, and a document's ids are its chunks' ids in a row.  New chunks are encoded many
+at a time, in one text: a token that begins with a space then begins a chunk.  Texts where a space
+is followed by white space or by nothing go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ import os
 from array import array
 from itertools import chain
 
+import numpy as np
+
 CACHE_CHUNKS = 500_000
+TOGETHER = 100
 
 
 class ChunkEncoder:
@@ -26,6 +30,8 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # the library's sign for a space
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
 
@@ -33,6 +39,16 @@ class ChunkEncoder:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Put the ids of chunks that follow a space into the cache."""
+        blocks = [chunks[i:i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
+        for block, raw in zip(blocks, self._ids([" " + " ".join(b) for b in blocks]), strict=True):
+            starts = (np.flatnonzero(self.begins[np.frombuffer(raw, dtype="<u4")]) * 4).tolist()
+            if len(starts) == len(block):
+                self.after_space.update(zip(block, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+            else:
+                self.after_space.update(zip(block, self._ids([f" {w}" for w in block]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.after_space) > CACHE_CHUNKS:
@@ -42,8 +58,7 @@ class ChunkEncoder:
         new = list({w[0] for w in split}.difference(self.at_start))
         self.at_start.update(zip(new, self._ids(new), strict=True))
         new = set(chain.from_iterable([w[1:] for w in split])).difference(self.after_space)
-        good = [w for w in new if w and not w[0].isspace()]
-        self.after_space.update(zip(good, self._ids([f" {w}" for w in good]), strict=True))
+        self._learn([w for w in new if w and not w[0].isspace()])
         get = self.after_space.__getitem__
         out = []
         for text, words in zip(texts, split, strict=True):
