@@ -97,3 +97,13 @@ def row_slices(batch, most_bytes: int = 4 << 20, column: str = "text"):
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether `df` has at most `most_rows` rows; stops reading beyond that."""
     return df.limit(most_rows + 1).count() <= most_rows
+
+
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of `df`, those with the smallest hash of `key` (ties by limit).
+
+    The bound is found on the key column alone, so no task sends wide rows to be compared.
+    """
+    h = F.xxhash64(key)
+    bound = df.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(bound)).limit(most) if bound is not None else df.limit(0)

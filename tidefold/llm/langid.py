@@ -8,7 +8,7 @@ log P(lang | everything) = weight * log P(text | lang)      n-gram naive Bayes,
 The prior of a host is a Dirichlet mean that backs off from host to registered domain to the
 whole corpus; its counts of declared languages come from one grouped aggregation over all rows,
 and a row's own declaration is taken out of them again before they speak about that row.  The
-text model is fitted from at most `sample` rows, the smallest by a hash of their text.
+text model is fitted from at most `sample` rows, the smallest by a hash of their key.
 
 A row is kept unless the evidence leaves its language open: its text has no letters, or the
 best posterior is under `least`, or the language isn't one of `wanted` (None: any).
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import row_slices, small_enough
+from tidefold.llm.common import hash_sample, row_slices, small_enough
 from tidefold.llm.ngrams import code_points, hashed
 
 BITS = 17
@@ -112,7 +112,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", text.alias("text"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"))
 
 
-def with_priors(rows: DataFrame, declared: str, host: str, sample: int = SAMPLE, text: str = "text") -> tuple[DataFrame, Model]:
+def with_priors(rows: DataFrame, key: str, declared: str, host: str, sample: int = SAMPLE, text: str = "text") -> tuple[DataFrame, Model]:
     """`rows` with the count arrays of each row's host and domain (_host, _domain), and the fitted model."""
     said, at = F.lower(F.col(declared)), F.lower(F.col(host))
     light = rows.select(said.alias("l"), at.alias("h")).where(F.col("l").isNotNull() & (F.col("l") != ""))
@@ -125,8 +125,8 @@ def with_priors(rows: DataFrame, declared: str, host: str, sample: int = SAMPLE,
     # one row per host: joined by broadcast while they are few, by shuffle beyond that
     few = F.broadcast if small_enough(hosts, MOST_HOSTS) else (lambda x: x)
     out = rows.withColumns({"_h": at, "_d": registered_domain(at)}).join(few(hosts), "_h", "left").join(few(domains), "_d", "left").drop("_h", "_d")
-    picked = rows.select(said.alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("l").isin(languages) if languages else F.lit(False))
-    table = picked.withColumn("k", F.xxhash64("t")).orderBy("k", "l").limit(sample).select("l", "t").toArrow()
+    picked = rows.select(F.col(key).alias("k"), said.alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("l").isin(languages) if languages else F.lit(False))
+    table = hash_sample(picked, "k", sample).select("l", "t").toArrow()
     return out, fit(table.column("t").to_pylist(), table.column("l").to_pylist(), languages, [by[lang] for lang in languages])
 
 
@@ -146,7 +146,7 @@ def judge(model: Model, text: str | None, declared: str | None, host: str | None
 
 def identify(rows: DataFrame, key: str, declared: str, host: str, least: float = 0.5, wanted: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
     """Per row: the key, lang, text_lang, confidence, kept."""
-    joined, model = with_priors(rows.select(F.col(key).cast("long").alias("key"), "text", F.col(declared).alias("declared"), F.col(host).alias("host")), "declared", "host", sample)
+    joined, model = with_priors(rows.select(F.col(key).cast("long").alias("key"), "text", F.col(declared).alias("declared"), F.col(host).alias("host")), "key", "declared", "host", sample)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -163,9 +163,9 @@ def identify(rows: DataFrame, key: str, declared: str, host: str, least: float =
     return out.withColumnRenamed("key", key)
 
 
-def keep_identified(docs: DataFrame, declared: str = "lang", host: str = "source", least: float = 0.5, wanted: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
+def keep_identified(docs: DataFrame, key: str = "doc_id", declared: str = "lang", host: str = "source", least: float = 0.5, wanted: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of `docs`, unchanged, whose language is identified."""
-    joined, model = with_priors(docs, declared, host, sample)
+    joined, model = with_priors(docs, key, declared, host, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n = len(docs.columns)
 

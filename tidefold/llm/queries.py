@@ -40,6 +40,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import near_dup
+
+    return near_dup.components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import toxicity
 
@@ -54,7 +60,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op4_quality, op5_packing, op8_toxicity, op9_token_store)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op4_quality, op5_packing, op6_near_dup, op8_toxicity, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:

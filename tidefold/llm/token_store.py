@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import token_chunks
-from tidefold.llm.common import fresh_path, materialize, open_input, open_output, read_range, row_slices, text_or_empty
+from tidefold.llm.common import fresh_path, hash_sample, materialize, open_input, open_output, read_range, row_slices, text_or_empty
 
 MAGIC = b"TFTOK01\n"
 HEAD = "<8sII32s"
@@ -43,7 +43,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample: i
     """
     import zstandard
 
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), text_or_empty().alias("text")).orderBy("h").limit(sample).collect()
+    rows = hash_sample(docs.select("doc_id", text_or_empty().alias("text")), "doc_id", sample).select("text").collect()
     raw = token_chunks.load(tokenizer_path).encode([r.text for r in rows])
     raw = [narrow(r, width) for r in raw]
     pieces = [r[i:i + PIECE] for r in raw for i in range(0, min(len(r), 64 * PIECE), PIECE)]

@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         part = marked.where((F.col("toxic") == 1) == F.lit(value == 1)).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(per_class).drop("h")
         picked = part if picked is None else picked.unionByName(part)
     ids = F.broadcast(picked)  # 2 x per_class ids at most
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * per_class)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").limit(2 * per_class)
     sample = rows.select("text", "toxic").toArrow()
     return fit(sample.column("text").to_pylist(), sample.column("toxic").to_numpy(), shares.ones / shares.n)
 
