@@ -59,11 +59,26 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import warc
+
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op4_quality, op5_packing, op6_near_dup, op8_toxicity, op9_token_store)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op4_quality, op5_packing, op6_near_dup, op8_toxicity, op9_token_store, op10_warc)}
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM f"""
 
 
 def oracle_sql() -> dict[str, str]:
     from tidefold.llm import quality
 
-    return {"op4_quality": quality.oracle()}
+    return {"op4_quality": quality.oracle(), "op10_warc": OP10_SQL}
