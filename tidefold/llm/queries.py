@@ -28,6 +28,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"), "doc_id", declared="lang", host="source")
 
 
+def op3_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import embeddings
+
+    return embeddings.components(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import quality
 
@@ -46,6 +52,12 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import html_text
+
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import toxicity
 
@@ -66,7 +78,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op4_quality, op5_packing, op6_near_dup, op8_toxicity, op9_token_store, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op3_embedding_dup, op4_quality, op5_packing, op6_near_dup, op7_html_text, op8_toxicity, op9_token_store, op10_warc)}
 
 
 OP10_SQL = """
