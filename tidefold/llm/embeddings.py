@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import materialize
-from tidefold.llm.graph import Forest, connected_components, sorted_groups
+from tidefold.llm.graph import Parts, connected_components, sorted_groups
 
 LIMIT = 0.95
 MISSED = 1e-5
@@ -180,12 +180,13 @@ def links_in_bands(coded: DataFrame, width: int, bands: int, kind: str, limit: f
                     a += cid[at[some]].tolist()
                     b += [None] * len(some)
                     count += linked[some].astype(np.int64).tolist()
-                    forest = Forest(len(at))
-                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                        if forest.join(x, y):
-                            a.append(int(cid[at[x]]))
-                            b.append(int(cid[at[y]]))
-                            count.append(0)
+                    parts = Parts(len(at))
+                    for s in np.split(np.arange(len(i)), np.arange(1000, len(i), 1000)):
+                        for k in s[parts.of[i[s]] != parts.of[j[s]]].tolist():
+                            if parts.join(i[k], j[k]):
+                                a.append(int(cid[at[i[k]]]))
+                                b.append(int(cid[at[j[k]]]))
+                                count.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(count, pa.int64())], names=["cid", "other", "n"])
 
     return full.mapInArrow(run, "cid long, other long, n long")

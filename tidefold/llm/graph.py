@@ -58,22 +58,17 @@ def sorted_groups(batches, key: str):
         yield whole(held)
 
 
-class Forest:
-    """Union-find over 0 ... n - 1; `join` says whether it joined two trees."""
+class Parts:
+    """Disjoint parts of 0 ... n - 1 by label (`of`); `join` says whether it joined two."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        import numpy as np
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+        self.of = np.arange(n)
 
     def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
+        a, b = self.of[i], self.of[j]
+        if a == b:
             return False
-        self.up[max(i, j)] = min(i, j)
+        self.of[self.of == max(a, b)] = min(a, b)
         return True

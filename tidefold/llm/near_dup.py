@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import materialize, row_slices, small_enough, text_or_empty
-from tidefold.llm.graph import Forest, connected_components, sorted_groups
+from tidefold.llm.graph import Parts, connected_components, sorted_groups
 
 WORDS = 5
 TOKENS = 128
 ROOTS = 12
-NODE = 500
+NODE = 4000
 LEVELS = 5
-CLUSTER = 1000
-BLOCK = 500
+CLUSTER = 4000
+BLOCK = 2000
+MEMBER_BYTES = 16 << 10  # of shingles; larger sets count as several members of a cluster
 LIKELY = 0.6  # the limit of 0.75 less four standard errors of the estimate from 128 tokens
 NEAR_PIVOT = 0.5
 SLACK = 0.35  # link distance 0.25 and what estimates may err
@@ -134,14 +135,15 @@ def token_matrix(column) -> np.ndarray:
 def likely_forest(matrix: np.ndarray, sizes: np.ndarray, left: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that may reach the limit; with `left`, of pairs across that border only."""
     m = len(matrix)
-    forest, out, least = Forest(m), [], LIKELY * TOKENS
+    parts, out, least = Parts(m), [], LIKELY * TOKENS
     for i in range(m - 1 if left is None else left):
         start = i + 1 if left is None else left
-        same = np.count_nonzero(matrix[start:] == matrix[i], axis=1)
         n = sizes[start:]
-        for j in np.flatnonzero((same >= least) & (4 * np.minimum(n, sizes[i]) >= 3 * np.maximum(n, sizes[i]))).tolist():
-            if forest.join(i, start + j):
-                out.append((i, start + j))
+        apart = np.flatnonzero((parts.of[start:] != parts.of[i]) & (4 * np.minimum(n, sizes[i]) >= 3 * np.maximum(n, sizes[i])))
+        same = np.count_nonzero(matrix[start + apart] == matrix[i], axis=1)
+        for j in (start + apart[same >= least]).tolist():
+            if parts.join(i, j):
+                out.append((i, j))
     return out
 
 
@@ -285,7 +287,7 @@ def confirmed_forest(matrix: np.ndarray, sets: list[np.ndarray], border: int | N
     """A spanning forest of the confirmed links; with `border`, of those across it.  The likeliest pairs come first."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    forest, out, least = Forest(m), [], LIKELY * TOKENS
+    parts, out, least = Parts(m), [], LIKELY * TOKENS
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(m - 1 if border is None else border):
         start = i + 1 if border is None else border
@@ -296,11 +298,14 @@ def confirmed_forest(matrix: np.ndarray, sets: list[np.ndarray], border: int | N
     if not found:
         return out
     same, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
-    for k in np.argsort(-same, kind="stable").tolist():
-        i, j = int(left[k]), int(right[k])
-        if forest.root(i) != forest.root(j) and linked(sets[i], sets[j]):
-            forest.join(i, j)
-            out.append((i, j))
+    order = np.argsort(-same, kind="stable")
+    for a in range(0, len(order), 5000):
+        some = order[a:a + 5000]
+        for k in some[parts.of[left[some]] != parts.of[right[some]]].tolist():
+            i, j = int(left[k]), int(right[k])
+            if parts.of[i] != parts.of[j] and linked(sets[i], sets[j]):
+                parts.join(i, j)
+                out.append((i, j))
     return out
 
 
@@ -358,7 +363,8 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
 
     found = None
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy("cluster").agg(F.count("*").alias("members"), F.min("cid").alias("pivot"))
+        bulk = F.ceil(F.sum(F.octet_length("shingles")) / MEMBER_BYTES).cast("long")
+        sizes = rows.groupBy("cluster").agg(F.greatest(F.count("*"), bulk).alias("members"), F.min("cid").alias("pivot"))
         large_sizes = sizes.where(F.col("members") > CLUSTER)
         few = small_enough(large_sizes, MOST_PIVOTS)
         tagged = rows.join(F.broadcast(large_sizes) if few else large_sizes, "cluster", "left")
