@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NO_HANDLER = "no handler registered"
-OUTCOME = "success boolean, retryable boolean, error string"
 
 
 class PermanentError(Exception):
@@ -58,11 +58,7 @@ class Registry:
                 new = [pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "success", "retryable", "error"])
 
-        from pyspark.sql.types import _parse_datatype_string
-
-        schema = jobs.schema
-        for field in _parse_datatype_string(OUTCOME):
-            schema = schema.add(field)
+        schema = T.StructType([*jobs.schema, T.StructField("success", T.BooleanType()), T.StructField("retryable", T.BooleanType()), T.StructField("error", T.StringType())])
         return jobs.mapInArrow(work, schema)
 
 
@@ -141,7 +137,7 @@ def reservations_in_order(attempts: DataFrame, initial: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.string())], names=[*batch.schema.names, "verdict"])
 
     rows = attempts.repartition("sku").sortWithinPartitions("sku", "lsn")
-    return rows.mapInArrow(run, attempts.schema.add("verdict", "string"))
+    return rows.mapInArrow(run, T.StructType([*attempts.schema, T.StructField("verdict", T.StringType())]))
 
 
 def first_capture(attempts: DataFrame, order: list[str]) -> DataFrame:

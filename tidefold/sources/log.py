@@ -1,17 +1,16 @@
 """Binary segments as a Spark source and sink.
 
-    spark.dataSource.register(LogSource)
-    spark.read.format("ledger_log").load(folder)             # one partition per segment
-    append(records, folder)                                  # assign LSNs and write segments
+    replay(spark, folder, from_lsn=n)                        # one partition per segment
+    write_segments(records, folder)                          # records with LSNs, see retention.assign_lsn
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidefold.schema import RECORD
 from tidefold.sources import codec, files
@@ -26,19 +25,13 @@ class Segment(InputPartition):
 
 
 class LogReader(DataSourceReader):
-    """Segments in LSN order; bounds on lsn leave out whole segments by their names."""
+    """Segments in LSN order; the bounds leave out whole segments by their names, and then single records.
 
-    def __init__(self, folder: str):
-        self.folder, self.low, self.high = folder, 0, None
+    Bounds are options and not pushed filters: a relation keeps its reader, so a filter pushed by one
+    query of a DataFrame would also hold for the next one."""
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if getattr(f, "attribute", None) == ("lsn",) and isinstance(f.value, int):
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                    self.low = max(self.low, f.value)
-                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                    self.high = f.value if self.high is None else min(self.high, f.value)
-            yield f  # rows are still checked one by one
+    def __init__(self, folder: str, low: int = 0, high: int | None = None):
+        self.folder, self.low, self.high = folder, low, high
 
     def partitions(self) -> list[Segment]:
         found = sorted((lsn, name) for name in files.listing(self.folder) if (lsn := codec.segment_lsn(name)) is not None)
@@ -52,6 +45,8 @@ class LogReader(DataSourceReader):
     def read(self, partition: Segment) -> Iterator[tuple]:
         job_fields = RECORD["job"].dataType.names
         for r in codec.read_segment(files.read_bytes(partition.path), partition.last)[0]:
+            if r["lsn"] < self.low or self.high is not None and r["lsn"] > self.high:
+                continue
             job = r.get("job")
             yield tuple((tuple(job[n] for n in job_fields) if job else None) if n == "job" else r.get(n) for n in RECORD.names)
 
@@ -65,7 +60,15 @@ class LogSource(DataSource):
         return RECORD
 
     def reader(self, schema) -> LogReader:
-        return LogReader(self.options["path"].rstrip("/"))
+        high = self.options.get("to_lsn")
+        return LogReader(self.options["path"].rstrip("/"), int(self.options.get("from_lsn", 0)), int(high) if high else None)
+
+
+def replay(spark: SparkSession, folder: str, from_lsn: int = 0, to_lsn: int | None = None) -> DataFrame:
+    """Records from an LSN on, in a DataFrame; segments wholly outside the bounds aren't opened."""
+    spark.dataSource.register(LogSource)
+    reader = spark.read.format("ledger_log").option("from_lsn", from_lsn)
+    return (reader if to_lsn is None else reader.option("to_lsn", to_lsn)).load(folder)
 
 
 def next_lsn(folder: str) -> int:
