@@ -392,7 +392,8 @@ def components(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     clusters = connected_components(likely_edges(classes)).select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
     members = materialize(classes.select("cid", "doc_id", "tokens").join(clusters, "cid"), "clusters")
-    links = connected_components(confirmed_edges(full_sets(docs, members))).select(F.col("node").alias("cid"), F.col("label").alias("component"))
+    sets = materialize(full_sets(docs, members), "sets")
+    links = connected_components(confirmed_edges(sets)).select(F.col("node").alias("cid"), F.col("label").alias("component"))
     named = classes.select("cid", "doc_id").join(links, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "component").select("cid", "component_id")
