@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import row_slices, text_or_empty
+from tidefold.llm.common import map_arrow, row_slices, text_or_empty
 
 NONE = np.int64(1 << 40)
 CACHE_WORDS = 400_000
@@ -217,4 +217,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return map_arrow(rows, run, schema + (", ids array<int>" if with_ids else ""))

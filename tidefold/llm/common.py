@@ -80,6 +80,17 @@ def open_input(uri: str):
     return files.open_input_file(path)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches bounded by bytes as well: 10,000 rows of text may be any size."""
+    spark = df.sparkSession
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(4 << 20))
+    return df.mapInArrow(function, schema)
+
+
 def row_slices(batch, most_bytes: int = 4 << 20, column: str = "text"):
     """Parts of an Arrow batch whose texts stay near `most_bytes`; a single long text is a part of its own."""
     import numpy as np

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import materialize
+from tidefold.llm.common import map_arrow, materialize
 from tidefold.llm.graph import Parts, connected_components, sorted_groups
 
 LIMIT = 0.95
@@ -88,7 +88,7 @@ def classes(rows: DataFrame, kind: str) -> DataFrame:
             names = [None if r is None else xxhash.xxh3_64_intdigest(units_of([r], kind).tobytes()) - (1 << 63) for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(names, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "cid", "vector"])
 
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, cid long, vector binary")
+    return map_arrow(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "vec_id long, cid long, vector binary")
 
 
 def by_length(raw: list[bytes]):
@@ -114,7 +114,7 @@ def encode(found: DataFrame, width: int, bands: int, kind: str) -> DataFrame:
                     signs[i], keys[i] = code[k].tobytes(), names[k]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("copies"), batch.column("vector"), pa.array(signs, pa.binary()), pa.array(factors, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], names=["cid", "copies", "vector", "signs", "factor", "keys"])
 
-    return found.mapInArrow(run, "cid long, copies long, vector binary, signs binary, factor double, keys array<long>")
+    return map_arrow(found, run, "cid long, copies long, vector binary, signs binary, factor double, keys array<long>")
 
 
 def close_pairs(units: np.ndarray, signs: np.ndarray, factors: np.ndarray, border: int | None, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def links_in_bands(coded: DataFrame, width: int, bands: int, kind: str, limit: f
                                 count.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(count, pa.int64())], names=["cid", "other", "n"])
 
-    return full.mapInArrow(run, "cid long, other long, n long")
+    return map_arrow(full, run, "cid long, other long, n long")
 
 
 def components(vectors: DataFrame, limit: float = LIMIT, missed: float = MISSED) -> DataFrame:

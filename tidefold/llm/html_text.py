@@ -24,7 +24,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import row_slices
+from tidefold.llm.common import map_arrow, row_slices
 
 # Fixed values of HTML: elements without end tag, with raw text, inside a line; what start tags close.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,4 +261,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return map_arrow(rows, run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import hash_sample, row_slices, small_enough
+from tidefold.llm.common import hash_sample, map_arrow, row_slices, small_enough
 from tidefold.llm.ngrams import code_points, hashed
 
 BITS = 17
@@ -159,7 +159,7 @@ def identify(rows: DataFrame, key: str, declared: str, host: str, least: float =
                 lang, text_lang, sure, kept = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lang, pa.string()), pa.array(text_lang, pa.string()), pa.array(sure, pa.float64()), pa.array(kept, pa.bool_())], names=["key", "lang", "text_lang", "confidence", "kept"])
 
-    out = joined.select("key", "text", "declared", "host", "_host", "_domain").mapInArrow(run, "key long, lang string, text_lang string, confidence double, kept boolean")
+    out = map_arrow(joined.select("key", "text", "declared", "host", "_host", "_domain"), run, "key long, lang string, text_lang string, confidence double, kept boolean")
     return out.withColumnRenamed("key", key)
 
 
@@ -178,4 +178,4 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", declared: str = "lang"
                 kept = [judge(shared.value, *row, least, wanted)[3] for row in zip(*columns, strict=True)]
                 yield batch.filter(pa.array(kept, pa.bool_())).select(list(range(n)))
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_host", "_domain").mapInArrow(run, docs.schema)
+    return map_arrow(joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_host", "_domain"), run, docs.schema)

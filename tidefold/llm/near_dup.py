@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import materialize, row_slices, small_enough, text_or_empty
+from tidefold.llm.common import map_arrow, materialize, row_slices, small_enough, text_or_empty
 from tidefold.llm.graph import Parts, connected_components, sorted_groups
 
 WORDS = 5
@@ -96,6 +96,11 @@ def tokens(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def small_tokens(t: np.ndarray) -> bytes:
+    """A byte of each token."""
+    return (mix(t) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def root_nodes(t: np.ndarray) -> np.ndarray:
     return mix(t[:ROOTS] + M3 * np.arange(1, ROOTS + 1, dtype=np.uint64)).view(np.int64)
 
@@ -121,11 +126,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                     cid.append(a)
                     name.append(b)
                     roots.append(root_nodes(t))
-                    small.append((mix(t) & np.uint64(255)).astype(np.uint8).tobytes())
+                    small.append(small_tokens(t))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(name, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "cid", "name", "roots", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, cid long, name long, roots array<long>, tokens binary")
+    return map_arrow(rows, run, "doc_id long, n_shingles long, cid long, name long, roots array<long>, tokens binary")
 
 
 def token_matrix(column) -> np.ndarray:
@@ -167,7 +172,7 @@ def compare_nodes(rows: DataFrame, key: str = "node") -> DataFrame:
                     b.append(cid[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return deal(rows.select(key, "cid", "n", "tokens"), key).mapInArrow(run, "a long, b long")
+    return map_arrow(deal(rows.select(key, "cid", "n", "tokens"), key), run, "a long, b long")
 
 
 def block_pairs(rows: DataFrame, key: str, members: str) -> DataFrame:
@@ -200,7 +205,7 @@ def compare_blocks(rows: DataFrame, key: str, members: str, judge_pairs) -> Data
 
     pairs = block_pairs(rows, key, members)
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return pairs.repartition(n, "pair").sortWithinPartitions("pair", "second").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.repartition(n, "pair").sortWithinPartitions("pair", "second"), run, "a long, b long")
 
 
 def likely_blocks(batch, start: int, stop: int, border: int | None):
@@ -247,7 +252,7 @@ def with_estimates(large: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(same / TOKENS, pa.float64())], names=[*batch.schema.names[:5], "s"])
 
     rows = large.join(pivots, "node").select("node", "cid", "pivot", "n", "tokens", "of_pivot")
-    return rows.mapInArrow(run, "node long, cid long, pivot long, n long, tokens binary, s double")
+    return map_arrow(rows, run, "node long, cid long, pivot long, n long, tokens binary, s double")
 
 
 def relieve(rows: DataFrame, linked: float, slack: float, key: str = "node") -> DataFrame:
@@ -314,9 +319,9 @@ def as_sets(column) -> list[np.ndarray]:
 
 
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """cluster, cid, tokens and the full set of each representative in `members` (doc_id, cid, cluster, tokens)."""
-    ids = members.select(F.col("doc_id").alias("rep"), "cid", "cluster", "tokens")
-    if small_enough(ids, MOST_IDS):  # some 200 bytes each; beyond that texts and ids meet by shuffle
+    """cluster, cid, tokens and the full set of each representative in `members` (doc_id, cid, cluster)."""
+    ids = members.select(F.col("doc_id").alias("rep"), "cid", "cluster")
+    if small_enough(ids, MOST_IDS):  # three longs each; beyond that texts and ids meet by shuffle
         ids = F.broadcast(ids)
 
     def run(batches):
@@ -324,14 +329,17 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in row_slices(whole):
-                sets, mine = [shingle_set(t) for t in batch.column("text").to_pylist()], []
-                for s, cid in zip(sets, batch.column("cid").to_pylist(), strict=True):
-                    mine.append(len(s) > 0 and set_names(s)[0] == cid)  # else another text under the same doc_id
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("cluster", "cid", "tokens")], pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "cid", "tokens", "shingles"]).filter(pa.array(mine, pa.bool_()))
+                rows = []
+                for cluster, cid, text in zip(*[batch.column(c).to_pylist() for c in ("cluster", "cid", "text")], strict=True):
+                    s = shingle_set(text)
+                    if len(s) and set_names(s)[0] == cid:  # else another text under the same doc_id
+                        rows.append((cluster, cid, small_tokens(tokens(s)), s.tobytes()))
+                clusters, cids, small, sets = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int64()), pa.array(cids, pa.int64()), pa.array(small, pa.binary()), pa.array(sets, pa.binary())], names=["cluster", "cid", "tokens", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cluster", "cid", "tokens", "text")
-    return rows.mapInArrow(run, "cluster long, cid long, tokens binary, shingles binary")
+    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cluster", "cid", "text")
+    return map_arrow(rows, run, "cluster long, cid long, tokens binary, shingles binary")
 
 
 def confirmed_edges(rows: DataFrame) -> DataFrame:
@@ -368,7 +376,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
         large_sizes = sizes.where(F.col("members") > CLUSTER)
         few = small_enough(large_sizes, MOST_PIVOTS)
         tagged = rows.join(F.broadcast(large_sizes) if few else large_sizes, "cluster", "left")
-        edges = deal(tagged.where(F.col("members").isNull()).select("cluster", "cid", "tokens", "shingles"), "cluster").mapInArrow(small, "a long, b long")
+        edges = map_arrow(deal(tagged.where(F.col("members").isNull()).select("cluster", "cid", "tokens", "shingles"), "cluster"), small, "a long, b long")
         large = tagged.where(F.col("members").isNotNull())
         more = large_sizes.limit(1).count() > 0
         if more and level == LEVELS:
@@ -376,7 +384,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
         elif more:
             pivots = large.where(F.col("cid") == F.col("pivot")).groupBy("cluster").agg(F.first("shingles").alias("of_pivot"))
             met = large.join(F.broadcast(pivots) if few else pivots, "cluster").select("cluster", "cid", "pivot", "tokens", "shingles", "of_pivot")
-            met = materialize(met.mapInArrow(against_pivot, "cluster long, cid long, pivot long, tokens binary, shingles binary, s double"), f"pivots-{level}")
+            met = materialize(map_arrow(met, against_pivot, "cluster long, cid long, pivot long, tokens binary, shingles binary, s double"), f"pivots-{level}")
             edges = edges.unionByName(met.where((F.col("s") >= 0.75) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
             rows = relieve(met, 0.75, 0.25, "cluster").select("cluster", "cid", "tokens", "shingles")
         found = edges if found is None else found.unionByName(edges)
@@ -391,7 +399,7 @@ def components(docs: DataFrame) -> DataFrame:
     classes = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
     classes = materialize(classes, "classes")
     clusters = connected_components(likely_edges(classes)).select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
-    members = materialize(classes.select("cid", "doc_id", "tokens").join(clusters, "cid"), "clusters")
+    members = materialize(classes.select("cid", "doc_id").join(clusters, "cid"), "clusters")
     sets = materialize(full_sets(docs, members), "sets")
     links = connected_components(confirmed_edges(sets)).select(F.col("node").alias("cid"), F.col("label").alias("component"))
     named = classes.select("cid", "doc_id").join(links, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

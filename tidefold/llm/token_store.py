@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import token_chunks
-from tidefold.llm.common import fresh_path, hash_sample, materialize, open_input, open_output, read_range, row_slices, text_or_empty
+from tidefold.llm.common import fresh_path, hash_sample, map_arrow, materialize, open_input, open_output, read_range, row_slices, text_or_empty
 
 MAGIC = b"TFTOK01\n"
 HEAD = "<8sII32s"
@@ -154,7 +154,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, wi
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [path], "n_docs": pa.array([len(index)], pa.int64()), "n_ids": pa.array([before], pa.int64())})
 
-    return materialize(rows.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "tokens-manifest")
+    return materialize(map_arrow(rows, run, "part long, path string, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -188,7 +188,7 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
                 store.handle.close()
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return files.repartition(spread, "path").mapInArrow(run, schema)
+    return map_arrow(files.repartition(spread, "path"), run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, spark: SparkSession | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import fresh_path, materialize, open_input, open_output, read_range, row_slices, small_enough
+from tidefold.llm.common import fresh_path, map_arrow, materialize, open_input, open_output, read_range, row_slices, small_enough
 
 LEAST = 100
 BLOCK = 1000
@@ -129,7 +129,7 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", lea
         if out is not None:
             out.close()
 
-    return materialize(with_refers_to(pages, least).mapInArrow(run, CAPTURE), "captures")
+    return materialize(map_arrow(with_refers_to(pages, least), run, CAPTURE), "captures")
 
 
 def index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
@@ -166,7 +166,7 @@ def index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(first, pa.string()), pa.array(where, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["part", "first_key", "path", "offset", "length"])
 
     rows = captures.select("key", "page_id", "archive", "offset", "length").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return materialize(rows.mapInArrow(run, "part long, first_key string, path string, offset long, length long"), "directory")
+    return materialize(map_arrow(rows, run, "part long, first_key string, path string, offset long, length long"), "directory")
 
 
 def read_block(path: str, offset: int, length: int) -> list[list]:
@@ -234,11 +234,11 @@ def read(directory: DataFrame, with_payload: bool = False) -> DataFrame:
                     keep = 6 if with_payload else 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:keep], types[:keep], strict=True)], names=names[:keep])
 
-    found = directory.select("path", "offset", "length").repartition(n, "path", "offset").mapInArrow(lines, CAPTURE)
+    found = map_arrow(directory.select("path", "offset", "length").repartition(n, "path", "offset"), lines, CAPTURE)
     # a stretch of 64 MB of an archive goes to one task, front to back
     found = found.select("archive", "offset", "length").repartition(n, "archive", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("archive", "offset")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return found.mapInArrow(records, schema + (", payload binary" if with_payload else ""))
+    return map_arrow(found, records, schema + (", payload binary" if with_payload else ""))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
