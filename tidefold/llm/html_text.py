@@ -34,6 +34,8 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 HOLDS = frozenset("ul ol dl table td th article section div body blockquote figure form main aside nav header footer".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
@@ -102,12 +104,12 @@ class Page:
                 if tag in INLINE:
                     self._in_link = self._in_link and tag != "a"
                     continue
-                self._flush()
-                for i in range(len(self._stack) - 1, 0, -1):
-                    other = self.tag[self._stack[i]]
-                    if other == tag or len(tag) == 2 and tag[0] == "h" == other[0] and len(other) == 2 and tag[1].isdigit() and other[1].isdigit():
-                        del self._stack[i:]
-                        break
+                heading = tag in HEADINGS
+                at_open = next((i for i in range(len(self._stack) - 1, 0, -1) if (other := self.tag[self._stack[i]]) == tag or heading and other in HEADINGS), 0)
+                if at_open or tag == "p":  # other end tags without a start tag mean nothing
+                    self._flush()
+                if at_open:
+                    del self._stack[at_open:]
                 continue
             if tag in RAW and not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)

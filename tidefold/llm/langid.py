@@ -85,12 +85,12 @@ def suffix_language(host: str | None) -> str | None:
 def fit(texts: list[str], declared: list[str], languages: list[str], totals: list[int]) -> Model:
     """Naive Bayes over hashed n-grams; how far declarations can be trusted is read off the same rows."""
     k = len(languages)
-    counts = np.zeros((1 << BITS, k))
+    counts = np.zeros((1 << BITS, max(k, 1)))
     for text, lang in zip(texts, declared, strict=True):
         if lang in languages:
             found = hashed(code_points(text), LENGTHS, BITS)
             counts[:, languages.index(lang)] += np.bincount(found, minlength=1 << BITS)
-    rate = counts + 0.5
+    rate = counts[:, :k] + 0.5 if k else counts + 0.5
     log_rate = np.log(rate / rate.sum(axis=0))
     model = Model(languages, (log_rate - log_rate.mean(axis=1, keepdims=True)).astype(np.float32), totals=np.asarray(totals, dtype=np.float64))
     agree = [languages[int(model.text_evidence(t)[0].argmax())] == d for t, d in zip(texts, declared, strict=True) if d in languages and _letter(t)]
@@ -165,17 +165,20 @@ def identify(rows: DataFrame, key: str, declared: str, host: str, least: float =
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", declared: str = "lang", host: str = "source", least: float = 0.5, wanted: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of `docs`, unchanged, whose language is identified."""
-    joined, model = with_priors(docs, key, declared, host, sample)
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the columns are called
+    key, text, declared, host = (f"c{names.index(c)}" for c in (key, "text", declared, host))
+    joined, model = with_priors(numbered, key, declared, host, sample, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(docs.columns)
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in row_slices(whole):
-                columns = [batch.column(c).to_pylist() for c in ("text", declared, host, "_host", "_domain")]
+            for batch in row_slices(whole, column=text):
+                columns = [batch.column(c).to_pylist() for c in (text, declared, host, "_host", "_domain")]
                 kept = [judge(shared.value, *row, least, wanted)[3] for row in zip(*columns, strict=True)]
-                yield batch.filter(pa.array(kept, pa.bool_())).select(list(range(n)))
+                yield batch.filter(pa.array(kept, pa.bool_())).select(numbered_columns).rename_columns(names)
 
-    return map_arrow(joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_host", "_domain"), run, docs.schema)
+    numbered_columns = list(range(len(names)))
+    return map_arrow(joined.select(*numbered.columns, "_host", "_domain"), run, docs.schema)

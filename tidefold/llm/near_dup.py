@@ -415,4 +415,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = materialize(components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     if small_enough(gone, MOST_IDS):  # 8 bytes each; beyond that by shuffle
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -9,7 +9,7 @@ The dictionary lies beside the files as `dictionary.zstd`; a reader refuses anot
 hash.  With the index a short document is one ranged read.
 
 Defined results: null text is empty, a document of the end id only; repeated doc_ids are kept as
-documents of their own, ordered by the ids' checksum among each other; null doc_id sorts first; an
+documents of their own, ordered by a hash of their texts among each other; null doc_id sorts first; an
 empty table gives no files and no rows.
 """
 
@@ -20,7 +20,7 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import token_chunks
@@ -98,7 +98,7 @@ class StoreFile:
         return list(range(int(np.searchsorted(column, doc_id, "left")), int(np.searchsorted(column, doc_id, "right"))))
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, width: int = 2, partitions: int | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Write `docs` (doc_id, text) as token files below `folder`; the manifest: part, path, n_docs, n_ids.
 
     Rows are range-partitioned by doc_id, so files follow each other in doc_id order.  Each task
@@ -106,13 +106,15 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, wi
     executor's task is simply run again.
     """
     spark = docs.sparkSession
+    width = 2 if max(len(token_chunks.load(tokenizer_path).begins), end_id + 1) <= 1 << 16 else 4
     dictionary = train_dictionary(docs, tokenizer_path, width)
     with open_output(f"{folder}/dictionary.zstd") as f:
         f.write(dictionary)
     shared = spark.sparkContext.broadcast(dictionary)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text")]  # of rows that repeat a doc_id, too: they may be many
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches):
         import uuid
@@ -124,18 +126,6 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, wi
         encoder, pack = token_chunks.load(tokenizer_path), codec(shared.value)[0].compress
         end = struct.pack("<I", end_id)
         path, out, index, at, before = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok", None, [], HEAD_BYTES, 0
-        held: list[tuple[int, int, bytes]] = []  # documents of the doc_id that was last seen, to order repeated ones
-
-        def flush():
-            nonlocal at, before
-            for doc, _, ids in sorted(held):
-                frame = pack(narrow(ids, width))
-                out.write(frame)
-                index.append((doc, before, len(ids) // 4, at, len(frame)))
-                at += len(frame)
-                before += len(ids) // 4
-            held.clear()
-
         for whole in batches:
             for batch in row_slices(whole):
                 if out is None:
@@ -143,12 +133,12 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, wi
                     out.write(struct.pack(HEAD, MAGIC, 1, width, hashlib.sha256(shared.value).digest()))
                 ids = encoder.encode(batch.column("text").to_pylist())
                 for doc, raw in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                    doc = NULL_ID if doc is None else doc
-                    if held and held[-1][0] != doc:
-                        flush()
-                    held.append((doc, zlib.crc32(raw), raw + end))
+                    frame = pack(narrow(raw + end, width))
+                    out.write(frame)
+                    index.append((NULL_ID if doc is None else doc, before, len(raw) // 4 + 1, at, len(frame)))
+                    at += len(frame)
+                    before += len(raw) // 4 + 1
         if out is not None:
-            flush()
             raw = np.array(index, dtype="<i8").tobytes()
             out.write(raw + struct.pack(FOOT, len(index), at, zlib.crc32(raw), MAGIC))
             out.close()
@@ -191,7 +181,7 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     return map_arrow(files.repartition(spread, "path"), run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, spark: SparkSession | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write all of `docs` to a new folder in the shared storage and read the files back."""
-    folder = fresh_path(spark or docs.sparkSession, "tokens")
+    folder = fresh_path(docs.sparkSession, "tokens")
     return read(write(docs, tokenizer_path, folder), folder)

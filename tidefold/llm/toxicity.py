@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a hashed n-gram of 4 or 5 characters anywhere in the whole text.
+A feature is the presence of a hashed n-gram of 4 to 6 characters anywhere in the whole text.
 Its value is the log ratio of its smoothed document frequencies under label 1 and label 0; a
 logistic regression is then fitted on the scaled features.  The model is fitted on the driver
 from at most 2 x `per_class` labelled rows, the smallest by a hash of doc_id in each class, and
@@ -19,12 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import row_slices, text_or_empty
+from tidefold.llm.common import map_arrow, row_slices, text_or_empty
 from tidefold.llm.ngrams import code_points, hashed
 
 BITS = 20
-LENGTHS = (4, 5)
+LENGTHS = (4, 5, 6)
 PER_CLASS = 2500
+LEAST = 11.0  # of the log-likelihood ratio, chance exceeds it once in a thousand times
 FOLDS = 5
 
 
@@ -49,7 +50,18 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def fit(texts: list[str], labels: np.ndarray, base_rate: float, bits: int = BITS, lengths: tuple[int, ...] = LENGTHS, smoothing: float = 1.0, ridge: float = 0.02, rounds: int = 150) -> Model:
+def log_likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Dunning's statistic for a of n_a against b of n_b."""
+    k = a + b
+    out = np.zeros(len(a))
+    for seen, of in ((a, n_a), (b, n_b)):
+        for x, total in ((seen, k), (of - seen, n_a + n_b - k)):
+            expected = total * (of / (n_a + n_b))
+            out += np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(expected, 1e-12)), 0.0)
+    return 2 * out
+
+
+def fit(texts: list[str], labels: np.ndarray, base_rate: float, bits: int = BITS, lengths: tuple[int, ...] = LENGTHS, smoothing: float = 1.0, least: float = LEAST, ridge: float = 1e-4, rounds: int = 150) -> Model:
     labels = np.asarray(labels, dtype=np.float64)
     prior = np.log((base_rate + 1e-6) / (1 - base_rate + 1e-6))
     none = Model(np.zeros(1 << bits, dtype=np.float32), float(prior), bits, lengths)
@@ -59,11 +71,10 @@ def fit(texts: list[str], labels: np.ndarray, base_rate: float, bits: int = BITS
     counts = np.zeros((2, 1 << bits), dtype=np.int32)
     for text, y in zip(texts, labels.astype(int).tolist(), strict=True):
         counts[y, np.unique(hashed(code_points(text), lengths, bits))] += 1
-    # presence rates, smoothed; a feature must be frequent enough for its ratio to stand out from chance
+    # presence rates, smoothed; only features whose ratio stands out from chance are kept
     p, q = (counts[1] + smoothing) / (n_pos + 2 * smoothing), (counts[0] + smoothing) / (n_neg + 2 * smoothing)
     ratio = np.log(p / q)
-    spread = np.sqrt(1 / (counts[1] + smoothing) + 1 / (counts[0] + smoothing))
-    kept = np.flatnonzero((counts.sum(axis=0) >= 4) & (np.abs(ratio) > np.maximum(0.7, 3.5 * spread)))
+    kept = np.flatnonzero((counts.sum(axis=0) >= 3) & (log_likelihood_ratio(counts[1], counts[0], n_pos, n_neg) >= least))
     if not len(kept):
         return none
     column = np.full(1 << bits, -1, dtype=np.int64)
@@ -83,7 +94,7 @@ def fit(texts: list[str], labels: np.ndarray, base_rate: float, bits: int = BITS
     for t in range(1, rounds + 1):
         z = b + np.bincount(row, weights=w[col] * value, minlength=len(labels))
         g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels) * balance
-        g_w, g_b = np.bincount(col, weights=g[row] * value, minlength=len(kept)) + ridge * w / len(kept), g.sum()
+        g_w, g_b = np.bincount(col, weights=g[row] * value, minlength=len(kept)) + ridge * w, g.sum()
         m_w, m_b = 0.9 * m_w + 0.1 * g_w, 0.9 * m_b + 0.1 * g_b
         v_w, v_b = 0.999 * v_w + 0.001 * g_w**2, 0.999 * v_b + 0.001 * g_b**2
         rate = 0.05 / (1 - 0.9**t) * np.sqrt(1 - 0.999**t)
@@ -123,7 +134,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = [scorer(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -139,4 +150,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             for batch in row_slices(whole):
                 yield batch.filter(pa.array([scorer(t or "") < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
