@@ -54,3 +54,17 @@ def test_keys_are_fresh_once(spark, tmp_path):
         stream = spark.readStream.schema("idem_key string, ts timestamp_ntz").parquet(f"{tmp_path}/in")
         fresh_keys(stream, within=within).writeStream.option("checkpointLocation", f"{tmp_path}/cp{within}").foreachBatch(lambda b, _: out.extend(r.idem_key for r in b.collect())).trigger(availableNow=True).start().awaitTermination()  # noqa: B023
         assert sorted(out) == ["a", "b"]
+
+
+def test_submissions_from_files_and_streams(spark, tmp_path):
+    from tidefold.sources import submissions
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"type":"t"}\n{"type":"t","typo_field":1}\n{\n')
+    good, bad = submissions.read(spark, str(tmp_path / "in"), 5)
+    assert [(r.type, r.queue, r.run_at_us) for r in good.collect()] == [("t", "default", 5)]
+    assert sorted(r.error for r in bad.collect()) == ["bad json", "unknown field typo_field"]
+    out = []
+    good, _ = submissions.stream(spark, str(tmp_path / "in"), 5)
+    good.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, _: out.extend(r.type for r in b.collect())).trigger(availableNow=True).start().awaitTermination()
+    assert out == ["t"]
