@@ -120,7 +120,7 @@ def test_completions(spark):
 
 def test_reservations_in_order(spark):
     rows = spark.createDataFrame([("s", "o1", 1, 4, 1), ("s", "o1", 1, 4, 2), ("s", "o1", 2, 4, 3), ("s", "o2", 1, 4, 4), ("s", "o3", 1, 2, 5), ("u", "o1", 1, 9, 6)], "sku string, order_id string, token long, qty long, lsn long")
-    found = [r.verdict for r in handlers.reservations_in_order(rows, 10).orderBy("lsn").collect()]
+    found = [r.verdict for r in handlers.reservations_in_order(rows, 10, ["lsn"]).orderBy("lsn").collect()]
     assert found == ["applied", "skipped", "applied", "insufficient stock", "applied", "applied"]
 
 

@@ -110,8 +110,8 @@ def reserved_by_order(attempts: DataFrame) -> DataFrame:
     return attempts.where("success").groupBy("order_id").agg(F.sum("qty").cast("long").alias("reserved"))
 
 
-def reservations_in_order(attempts: DataFrame, initial: int) -> DataFrame:
-    """Attempts in ledger order per sku: what is in stock decides which are applied.
+def reservations_in_order(attempts: DataFrame, initial: int, order: list[str]) -> DataFrame:
+    """Attempts in the given order per sku: what is in stock decides which are applied.
 
     An attempt is skipped where its order has one with the same or a higher token applied; it fails for
     good where stock is short.  Each decision depends on those before it, so each sku's rows are
@@ -136,7 +136,7 @@ def reservations_in_order(attempts: DataFrame, initial: int) -> DataFrame:
                     verdicts.append("applied")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.string())], names=[*batch.schema.names, "verdict"])
 
-    rows = attempts.repartition("sku").sortWithinPartitions("sku", "lsn")
+    rows = attempts.repartition("sku").sortWithinPartitions("sku", *order)
     return rows.mapInArrow(run, T.StructType([*attempts.schema, T.StructField("verdict", T.StringType())]))
 
 

@@ -22,6 +22,12 @@ def replay(records: DataFrame, from_lsn: int) -> DataFrame:
     return records.where(F.col("lsn") >= from_lsn)
 
 
+def positions(records: DataFrame) -> DataFrame:
+    """One row: how many records there are, the first and last LSN, and the next one (1 for an empty log)."""
+    last = F.max("lsn")
+    return records.agg(F.count("*").alias("records"), F.min("lsn").alias("first_lsn"), last.alias("last_lsn"), (F.coalesce(last, F.lit(0)) + 1).alias("next_lsn"))
+
+
 def prune_snapshots(snapshots: DataFrame, keep: int = 2) -> DataFrame:
     """Adds kept: the newest `keep` by LSN, whatever the names' order."""
     return snapshots.withColumn("kept", F.row_number().over(Window.orderBy(F.desc("snapshot_lsn"))) <= keep)

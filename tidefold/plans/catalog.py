@@ -379,11 +379,16 @@ def q36(spark, d):
     return rows.groupBy("segment").applyInArrow(run, "segment long, cut long, recovered long")
 
 
-@query("q37_lookup_and_counts", jobs_sql("SELECT *, (SELECT count(*) FROM jobs_v) AS jobs, (SELECT count(DISTINCT queue) FROM jobs_v) AS queues FROM (SELECT job_id, queue, state, idem_key FROM jobs_v WHERE job_id = (SELECT max(job_id) FROM jobs_v))"))
+@query("q37_point_lookup", jobs_sql("SELECT job_id, queue, state, idem_key FROM jobs_v WHERE job_id = (SELECT max(job_id) FROM jobs_v)"))
 def q37(spark, d):
     jobs = jobs_v(spark, d)
     last = jobs.agg(F.max("job_id").alias("job_id"))  # one row
-    return jobs.join(F.broadcast(last), "job_id", "left_semi").select("job_id", "queue", "state", "idem_key").crossJoin(F.broadcast(stats.totals(jobs)))
+    return jobs.join(F.broadcast(last), "job_id", "left_semi").select("job_id", "queue", "state", "idem_key")
+
+
+@query("q37a_totals", jobs_sql("SELECT count(*) AS jobs, count(DISTINCT queue) AS queues FROM jobs_v"))
+def q37a(spark, d):
+    return stats.totals(jobs_v(spark, d))
 
 
 @query("q37b_sorted_scan", jobs_sql("SELECT job_id, state FROM jobs_v"))
@@ -445,5 +450,41 @@ def q43(spark, d):
     return retention.assign_lsn(arrivals, "arrival", 5000).select("event_id", "lsn")
 
 
+@query("q44_log_positions", f"WITH {COMMANDS_SQL} SELECT count(*) AS records, min(lsn) AS first_lsn, max(lsn) AS last_lsn, max(lsn) + 1 AS next_lsn FROM cmd")
+def q44(spark, d):
+    return retention.positions(mutations_v(spark, d))
+
+
+STOCK = 150
+
+
+@query("q45_reservations_in_order")
+def q45(spark, d):
+    attempts = attempts_v(spark, d).where(F.col("type") == JOB_TYPES[1])
+    rows = handlers.reservations_in_order(attempts, STOCK, ["order_id", "token", "qty", "amount_cents"])
+    return rows.groupBy("sku", "verdict").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+
+
+@query("q46_heartbeat_cadence", jobs_sql("SELECT job_id, greatest((job_id % 100) * 100 // 3, 500) AS interval_ms FROM jobs_v WHERE state = 'leased'"))
+def q46(spark, d):
+    return jobs_v(spark, d).where("state = 'leased'").select("job_id", handlers.heartbeat_interval_ms((F.col("job_id") % 100) * 100).alias("interval_ms"))
+
+
+@query("q47_lease_limits", """SELECT event_id, CASE WHEN k % 4 > 0 THEN k % 4 ELSE 1 END AS most, CASE WHEN k % 50 > 0 THEN k % 50 ELSE 30 END AS lease_s, least(k, 30) AS wait_s
+  FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""")
+def q47(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    most, lease_s, wait_s = requests.lease_limits(k % 4, k % 50, k)
+    return views.table(spark, d, "events").select("event_id", most.alias("most"), lease_s.alias("lease_s"), wait_s.alias("wait_s"))
+
+
+@query("q48_new_and_known_submissions", jobs_sql("""SELECT s.job_id, min(e.job_id) AS existing_id FROM (SELECT * FROM jobs_v WHERE job_id % 2 = 1) s
+  LEFT JOIN (SELECT * FROM jobs_v WHERE job_id % 2 = 0) e ON e.idem_key = s.idem_key GROUP BY s.job_id"""))
+def q48(spark, d):
+    jobs = jobs_v(spark, d).select("job_id", "idem_key")
+    new, known = dedup.against_existing(jobs.where("job_id % 2 = 1"), jobs.where("job_id % 2 = 0"))
+    return new.select("job_id", F.lit(None).cast("long").alias("existing_id")).unionByName(known.select("job_id", "existing_id"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q07(spark, sf_dir)

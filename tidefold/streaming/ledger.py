@@ -37,6 +37,10 @@ class LedgerStream:
         if self.on_batch:
             self.on_batch(batch, batch_id)
 
+    def start(self, commands: DataFrame, every: str = "100 milliseconds"):
+        """Fold what arrives, batch by batch, until the query is stopped."""
+        return commands.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(processingTime=every).start()
+
     def run(self, commands: DataFrame) -> DataFrame | None:
         """Take in everything that is there, then give the current state."""
         query = commands.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
