@@ -82,10 +82,10 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def set_names(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit names of a set, whatever the order of its members."""
+def set_name(s: np.ndarray) -> int:
+    """A 64-bit name of a set, whatever the order of its members."""
     a, b = mix(s + M3).sum(dtype=np.uint64), mix(s ^ M2).sum(dtype=np.uint64)
-    return int((a ^ (b << np.uint64(1))).view(np.int64)), int(b.view(np.int64))
+    return int((a ^ (b << np.uint64(1))).view(np.int64))
 
 
 def tokens(s: np.ndarray) -> np.ndarray:
@@ -106,31 +106,29 @@ def root_nodes(t: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class id, second name, root nodes, one-byte tokens of every row (null for empty sets)."""
+    """doc_id, n_shingles, class id, root nodes, one-byte tokens of every row (null for empty sets)."""
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
             for batch in row_slices(whole):
-                n, cid, name, roots, small = [], [], [], [], []
+                n, cid, roots, small = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     s = shingle_set(text)
                     n.append(len(s))
                     if not len(s):
-                        for x in (cid, name, roots, small):
+                        for x in (cid, roots, small):
                             x.append(None)
                         continue
                     t = tokens(s)
-                    a, b = set_names(s)
-                    cid.append(a)
-                    name.append(b)
+                    cid.append(set_name(s))
                     roots.append(root_nodes(t))
                     small.append(small_tokens(t))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(name, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "cid", "name", "roots", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "cid", "roots", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_arrow(rows, run, "doc_id long, n_shingles long, cid long, name long, roots array<long>, tokens binary")
+    return map_arrow(rows, run, "doc_id long, n_shingles long, cid long, roots array<long>, tokens binary")
 
 
 def token_matrix(column) -> np.ndarray:
@@ -332,7 +330,7 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 rows = []
                 for cluster, cid, text in zip(*[batch.column(c).to_pylist() for c in ("cluster", "cid", "text")], strict=True):
                     s = shingle_set(text)
-                    if len(s) and set_names(s)[0] == cid:  # else another text under the same doc_id
+                    if len(s) and set_name(s) == cid:  # else another text under the same doc_id
                         rows.append((cluster, cid, small_tokens(tokens(s)), s.tobytes()))
                 clusters, cids, small, sets = zip(*rows, strict=True) if rows else ((),) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int64()), pa.array(cids, pa.int64()), pa.array(small, pa.binary()), pa.array(sets, pa.binary())], names=["cluster", "cid", "tokens", "shingles"])
