@@ -32,3 +32,16 @@ def test_one_query_for_each_operator():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_registered_queries_equal_their_sql(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        found = queries.queries()[name](spark, sf)
+        expected = c.sql(sql)
+        assert sorted(expected.columns) == sorted(found.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(expected.select(*[duckdb.ColumnExpression(x) for x in found.columns]).fetchall()), name
