@@ -269,7 +269,11 @@ def relieve(rows: DataFrame, linked: float, slack: float, key: str = "node") ->
 
 def branch(rows: DataFrame) -> DataFrame:
     """Two children of each node by two more tokens, chosen by the node's name."""
-    child = lambda k: F.xxhash64("node", F.lit(k), F.expr(f"substring(tokens, cast(1 + pmod(xxhash64(node, {k}), {TOKENS}) as int), 1)"), F.expr(f"substring(tokens, cast(1 + pmod(xxhash64(node, {k + 10}), {TOKENS}) as int), 1)") if k == 0 else F.lit(0))
+
+    def child(k: int):
+        place = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS)).cast("int") + 1
+        return F.xxhash64("node", F.lit(k), F.substring("tokens", place, F.lit(1)))
+
     return rows.select("cid", F.explode(F.array(child(1), child(2))).alias("node"))
 
 
@@ -384,7 +388,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
             met = large.join(F.broadcast(pivots) if few else pivots, "cluster").select("cluster", "cid", "pivot", "tokens", "shingles", "of_pivot")
             met = materialize(map_arrow(met, against_pivot, "cluster long, cid long, pivot long, tokens binary, shingles binary, s double"), f"pivots-{level}")
             edges = edges.unionByName(met.where((F.col("s") >= 0.75) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-            rows = relieve(met, 0.75, 0.25, "cluster").select("cluster", "cid", "tokens", "shingles")
+            rows = relieve(met, 0.75, 0.25 + 1e-9, "cluster").select("cluster", "cid", "tokens", "shingles")
         found = edges if found is None else found.unionByName(edges)
         if not more:
             break
