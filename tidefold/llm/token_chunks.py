@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 TOGETHER = 100
 
 
