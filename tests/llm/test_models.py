@@ -175,3 +175,17 @@ def test_extraction_of_all_rows(spark):
     assert found[0] == found[1] and found[0].text == "A title\n\nFirst paragraph of some words.\n\nSecond one, which has more words."
     assert [r.n_chars for r in found] == [len(found[0].text)] * 2 + [0, 0, len(found[0].text) - 5 + 5 * 40_000 - 1] and found[3].url is None
     assert html_text.extract(frame.where("false")).count() == 0
+
+
+def test_texts_in_no_declared_language_go(spark):
+    rows = [r[:4] for r in corpus(400)]
+    rng = random.Random(9)
+    foreign = [(8000 + i, invented(rng, letters, n), lang, "site0.example.com") for i, (letters, n, lang) in enumerate((a, n, lang) for a in ("qrstuvwxyz", "абвгдежз", "acegikmoqsuwy") for n in (15, 60, 400) for lang in ("en", "fr", None))]
+    found = {r.doc_id: r for r in langid.identify(frame(spark, [*rows, *foreign]), "doc_id", "lang", "source").collect()}
+    assert all(found[r[0]].kept for r in rows)
+    assert not any(found[r[0]].kept or found[r[0]].confidence >= 0.5 for r in foreign)
+
+
+def test_unseen_ngrams_speak_for_no_language():
+    model = langid.fit(["aaa bbb " * 300, "ccc"], ["en", "fr"], ["en", "fr"], [1, 1])
+    assert np.allclose(model.text_evidence("zzz")[0][0], model.text_evidence("zzz")[0][1], atol=0.5)

@@ -8,7 +8,16 @@ log P(lang | everything) = weight * log P(text | lang)      n-gram naive Bayes,
 The prior of a host is a Dirichlet mean that backs off from host to registered domain to the
 whole corpus; its counts of declared languages come from one grouped aggregation over all rows,
 and a row's own declaration is taken out of them again before they speak about that row.  The
-text model is fitted from at most `sample` rows, the smallest by a hash of their key.
+text model is fitted from at most `sample` rows, the smallest by a hash of their key.  Its rates
+are interpolated with those of all languages together, so an n-gram that no language has seen
+speaks for none.
+
+One more hypothesis stands beside the languages: that the text is in none of them.  What a text
+of a language is like is read off the fitted rows themselves, each against the counts of the
+others: the mean log rate of its trigrams of letters, and how far it varies for a text of that
+length.  A text that lies z deviations below is 1 : exp((z^2 - OUTLIER^2) / 2) likelier in none
+of them than in the best language, whatever its declaration and host say.  Texts of fewer than
+LEAST_TRIGRAMS such trigrams stay with the declared languages.
 
 A row is kept unless the evidence leaves its language open: its text has no letters, or the
 best posterior is under `least`, or the language isn't one of `wanted` (None: any).
@@ -35,6 +44,11 @@ BITS = 17
 LENGTHS = (1, 2, 3)
 SAMPLE = 3000
 MOST_LANGUAGES = 64
+SHARED = 0.1  # of every rate comes from all languages together
+OUTLIER = 6.0
+LEAST_SPREAD = 0.15
+LEAST_TRIGRAMS = 8  # shorter texts can't tell that they are in no declared language
+OVERLAP = 3  # neighbouring trigrams share letters: a text of n counts as n / 3 independent ones
 MOST_HOSTS = 100_000
 # Country suffixes that point to one language.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
@@ -43,18 +57,32 @@ SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "
 @dataclass
 class Model:
     languages: list[str]
-    log_rate: np.ndarray  # buckets x languages
+    log_rate: np.ndarray  # buckets x languages, against what all languages share
     declared_right: float = 0.9
     suffix_right: float = 0.8
     text_weight: float = 0.25
     strength: float = 20.0
     totals: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    log_shared: np.ndarray | None = None  # per bucket; without it no text is foreign
+    usual: np.ndarray | None = None  # languages x (mean log rate, its variance, variance of one trigram)
 
     def text_evidence(self, text: str) -> tuple[np.ndarray, bool]:
         points = code_points(text)
         found = hashed(points, LENGTHS, BITS)
         return self.text_weight * self.log_rate[found].sum(axis=0, dtype=np.float64), bool(_letter(text))
 
+    def foreign(self, text: str, language: int) -> float:
+        """log of how much likelier the text is in none of the languages than in this one."""
+        if self.usual is None or self.log_shared is None:
+            return -np.inf
+        found = letter_trigrams(text)
+        if len(found) < LEAST_TRIGRAMS:
+            return -np.inf
+        mean, between, within = self.usual[language]
+        rate = float((self.log_rate[found, language] + self.log_shared[found]).mean())
+        z = max(0.0, mean - rate) / np.sqrt(between + within * OVERLAP / len(found))
+        return float(min((z * z - OUTLIER * OUTLIER) / 2, 700.0))
+
     def claim(self, said: str | None, right: float) -> np.ndarray:
         """log P(claim | language), flat if the claim names none of the languages."""
         k = len(self.languages)
@@ -77,6 +105,18 @@ class Model:
 _letter = re.compile(r"[^\W\d_]").search
 
 
+def letter_trigrams(text: str) -> np.ndarray:
+    """Buckets of the trigrams made of letters and spaces only; numbers, codes and marks tell no language."""
+    points = code_points(text)
+    if not len(points):
+        return np.zeros(0, dtype=np.int64)
+    letter = np.strings.isalpha(np.ascontiguousarray(points, dtype="<u4").view("<U1")) | ((points >= 0x300) & (points < 0x2000))
+    letter = np.concatenate(([False], letter, [False]))
+    plain = letter | np.concatenate(([True], points == 32, [True]))
+    found = hashed(points, (3,), BITS)
+    return found[plain[:-2] & plain[1:-1] & plain[2:] & (letter[:-2] | letter[1:-1] | letter[2:])]
+
+
 @functools.lru_cache(maxsize=4096)
 def suffix_language(host: str | None) -> str | None:
     return SUFFIX_LANGUAGE.get(host.rsplit(".", 1)[-1]) if host and "." in host else None
@@ -90,15 +130,45 @@ def fit(texts: list[str], declared: list[str], languages: list[str], totals: lis
         if lang in languages:
             found = hashed(code_points(text), LENGTHS, BITS)
             counts[:, languages.index(lang)] += np.bincount(found, minlength=1 << BITS)
-    rate = counts[:, :k] + 0.5 if k else counts + 0.5
-    log_rate = np.log(rate / rate.sum(axis=0))
-    model = Model(languages, (log_rate - log_rate.mean(axis=1, keepdims=True)).astype(np.float32), totals=np.asarray(totals, dtype=np.float64))
+    shared = SHARED * pooled(counts.sum(axis=1), counts.sum())
+    log_rate = np.log1p((1 - SHARED) * counts / np.maximum(counts.sum(axis=0), 1) / shared[:, None])
+    model = Model(languages, log_rate[:, :k].astype(np.float32), totals=np.asarray(totals, dtype=np.float64), log_shared=np.log(shared).astype(np.float32))
+    model.usual = usual_rates(texts, declared, languages, counts)
     agree = [languages[int(model.text_evidence(t)[0].argmax())] == d for t, d in zip(texts, declared, strict=True) if d in languages and _letter(t)]
     if agree:
         model.declared_right = float(np.clip(np.mean(agree), 0.6, 0.99))
     return model
 
 
+def pooled(count, total):
+    """The rate of an n-gram in all languages together."""
+    return (count + 0.5) / (total + 0.5 * (1 << BITS))
+
+
+def usual_rates(texts: list[str], declared: list[str], languages: list[str], counts: np.ndarray) -> np.ndarray:
+    """Per language the mean log rate of a row's trigrams, its variance and that of one trigram; each row against the others."""
+    seen: list[list[tuple[float, float]]] = [[] for _ in languages]
+    of_all, of_language = counts.sum(axis=1), counts.sum(axis=0)
+    total = of_all.sum()
+    for text, lang in zip(texts, declared, strict=True):
+        found = letter_trigrams(text)
+        if lang in languages and len(found):
+            j = languages.index(lang)
+            own, n = np.unique(hashed(code_points(text), LENGTHS, BITS), return_counts=True)
+            mine = n.sum()
+            rate = (1 - SHARED) * (counts[own, j] - n) / max(of_language[j] - mine, 1) + SHARED * pooled(of_all[own] - n, total - mine)
+            log = np.log(rate)[np.searchsorted(own, found)]
+            seen[j].append((log.mean(), log.var()))
+    out = np.tile([-np.inf, 1.0, 1.0], (len(languages), 1))  # a language without rows to go by takes any text
+    for j, rows in enumerate(seen):
+        if rows:
+            means, variances = np.array(rows).T
+            mean = np.median(means)
+            spread = max(1.4826 * np.median(np.abs(means - mean)), LEAST_SPREAD)
+            out[j] = mean, spread**2 * (1 + 10 / len(rows)), variances.mean()
+    return out
+
+
 def registered_domain(host: Column) -> Column:
     return F.when(host.contains("."), F.substring_index(host, ".", -2)).otherwise(host)
 
@@ -139,7 +209,7 @@ def judge(model: Model, text: str | None, declared: str | None, host: str | None
     log = by_text + model.claim(declared, model.declared_right) + model.claim(suffix_language(host), model.suffix_right) + model.prior(of_host, of_domain, declared)
     p = np.exp(log - log.max())
     best = int(p.argmax())
-    sure = float(p[best] / p.sum())
+    sure = float(p[best] / (p.sum() + p[best] * np.exp(model.foreign(text or "", best))))
     lang = model.languages[best]
     return lang, model.languages[int(by_text.argmax())] if letters else None, sure, letters and sure >= least and (wanted is None or lang in wanted)
 
