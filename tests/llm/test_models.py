@@ -189,3 +189,21 @@ def test_texts_in_no_declared_language_go(spark):
 def test_unseen_ngrams_speak_for_no_language():
     model = langid.fit(["aaa bbb " * 300, "ccc"], ["en", "fr"], ["en", "fr"], [1, 1])
     assert np.allclose(model.text_evidence("zzz")[0][0], model.text_evidence("zzz")[0][1], atol=0.5)
+
+
+def test_every_declared_language_is_one(spark, monkeypatch):
+    """More than 64 languages, the 65th and beyond with few rows and none of them in the sample."""
+    rng = random.Random(4)
+    rows = [(i, invented(rng, "abcdefghi", 30), f"l{i % 64:02d}", "a.example.com") for i in range(1280)]
+    rare = [(2000 + i, invented(rng, ("qrstuvw", "éèêëàâä", "абвгдеж")[i % 3], 30), f"rare{i % 3}", "b.example.com") for i in range(12)]
+    docs = frame(spark, [*rows, *rare]).drop("_host")
+    by = {r.doc_id: r for r in langid.identify(docs, "doc_id", "lang", "source", sample=200).collect()}
+    assert len(by) == 1292 and all(by[r[0]].lang == by[r[0]].text_lang == r[2] and by[r[0]].kept for r in rare)
+    out, model = langid.with_priors(docs, "doc_id", "lang", "source", sample=200)
+    assert len(model.languages) == 67 and model.totals.sum() == 1292 and isinstance(model.log_rate, langid.Sparse)
+    assert dict(out.where("doc_id = 2000").first()._host) == {"rare0": 4, "rare1": 4, "rare2": 4}
+    assert len(out.where("doc_id = 2000").first()._domain) == 67
+    monkeypatch.setattr(langid, "DENSE", 100)
+    dense = langid.with_priors(docs, "doc_id", "lang", "source", sample=200)[1]
+    found = hashed(code_points(rare[1][1]), langid.LENGTHS, langid.BITS)
+    assert np.allclose(model.log_rate.sum(found), dense.log_rate[found].sum(axis=0), atol=1e-2) and np.allclose(model.log_rate.column(found, 65), dense.log_rate[found, 65])

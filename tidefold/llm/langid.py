@@ -8,7 +8,9 @@ log P(lang | everything) = weight * log P(text | lang)      n-gram naive Bayes,
 The prior of a host is a Dirichlet mean that backs off from host to registered domain to the
 whole corpus; its counts of declared languages come from one grouped aggregation over all rows,
 and a row's own declaration is taken out of them again before they speak about that row.  The
-text model is fitted from at most `sample` rows, the smallest by a hash of their key.  Its rates
+text model is fitted from the `sample` rows with the smallest hash of their key and, for a
+language that has fewer than LEAST_ROWS rows among them, from its own LEAST_ROWS smallest.  Every
+declared value is a language; the driver holds a count and a sparse column for each.  The rates
 are interpolated with those of all languages together, so an n-gram that no language has seen
 speaks for none.
 
@@ -31,10 +33,11 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import hash_sample, map_arrow, row_slices, small_enough
@@ -43,7 +46,8 @@ from tidefold.llm.ngrams import code_points, hashed
 BITS = 17
 LENGTHS = (1, 2, 3)
 SAMPLE = 3000
-MOST_LANGUAGES = 64
+LEAST_ROWS = 20
+DENSE = 64  # languages; the model of more is sparse
 SHARED = 0.1  # of every rate comes from all languages together
 OUTLIER = 6.0
 LEAST_SPREAD = 0.15
@@ -54,10 +58,32 @@ MOST_HOSTS = 100_000
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 
 
+class Sparse:
+    """A matrix of buckets x languages that is mostly 0."""
+
+    def __init__(self, columns: list[tuple[np.ndarray, np.ndarray]]):
+        """`columns`: per language its buckets and their values."""
+        self.k = len(columns)
+        keys = np.concatenate([bucket * self.k + j for j, (bucket, _) in enumerate(columns)])
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.concatenate([value for _, value in columns]).astype(np.float32)[order]
+        self.start = np.searchsorted(self.keys, np.arange((1 << BITS) + 1) * self.k)
+
+    def sum(self, found: np.ndarray) -> np.ndarray:
+        bucket, n = np.unique(found, return_counts=True)
+        size = self.start[bucket + 1] - self.start[bucket]
+        at = np.repeat(self.start[bucket] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.keys[at] % self.k, self.values[at].astype(np.float64) * np.repeat(n, size), self.k)
+
+    def column(self, found: np.ndarray, j: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, found * self.k + j), len(self.keys) - 1)
+        return np.where(self.keys[at] == found * self.k + j, self.values[at], 0)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    log_rate: np.ndarray  # buckets x languages, against what all languages share
+    log_rate: np.ndarray | Sparse  # buckets x languages, against what all languages share
     declared_right: float = 0.9
     suffix_right: float = 0.8
     text_weight: float = 0.25
@@ -66,10 +92,23 @@ class Model:
     log_shared: np.ndarray | None = None  # per bucket; without it no text is foreign
     usual: np.ndarray | None = None  # languages x (mean log rate, its variance, variance of one trigram)
 
+    def __post_init__(self):
+        self.place = {lang: j for j, lang in enumerate(self.languages)}
+
+    def spread(self, counts: list[tuple[str, int]] | None) -> np.ndarray | None:
+        """Counts by name as one number for each language."""
+        if counts is None:
+            return None
+        out = np.zeros(len(self.languages))
+        for lang, n in counts:
+            out[self.place[lang]] = n
+        return out
+
     def text_evidence(self, text: str) -> tuple[np.ndarray, bool]:
         points = code_points(text)
         found = hashed(points, LENGTHS, BITS)
-        return self.text_weight * self.log_rate[found].sum(axis=0, dtype=np.float64), bool(_letter(text))
+        rates = self.log_rate.sum(found) if isinstance(self.log_rate, Sparse) else self.log_rate[found].sum(axis=0, dtype=np.float64)
+        return self.text_weight * rates, bool(_letter(text))
 
     def foreign(self, text: str, language: int) -> float:
         """log of how much likelier the text is in none of the languages than in this one."""
@@ -79,21 +118,24 @@ class Model:
         if len(found) < LEAST_TRIGRAMS:
             return -np.inf
         mean, between, within = self.usual[language]
-        rate = float((self.log_rate[found, language] + self.log_shared[found]).mean())
+        own = self.log_rate.column(found, language) if isinstance(self.log_rate, Sparse) else self.log_rate[found, language]
+        rate = float((own + self.log_shared[found]).mean())
         z = max(0.0, mean - rate) / np.sqrt(between + within * OVERLAP / len(found))
         return float(min((z * z - OUTLIER * OUTLIER) / 2, 700.0))
 
     def claim(self, said: str | None, right: float) -> np.ndarray:
         """log P(claim | language), flat if the claim names none of the languages."""
         k = len(self.languages)
-        if said not in self.languages or k < 2:
+        if said not in self.place or k < 2:
             return np.zeros(k)
         out = np.full(k, np.log((1 - right) / (k - 1)))
-        out[self.languages.index(said)] = np.log(right)
+        out[self.place[said]] = np.log(right)
         return out
 
     def prior(self, host: list[int] | None, domain: list[int] | None, declared: str | None) -> np.ndarray:
-        own = np.array([lang == declared for lang in self.languages], dtype=np.float64)
+        own = np.zeros(len(self.languages))
+        if declared in self.place:
+            own[self.place[declared]] = 1
         mean = np.full(len(self.languages), 1 / len(self.languages))
         for counts in (self.totals, domain, host):
             if counts is not None:
@@ -124,17 +166,29 @@ def suffix_language(host: str | None) -> str | None:
 
 def fit(texts: list[str], declared: list[str], languages: list[str], totals: list[int]) -> Model:
     """Naive Bayes over hashed n-grams; how far declarations can be trusted is read off the same rows."""
-    k = len(languages)
-    counts = np.zeros((1 << BITS, max(k, 1)))
+    texts_of: dict[str, list[str]] = {lang: [] for lang in languages}
     for text, lang in zip(texts, declared, strict=True):
-        if lang in languages:
-            found = hashed(code_points(text), LENGTHS, BITS)
-            counts[:, languages.index(lang)] += np.bincount(found, minlength=1 << BITS)
-    shared = SHARED * pooled(counts.sum(axis=1), counts.sum())
-    log_rate = np.log1p((1 - SHARED) * counts / np.maximum(counts.sum(axis=0), 1) / shared[:, None])
-    model = Model(languages, log_rate[:, :k].astype(np.float32), totals=np.asarray(totals, dtype=np.float64), log_shared=np.log(shared).astype(np.float32))
-    model.usual = usual_rates(texts, declared, languages, counts)
-    agree = [languages[int(model.text_evidence(t)[0].argmax())] == d for t, d in zip(texts, declared, strict=True) if d in languages and _letter(t)]
+        if lang in texts_of:
+            texts_of[lang].append(text)
+    found, of_all = [], np.zeros(1 << BITS)
+    for lang in languages:
+        counts = np.zeros(1 << BITS)
+        for text in texts_of[lang]:
+            counts += np.bincount(hashed(code_points(text), LENGTHS, BITS), minlength=1 << BITS)
+        bucket = np.flatnonzero(counts)
+        found.append((bucket, counts[bucket]))
+        of_all += counts
+    shared = SHARED * pooled(of_all, of_all.sum())
+    columns = [(bucket, np.log1p((1 - SHARED) * n / n.sum() / shared[bucket])) for bucket, n in found]
+    if len(languages) > DENSE:
+        log_rate: np.ndarray | Sparse = Sparse(columns)
+    else:
+        log_rate = np.zeros((1 << BITS, len(languages)), dtype=np.float32)
+        for j, (bucket, value) in enumerate(columns):
+            log_rate[bucket, j] = value
+    model = Model(languages, log_rate, totals=np.asarray(totals, dtype=np.float64), log_shared=np.log(shared).astype(np.float32))
+    model.usual = usual_rates([texts_of[lang] for lang in languages], found, of_all)
+    agree = [languages[int(model.text_evidence(t)[0].argmax())] == d for t, d in zip(texts, declared, strict=True) if d in model.place and _letter(t)]
     if agree:
         model.declared_right = float(np.clip(np.mean(agree), 0.6, 0.99))
     return model
@@ -145,22 +199,21 @@ def pooled(count, total):
     return (count + 0.5) / (total + 0.5 * (1 << BITS))
 
 
-def usual_rates(texts: list[str], declared: list[str], languages: list[str], counts: np.ndarray) -> np.ndarray:
+def usual_rates(texts: list[list[str]], found: list[tuple[np.ndarray, np.ndarray]], of_all: np.ndarray) -> np.ndarray:
     """Per language the mean log rate of a row's trigrams, its variance and that of one trigram; each row against the others."""
-    seen: list[list[tuple[float, float]]] = [[] for _ in languages]
-    of_all, of_language = counts.sum(axis=1), counts.sum(axis=0)
-    total = of_all.sum()
-    for text, lang in zip(texts, declared, strict=True):
-        found = letter_trigrams(text)
-        if lang in languages and len(found):
-            j = languages.index(lang)
-            own, n = np.unique(hashed(code_points(text), LENGTHS, BITS), return_counts=True)
-            mine = n.sum()
-            rate = (1 - SHARED) * (counts[own, j] - n) / max(of_language[j] - mine, 1) + SHARED * pooled(of_all[own] - n, total - mine)
-            log = np.log(rate)[np.searchsorted(own, found)]
-            seen[j].append((log.mean(), log.var()))
-    out = np.tile([-np.inf, 1.0, 1.0], (len(languages), 1))  # a language without rows to go by takes any text
-    for j, rows in enumerate(seen):
+    out = np.tile([-np.inf, 1.0, 1.0], (len(texts), 1))  # a language without rows to go by takes any text
+    total, counts = of_all.sum(), np.zeros(1 << BITS)
+    for j, (bucket, n_all) in enumerate(found):
+        counts[bucket] = n_all
+        rows = []
+        for text in texts[j]:
+            trigrams = letter_trigrams(text)
+            if len(trigrams):
+                own, n = np.unique(hashed(code_points(text), LENGTHS, BITS), return_counts=True)
+                rate = (1 - SHARED) * (counts[own] - n) / max(n_all.sum() - n.sum(), 1) + SHARED * pooled(of_all[own] - n, total - n.sum())
+                log = np.log(rate)[np.searchsorted(own, trigrams)]
+                rows.append((log.mean(), log.var()))
+        counts[bucket] = 0
         if rows:
             means, variances = np.array(rows).T
             mean = np.median(means)
@@ -183,21 +236,31 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def with_priors(rows: DataFrame, key: str, declared: str, host: str, sample: int = SAMPLE, text: str = "text") -> tuple[DataFrame, Model]:
-    """`rows` with the count arrays of each row's host and domain (_host, _domain), and the fitted model."""
+    """`rows` with the counts by language of each row's host and domain (_host, _domain), and the fitted model."""
     said, at = F.lower(F.col(declared)), F.lower(F.col(host))
     light = rows.select(said.alias("l"), at.alias("h")).where(F.col("l").isNotNull() & (F.col("l") != ""))
-    totals = light.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.l for r in totals)
-    by = {r.l: r["count"] for r in totals}
-    counts = F.array(*[F.sum((F.col("l") == lang).cast("long")) for lang in languages]) if languages else F.array().cast("array<bigint>")
-    hosts = light.where(F.col("h").isNotNull()).groupBy(F.col("h").alias("_h")).agg(counts.alias("_host"))
-    domains = light.where(F.col("h").isNotNull()).groupBy(registered_domain(F.col("h")).alias("_d")).agg(counts.alias("_domain"))
+    pairs = light.groupBy("h", "l").count()
+    by = {r.l: r.n for r in pairs.groupBy("l").agg(F.sum("count").alias("n")).collect()}
+    languages = sorted(by)
+    counts = F.map_from_entries(F.collect_list(F.struct("l", "count")))
+    at_host = pairs.where(F.col("h").isNotNull())
+    hosts = at_host.groupBy(F.col("h").alias("_h")).agg(counts.alias("_host"))
+    domains = at_host.groupBy(registered_domain(F.col("h")).alias("_d"), "l").agg(F.sum("count").alias("count")).groupBy("_d").agg(counts.alias("_domain"))
     # one row per host: joined by broadcast while they are few, by shuffle beyond that
     few = F.broadcast if small_enough(hosts, MOST_HOSTS) else (lambda x: x)
     out = rows.withColumns({"_h": at, "_d": registered_domain(at)}).join(few(hosts), "_h", "left").join(few(domains), "_d", "left").drop("_h", "_d")
-    picked = rows.select(F.col(key).alias("k"), said.alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("l").isin(languages) if languages else F.lit(False))
+    picked = rows.select(F.col(key).alias("k"), said.alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("l").isNotNull() & (F.col("l") != ""))
     table = hash_sample(picked, "k", sample).select("l", "t").toArrow()
-    return out, fit(table.column("t").to_pylist(), table.column("l").to_pylist(), languages, [by[lang] for lang in languages])
+    names_of, texts = table.column("l").to_pylist(), table.column("t").to_pylist()
+    drawn = Counter(names_of)
+    short = {lang for lang in languages if drawn[lang] < min(by[lang], LEAST_ROWS)}
+    if short:
+        names = rows.sparkSession.createDataFrame([(lang,) for lang in sorted(short)], "l string")
+        order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "t")
+        more = picked.join(F.broadcast(names), "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEAST_ROWS).select("l", "t").toArrow()
+        kept = [i for i, lang in enumerate(names_of) if lang not in short]
+        names_of, texts = [names_of[i] for i in kept] + more.column("l").to_pylist(), [texts[i] for i in kept] + more.column("t").to_pylist()
+    return out, fit(texts, names_of, languages, [by[lang] for lang in languages])
 
 
 def judge(model: Model, text: str | None, declared: str | None, host: str | None, of_host, of_domain, least: float, wanted: tuple[str, ...] | None):
@@ -225,6 +288,7 @@ def identify(rows: DataFrame, key: str, declared: str, host: str, least: float =
         for whole in batches:
             for batch in row_slices(whole):
                 columns = [batch.column(c).to_pylist() for c in ("text", "declared", "host", "_host", "_domain")]
+                columns[3:] = [[shared.value.spread(c) for c in column] for column in columns[3:]]
                 found = [judge(shared.value, *row, least, wanted) for row in zip(*columns, strict=True)]
                 lang, text_lang, sure, kept = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lang, pa.string()), pa.array(text_lang, pa.string()), pa.array(sure, pa.float64()), pa.array(kept, pa.bool_())], names=["key", "lang", "text_lang", "confidence", "kept"])
@@ -247,6 +311,7 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", declared: str = "lang"
         for whole in batches:
             for batch in row_slices(whole, column=text):
                 columns = [batch.column(c).to_pylist() for c in (text, declared, host, "_host", "_domain")]
+                columns[3:] = [[shared.value.spread(c) for c in column] for column in columns[3:]]
                 kept = [judge(shared.value, *row, least, wanted)[3] for row in zip(*columns, strict=True)]
                 yield batch.filter(pa.array(kept, pa.bool_())).select(numbered_columns).rename_columns(names)
 
