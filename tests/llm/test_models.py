@@ -207,3 +207,9 @@ def test_every_declared_language_is_one(spark, monkeypatch):
     dense = langid.with_priors(docs, "doc_id", "lang", "source", sample=200)[1]
     found = hashed(code_points(rare[1][1]), langid.LENGTHS, langid.BITS)
     assert np.allclose(model.log_rate.sum(found), dense.log_rate[found].sum(axis=0), atol=1e-2) and np.allclose(model.log_rate.column(found, 65), dense.log_rate[found, 65])
+
+
+def test_a_host_that_is_its_own_domain_counts_once(spark):
+    docs = frame(spark, [(1, "ab", "en", "src0"), (2, "ab", "en", "example.com"), (3, "ab", "fr", "a.example.com"), (4, "ab", "fr", None)]).drop("_host")
+    by = {r.doc_id: r for r in langid.with_priors(docs, "doc_id", "lang", "source")[0].collect()}
+    assert [by[i]._domain for i in (1, 2, 3, 4)] == [None, None, {"en": 1, "fr": 1}, None] and by[1]._host == {"en": 1} and by[4]._host is None

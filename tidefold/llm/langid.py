@@ -5,8 +5,8 @@ log P(lang | everything) = weight * log P(text | lang)      n-gram naive Bayes,
                          + log P(address suffix | lang)     country suffixes of the host
                          + log P(lang | host) + const       hierarchically smoothed prior
 
-The prior of a host is a Dirichlet mean that backs off from host to registered domain to the
-whole corpus; its counts of declared languages come from one grouped aggregation over all rows,
+The prior of a host is a Dirichlet mean that backs off from host to registered domain (where
+the host is not its own) to the whole corpus; its counts of declared languages come from one grouped aggregation over all rows,
 and a row's own declaration is taken out of them again before they speak about that row.  The
 text model is fitted from the `sample` rows with the smallest hash of their key and, for a
 language that has fewer than LEAST_ROWS rows among them, from its own LEAST_ROWS smallest.  Every
@@ -248,7 +248,7 @@ def with_priors(rows: DataFrame, key: str, declared: str, host: str, sample: int
     domains = at_host.groupBy(registered_domain(F.col("h")).alias("_d"), "l").agg(F.sum("count").alias("count")).groupBy("_d").agg(counts.alias("_domain"))
     # one row per host: joined by broadcast while they are few, by shuffle beyond that
     few = F.broadcast if small_enough(hosts, MOST_HOSTS) else (lambda x: x)
-    out = rows.withColumns({"_h": at, "_d": registered_domain(at)}).join(few(hosts), "_h", "left").join(few(domains), "_d", "left").drop("_h", "_d")
+    out = rows.withColumns({"_h": at, "_d": F.nullif(registered_domain(at), at)}).join(few(hosts), "_h", "left").join(few(domains), "_d", "left").drop("_h", "_d")
     picked = rows.select(F.col(key).alias("k"), said.alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("l").isNotNull() & (F.col("l") != ""))
     table = hash_sample(picked, "k", sample).select("l", "t").toArrow()
     names_of, texts = table.column("l").to_pylist(), table.column("t").to_pylist()
