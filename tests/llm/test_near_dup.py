@@ -74,21 +74,80 @@ def test_equals_all_pairs(spark):
     assert found(spark, rows) == plain(rows)
 
 
-@pytest.mark.parametrize(("node", "cluster", "levels"), [(8, 10, 2), (5, 1000, 1), (1000, 8, 1), (6, 6, 0)])
-def test_large_nodes_and_clusters(spark, monkeypatch, node, cluster, levels):
-    for name, value in (("NODE", node), ("CLUSTER", cluster), ("LEVELS", levels), ("BLOCK", 4)):
+@pytest.mark.parametrize(("leaf", "task", "cluster", "levels"), [(4, 8, 10, 4), (5, 5, 1000, 1), (4, 1000, 8, 10), (3, 6, 6, 0), (4, 12, 6, 10)])
+def test_large_nodes_and_clusters(spark, monkeypatch, leaf, task, cluster, levels):
+    for name, value in (("LEAF", leaf), ("TASK", task), ("CLUSTER", cluster), ("LEVELS", levels), ("BLOCK", 4)):
         monkeypatch.setattr(near_dup, name, value)
     rows = corpus(2)
     assert found(spark, rows) == plain(rows)
 
 
 def test_shuffle_paths_beyond_the_broadcast_bounds(spark, monkeypatch):
-    for name, value in (("MOST_IDS", 1), ("MOST_PIVOTS", 0), ("NODE", 8), ("CLUSTER", 10)):
+    for name, value in (("MOST_IDS", 1), ("MOST_PIVOTS", 0), ("LEAF", 4), ("TASK", 8), ("CLUSTER", 10)):
         monkeypatch.setattr(near_dup, name, value)
     rows = corpus(3)
     assert found(spark, rows) == plain(rows)
 
 
+def test_paths_use_no_token_twice_and_tables_branch_like_tasks(spark):
+    for tree in range(near_dup.ROOTS):
+        for leaf in (64, 85, 127, 1000):
+            path = [leaf >> k for k in range(leaf.bit_length() - 1)]
+            assert len({tree, *(near_dup.token_place(tree, h) for h in path)}) == len(path) + 1
+    rng = np.random.default_rng(1)
+    matrix = rng.integers(0, 3, (50, near_dup.TOKENS), dtype=np.uint8)
+    rows = [(7, 2, 1, i, matrix[i].tobytes()) for i in range(50)]
+    out = near_dup.branch(spark.createDataFrame(rows, "node long, tree int, place int, cid long, tokens binary")).collect()
+    for child in (2, 3):
+        at = near_dup.token_place(2, child)
+        groups = {}
+        for r in out:
+            if r.place == child:
+                groups.setdefault(r.node, set()).add(r.cid)
+        assert sorted(map(sorted, groups.values())) == sorted([i for i in range(50) if matrix[i, at] == v] for v in range(3))
+
+
+def test_recall_of_the_trees_at_the_limit():
+    """Pairs at 0.75 in a node of unrelated members: a tree finds two in three, all trees miss next to none."""
+    rng = np.random.default_rng(5)
+    pairs, fill = 400, 3000
+    a = rng.integers(0, 3, (pairs, near_dup.TOKENS), dtype=np.uint8)
+    b = np.where(rng.random(a.shape) < 0.75, a, (a + 1 + rng.integers(0, 2, a.shape)) % 3).astype(np.uint8)
+    rest = rng.integers(0, 3, (fill, near_dup.TOKENS), dtype=np.uint8)  # few values: nodes stay large for some levels
+    matrix = np.concatenate([a, b, rest])
+    sizes = np.full(len(matrix), 100)
+    close = (a == b).mean(axis=1) >= near_dup.LIKELY
+    seen, by_tree = np.zeros(pairs, dtype=bool), []
+    for tree in range(near_dup.ROOTS):
+        here, deepest = np.zeros(pairs, dtype=bool), 0
+        for value in np.unique(matrix[:, tree]):
+            at = np.flatnonzero(matrix[:, tree] == value)
+            edges, depth = near_dup.follow(matrix[at], sizes[at], tree, 1)
+            deepest = max(deepest, depth)
+            parts = graph.Parts(len(matrix))
+            for i, j in edges:
+                parts.join(int(at[i]), int(at[j]))
+            here |= (parts.of[:pairs] == parts.of[pairs:2 * pairs])
+        by_tree.append(here[close].mean())
+        seen |= here
+        assert deepest >= 3
+    assert np.mean(by_tree) > 0.55 and seen[close].mean() > 0.995
+
+
+def test_the_tables_branch(spark):
+    """On sf0.1 some nodes are followed to level 2 and beyond."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = near_dup.sketch(docs).where("cid IS NOT NULL").dropDuplicates(["cid"]).toPandas()
+    matrix, roots = np.frombuffer(b"".join(rows.tokens), dtype=np.uint8).reshape(-1, near_dup.TOKENS), np.stack(rows.roots)
+    deepest = []
+    for tree in range(near_dup.ROOTS):
+        names, n = np.unique(roots[:, tree], return_counts=True)
+        for name in names[n > near_dup.LEAF]:
+            at = np.flatnonzero(roots[:, tree] == name)
+            deepest.append(near_dup.follow(matrix[at], rows.n_shingles.to_numpy()[at], tree, 1)[1])
+    assert max(deepest) >= 2
+
+
 def test_empty_table_and_keep_one(spark):
     frame = spark.createDataFrame([(2, "a b c d e f", "k", 1, 1), (1, "A B c d e f", "k", 1, 1), (3, "other words are here too", "k", 1, 1), (4, None, "k", 1, 1), (5, "", "k", 1, 1)], SCHEMA)
     assert near_dup.components(frame.where("false")).count() == 0
@@ -96,6 +155,32 @@ def test_empty_table_and_keep_one(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_keep_one_loses_no_text_under_repeated_ids(spark):
+    near, other = "a b c d e f", "something else that is here too"
+    rows = [(3, near, "k", 1, 1), (5, other, "k", 1, 2), (5, near.upper(), "k", 1, 3), (7, other, "l", 1, 1), (7, other, "k", 1, 1), (None, near, "k", 1, 1), (None, "of a null id alone words", "k", 1, 1), (None, "of a null id alone words", "k", 1, 2), (5, "", "k", 1, 1), (None, None, "k", 1, 1), (8, "one of its own which stays", "k", 1, 1)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("3", near), ("5", other), ("None", "of a null id alone words"), ("5", ""), ("None", ""), ("8", "one of its own which stays")])
+    same = near_dup.keep_one(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
+    assert sorted(map(str, same)) == sorted(map(str, kept))
+    only = near_dup.keep_one(spark.createDataFrame([(9, near, "k", 1, 1)] * 5, SCHEMA)).collect()
+    assert len(only) == 1
+
+
+def test_scratch_folders_go(spark, monkeypatch):
+    from tidefold.llm import common
+
+    before = list(common._made)
+    frame = spark.createDataFrame([(i, f"a b c d e f {i // 2}", "k", 1, 1) for i in range(20)], SCHEMA)
+    out = near_dup.components(frame)
+    mine = [m for m in common._made if m not in before]
+    assert out.count() == 20 and len(mine) <= 4
+    common.remove(spark, [path for _, path in mine])
+    monkeypatch.setattr(near_dup, "confirmed_edges", lambda rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        near_dup.components(frame)
+    assert list(common._made) == before
+
+
 def test_threshold_is_exact():
     a, b = np.arange(7, dtype=np.uint64), np.arange(1, 8, dtype=np.uint64)
     assert near_dup.linked(a, b) and not near_dup.linked(np.arange(6, dtype=np.uint64), np.arange(1, 7, dtype=np.uint64))

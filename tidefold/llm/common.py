@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,15 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: list[tuple[SparkSession, str]] = []  # folders of this process that may still be there
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (unit tests, a laptop) a temporary folder is made and
-    removed again at exit.
+    Only where the setting is absent and Spark runs in one process (unit tests, a laptop) a temporary
+    folder is made and removed again at exit.
     """
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidefold-")
         atexit.register(shutil.rmtree, where[len("file://"):], True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -28,7 +35,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidefold-{name}-{uuid.uuid4().hex}"
+    """A new folder's name; `tidy`, `remove` or the end of the driver removes the folder."""
+    path = f"{shared_dir(spark)}/tidefold-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, paths) -> None:
+    gone = set(paths)
+    for path in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made[:] = [m for m in _made if m[1] not in gone]
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in list(_made):
+        try:
+            remove(spark, [path])
+        except Exception:  # the session is gone; a folder on the cluster is left to its owner's clean-up
+            return
+
+
+def tidy(function):
+    """Removes the folders that `function` made: all if it fails, else all that its result no longer reads.
+
+    What the result reads stays until the driver ends, or until `remove`.  Folders of binary files are in no
+    plan; those that the result's `_folders` names stay too.
+    """
+
+    @functools.wraps(function)
+    def run(*args, **named):
+        before = {path for _, path in _made}
+        made = lambda: [(spark, path) for spark, path in _made if path not in before]
+        try:
+            out = function(*args, **named)
+        except BaseException:
+            for spark, path in made():
+                remove(spark, [path])
+            raise
+        read = {part for f in out.inputFiles() for part in f.split("/") if part.startswith("tidefold-")} | set(getattr(out, "_folders", ()))
+        for spark, path in made():
+            if path.rpartition("/")[2] not in read:
+                remove(spark, [path])
+        return out
+
+    return run
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +89,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of tables from `materialize` that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, [table._path])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,10 +166,24 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
 
 
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most `most` rows of `df`, those with the smallest hash of `key` (ties by limit).
+    """At most `most` rows of `df`, those with the smallest hash of `key`; of equal ones those with the smallest hash of all columns.
 
-    The bound is found on the key column alone, so no task sends wide rows to be compared.
+    The bounds are found on hashes alone, so no task sends wide rows to be compared.  Whatever the keys,
+    the same rows come out on every run: only among rows that are equal in all columns is the choice open.
     """
     h = F.xxhash64(key)
-    bound = df.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return df.where(h <= F.lit(bound)).limit(most) if bound is not None else df.limit(0)
+
+    def bound(column: Column, rows: DataFrame, n: int):
+        return rows.select(column.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+
+    last = bound(h, df, most) if most > 0 else None
+    if last is None:
+        return df.limit(0)
+    n = df.where(h <= last).select(F.lit(1)).limit(most + 1).count()
+    if n <= most:
+        return df.where(h <= last)
+    tie, sure = F.xxhash64(*df.columns), df.where(h < last)
+    left = most - sure.count()
+    cut = bound(tie, df.where(h == last), left)
+    more = df.where((h == last) & (tie < cut))
+    return sure.unionByName(more).unionByName(df.where((h == last) & (tie == cut)).limit(left - more.count()))

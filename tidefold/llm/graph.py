@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import materialize
+from tidefold.llm.common import materialize, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     links = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("x"), F.col(b).alias("y"))
     links = materialize(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    labels = materialize(links.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "labels")
+    labels = table = materialize(links.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "labels")
     while True:
         seen = labels.select(F.col("node").alias("y"), F.col("label").alias("seen"))
         near = links.join(seen, "y").groupBy("x").agg(F.min("seen").alias("near")).withColumnRenamed("x", "node")
@@ -25,8 +25,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
         after = low.join(up, "low").select("node", F.least("low", "up").alias("label"), (F.least("low", "up") != F.col("label")).alias("moved"))
         after = materialize(after, "labels")
-        labels = after.drop("moved")
-        if not after.where("moved").limit(1).count():
+        moved = after.where("moved").limit(1).count() > 0
+        release(table)
+        table, labels = after, after.drop("moved")
+        if not moved:
+            release(links)
             return labels
 
 

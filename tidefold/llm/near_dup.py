@@ -4,23 +4,28 @@
     one class; everything below works on one representative per class, so copies cost nothing.
 2.  A representative has 128 minwise tokens.  Each of `ROOTS` independent trees sends it to the
     node named by one token; nodes of one member vanish.
-3.  A node of at most `NODE` members is compared exhaustively on one-byte tokens; it yields a
-    spanning forest of its likely pairs, never the pairs themselves.  A larger node is first
-    compared with one pivot, which relieves it of all members whose links the pivot already
-    accounts for (Jaccard distance is a metric), and then branches again by two more tokens.
-    What is still large after `LEVELS` branchings is compared block against block.
+3.  A node of at most `LEAF` members is compared exhaustively on one-byte tokens; it yields a
+    spanning forest of its likely pairs, never the pairs themselves.  A larger node is compared
+    with one pivot, which relieves it of all members whose links the pivot already accounts for
+    (Jaccard distance is a metric), and then branches: each member goes to two children, by two
+    more tokens that its path hasn't used.  Nodes above `TASK` members branch as tables, spread
+    over all tasks; from there on a task follows a node's branches to their ends.  What is still
+    large after `LEVELS` branchings is compared block against block.
 4.  The likely pairs span clusters.  In a cluster the full sets meet once: pairs that aren't
     connected yet are confirmed exactly.  Clusters above `CLUSTER` members are relieved by
     pivots in the same way, on exact distances, and then compared block against block.
 5.  The confirmed links span the components.
 
-At similarity 0.75 a link is missed by all trees with probability 0.25 ** ROOTS (6e-8), and by
-the one-byte estimate with about 4e-5.
+A pair of similarity s shares a root with probability s, and then each of two children with
+probability s again.  Such a process ends without a common leaf with probability 1/9 at s = 0.75,
+however deep the tree, so a tree finds the pair with at least 0.75 * 8/9 and all trees miss it
+with (1/3) ** ROOTS = 2e-6 at most; the one-byte estimate misses it with about 4e-5.
 
 Defined results: null and empty texts have an empty set (n_shingles 0) and are alone in their
-component; fewer than 5 words are one shingle; rows that repeat a doc_id count as one document
-for kept; null doc_ids never lend a component its name; an empty table gives no rows; other
-columns are ignored.
+component; fewer than 5 words are one shingle; rows that repeat a doc_id are judged by their own
+text, and share the id's verdict where their text is the same; null doc_ids never lend a component
+its name; very long texts are one set like any other; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,20 +35,22 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidefold.llm.common import map_arrow, materialize, row_slices, small_enough, text_or_empty
+from tidefold.llm.common import map_arrow, materialize, release, row_slices, small_enough, text_or_empty, tidy
 from tidefold.llm.graph import Parts, connected_components, sorted_groups
 
 WORDS = 5
 TOKENS = 128
 ROOTS = 12
-NODE = 4000
-LEVELS = 5
-CLUSTER = 4000
-BLOCK = 2000
+LEAF = 32
+TASK = 1000
+LEVELS = 10
+CLUSTER = 1000
+ROUNDS = 2  # of pivots for large clusters
+BLOCK = 500
 MEMBER_BYTES = 16 << 10  # of shingles; larger sets count as several members of a cluster
 LIKELY = 0.6  # the limit of 0.75 less four standard errors of the estimate from 128 tokens
-NEAR_PIVOT = 0.5
 SLACK = 0.35  # link distance 0.25 and what estimates may err
 MOST_IDS = 1_000_000
 MOST_PIVOTS = 2_000
@@ -105,8 +112,12 @@ def root_nodes(t: np.ndarray) -> np.ndarray:
     return mix(t[:ROOTS] + M3 * np.arange(1, ROOTS + 1, dtype=np.uint64)).view(np.int64)
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class id, root nodes, one-byte tokens of every row (null for empty sets)."""
+    """doc_id, text_hash, n_shingles, class id, root nodes, one-byte tokens of every row (null for empty sets)."""
 
     def run(batches):
         import pyarrow as pa
@@ -125,52 +136,96 @@ def sketch(docs: DataFrame) -> DataFrame:
                     cid.append(set_name(s))
                     roots.append(root_nodes(t))
                     small.append(small_tokens(t))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "cid", "roots", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "cid", "roots", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_arrow(rows, run, "doc_id long, n_shingles long, cid long, roots array<long>, tokens binary")
+    return map_arrow(named_texts(docs), run, "doc_id long, text_hash long, n_shingles long, cid long, roots array<long>, tokens binary")
 
 
 def token_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
 
 
-def likely_forest(matrix: np.ndarray, sizes: np.ndarray, left: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that may reach the limit; with `left`, of pairs across that border only."""
-    m = len(matrix)
-    parts, out, least = Parts(m), [], LIKELY * TOKENS
+def likely_pairs(matrix: np.ndarray, sizes: np.ndarray, at: np.ndarray, parts: Parts, out: list[tuple[int, int]], left: int | None = None) -> None:
+    """Adds a spanning forest of the pairs among `at` that may reach the limit; with `left`, of pairs across that border only."""
+    m, least = len(at), LIKELY * TOKENS
     for i in range(m - 1 if left is None else left):
-        start = i + 1 if left is None else left
-        n = sizes[start:]
-        apart = np.flatnonzero((parts.of[start:] != parts.of[i]) & (4 * np.minimum(n, sizes[i]) >= 3 * np.maximum(n, sizes[i])))
-        same = np.count_nonzero(matrix[start + apart] == matrix[i], axis=1)
-        for j in (start + apart[same >= least]).tolist():
-            if parts.join(i, j):
-                out.append((i, j))
+        others = at[i + 1 if left is None else left:]
+        n, own = sizes[others], sizes[at[i]]
+        apart = others[(parts.of[others] != parts.of[at[i]]) & (4 * np.minimum(n, own) >= 3 * np.maximum(n, own))]
+        if not len(apart):
+            continue
+        same = np.count_nonzero(matrix[apart] == matrix[at[i]], axis=1)
+        for j in apart[same >= least].tolist():
+            if parts.join(int(at[i]), j):
+                out.append((int(at[i]), j))
+
+
+@functools.lru_cache(maxsize=None)
+def token_place(tree: int, child: int) -> int:
+    """The token that leads to a child of a tree (its root is 1, the children of h are 2 h and 2 h + 1); none twice on a path."""
+    taken, above = {tree}, child >> 1
+    while above > 1:
+        taken.add(token_place(tree, above))
+        above >>= 1
+    order = np.random.default_rng([tree, child]).permutation(TOKENS)
+    return next(x for x in order.tolist() if x not in taken)
+
+
+def settled(same: np.ndarray) -> np.ndarray:
+    """Of a node's members, by the tokens they share with its pivot (the first), those it needn't follow any further; see `relieve`."""
+    s = same / TOKENS
+    outside = s < LIKELY
+    out = ~outside & (s > (s[outside].max() + SLACK if outside.any() else -1.0))
+    out[0] = True
     return out
 
 
+def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int) -> tuple[list[tuple[int, int]], int]:
+    """The forest of likely pairs of one node by its branches, and the depth of the deepest."""
+    parts, out, deepest = Parts(len(matrix)), [], place.bit_length() - 1
+    todo = [(np.arange(len(matrix)), place)]
+    while todo:
+        at, place = todo.pop()
+        deepest = max(deepest, place.bit_length() - 1)
+        if len(at) <= LEAF or place >= 1 << LEVELS:
+            likely_pairs(matrix, sizes, at, parts, out)
+            continue
+        same = np.count_nonzero(matrix[at] == matrix[at[0]], axis=1)
+        for j in at[1:][same[1:] >= LIKELY * TOKENS].tolist():
+            if parts.join(int(at[0]), j):
+                out.append((int(at[0]), j))
+        at = at[~settled(same)]
+        for child in (2 * place, 2 * place + 1):
+            token = matrix[at, token_place(tree, child)]
+            order = np.argsort(token, kind="stable")
+            for some in np.split(at[order], np.flatnonzero(np.diff(token[order])) + 1):
+                if len(some) > 1 and (parts.of[some] != parts.of[some[0]]).any():
+                    todo.append((some, child))
+    return out, deepest
+
+
 def deal(rows: DataFrame, key: str) -> DataFrame:
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(n, key).sortWithinPartitions(key)
 
 
-def compare_nodes(rows: DataFrame, key: str = "node") -> DataFrame:
-    """Edges (a, b) of likely pairs inside each node; nodes are small."""
+def compare_nodes(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of likely pairs inside each node; a task follows a node of at most TASK members by itself."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch, groups in sorted_groups(batches, key):
+        for batch, groups in sorted_groups(batches, "node"):
             matrix, sizes, cid = token_matrix(batch.column("tokens")), batch.column("n").to_numpy(), batch.column("cid").to_numpy()
+            trees, places = batch.column("tree").to_numpy(), batch.column("place").to_numpy()
             a, b = [], []
             for start, stop in groups:
-                for i, j in likely_forest(matrix[start:stop], sizes[start:stop]):
+                for i, j in follow(matrix[start:stop], sizes[start:stop], int(trees[start]), int(places[start]))[0]:
                     a.append(cid[start + i])
                     b.append(cid[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_arrow(deal(rows.select(key, "cid", "n", "tokens"), key), run, "a long, b long")
+    return map_arrow(deal(rows.select("node", "tree", "place", "cid", "n", "tokens"), "node"), run, "a long, b long")
 
 
 def block_pairs(rows: DataFrame, key: str, members: str) -> DataFrame:
@@ -207,32 +262,34 @@ def compare_blocks(rows: DataFrame, key: str, members: str, judge_pairs) -> Data
 
 
 def likely_blocks(batch, start: int, stop: int, border: int | None):
-    part = batch.slice(start, stop - start)
-    return likely_forest(token_matrix(part.column("tokens")), part.column("n").to_numpy(), border)
+    part, out = batch.slice(start, stop - start), []
+    likely_pairs(token_matrix(part.column("tokens")), part.column("n").to_numpy(), np.arange(stop - start), Parts(stop - start), out, border)
+    return out
 
 
 def likely_edges(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between class ids that connect every pair of similar classes; as many as there are node members at most."""
+    """Edges (a, b) between class ids that connect every pair of similar classes; fewer than the members of all nodes and leaves."""
     facts = classes.select("cid", F.col("n_shingles").alias("n"), "tokens")
-    entries = classes.select("cid", F.explode("roots").alias("node"))
-    found = None
+    entries = classes.select("cid", F.posexplode("roots").alias("tree", "node")).select("cid", "node", "tree", F.lit(1).alias("place"))
+    found, before = [], None
     for level in range(LEVELS + 1):
         nodes = entries.groupBy("node").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1")
-        entries = entries.select("node", "cid").join(nodes, "node").join(facts, "cid")
+        entries = entries.join(nodes, "node").join(facts, "cid").select("node", "tree", "place", "cid", "pivot", "n", "tokens", "members")
         entries = materialize(entries, f"nodes-{level}")
-        edges = compare_nodes(entries.where(F.col("members") <= NODE))
-        large = entries.where(F.col("members") > NODE)
+        edges = compare_nodes(entries.where(F.col("members") <= TASK))
+        large = entries.where(F.col("members") > TASK)
         more = large.limit(1).count() > 0
         if more and level == LEVELS:
             edges = edges.unionByName(compare_blocks(large, "node", "members", likely_blocks))
         elif more:
             large = materialize(with_estimates(large), f"large-{level}")
-            edges = edges.unionByName(large.where((F.col("s") >= NEAR_PIVOT) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-            entries = branch(relieve(large, NEAR_PIVOT, SLACK))
-        found = edges if found is None else found.unionByName(edges)
-        if not more:
+            edges = edges.unionByName(large.where((F.col("s") >= LIKELY) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+        found.append(materialize(edges, f"edges-{level}"))
+        release(*[t for t in (entries, before) if t is not None])
+        if not more or level == LEVELS:
             break
-    return materialize(found, "likely")
+        before, entries = large, branch(relieve(large, LIKELY, SLACK))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def with_estimates(large: DataFrame) -> DataFrame:
@@ -247,10 +304,10 @@ def with_estimates(large: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 same = np.count_nonzero(token_matrix(batch.column("tokens")) == token_matrix(batch.column("of_pivot")), axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(same / TOKENS, pa.float64())], names=[*batch.schema.names[:5], "s"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(same / TOKENS, pa.float64())], names=[*batch.schema.names[:6], "s"])
 
-    rows = large.join(pivots, "node").select("node", "cid", "pivot", "n", "tokens", "of_pivot")
-    return map_arrow(rows, run, "node long, cid long, pivot long, n long, tokens binary, s double")
+    rows = large.join(pivots, "node").select("node", "tree", "place", "cid", "pivot", "tokens", "of_pivot")
+    return map_arrow(rows, run, "node long, tree int, place int, cid long, pivot long, tokens binary, s double")
 
 
 def relieve(rows: DataFrame, linked: float, slack: float, key: str = "node") -> DataFrame:
@@ -268,13 +325,23 @@ def relieve(rows: DataFrame, linked: float, slack: float, key: str = "node") ->
 
 
 def branch(rows: DataFrame) -> DataFrame:
-    """Two children of each node by two more tokens, chosen by the node's name."""
+    """Each row (node, tree, place, cid, tokens) at the two children of its node."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    def child(k: int):
-        place = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS)).cast("int") + 1
-        return F.xxhash64("node", F.lit(k), F.substring("tokens", place, F.lit(1)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix, node = token_matrix(batch.column("tokens")), batch.column("node").to_numpy().view(np.uint64)
+            tree, place, cid = (batch.column(c).to_numpy() for c in ("tree", "place", "cid"))
+            for side in (0, 1):
+                child = 2 * place + side
+                at = [token_place(t, c) for t, c in zip(tree.tolist(), child.tolist(), strict=True)]
+                name = mix(node * M3 + child.astype(np.uint64) * np.uint64(256) + matrix[np.arange(len(at)), at])
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(name.view(np.int64)), pa.array(tree), pa.array(child.astype(np.int32))], names=["cid", "node", "tree", "place"])
 
-    return rows.select("cid", F.explode(F.array(child(1), child(2))).alias("node"))
+    return map_arrow(rows.select("node", "tree", "place", "cid", "tokens"), run, "cid long, node long, tree int, place int")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -321,26 +388,28 @@ def as_sets(column) -> list[np.ndarray]:
 
 
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """cluster, cid, tokens and the full set of each representative in `members` (doc_id, cid, cluster)."""
-    ids = members.select(F.col("doc_id").alias("rep"), "cid", "cluster")
-    if small_enough(ids, MOST_IDS):  # three longs each; beyond that texts and ids meet by shuffle
+    """cluster, cid, tokens and the full set of each representative in `members` (doc_id, text_hash, cid, cluster)."""
+    ids = members.select(F.col("doc_id").alias("rep"), F.col("text_hash").alias("rep_text"), "cid", "cluster")
+    if small_enough(ids, MOST_IDS):  # four longs each; beyond that texts and ids meet by shuffle
         ids = F.broadcast(ids)
 
     def run(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()  # rows that repeat the representative's id and text count once
         for whole in batches:
             for batch in row_slices(whole):
                 rows = []
                 for cluster, cid, text in zip(*[batch.column(c).to_pylist() for c in ("cluster", "cid", "text")], strict=True):
+                    if cid in seen:
+                        continue
                     s = shingle_set(text)
-                    if len(s) and set_name(s) == cid:  # else another text under the same doc_id
-                        rows.append((cluster, cid, small_tokens(tokens(s)), s.tobytes()))
+                    seen.add(cid)
+                    rows.append((cluster, cid, small_tokens(tokens(s)), s.tobytes()))
                 clusters, cids, small, sets = zip(*rows, strict=True) if rows else ((),) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int64()), pa.array(cids, pa.int64()), pa.array(small, pa.binary()), pa.array(sets, pa.binary())], names=["cluster", "cid", "tokens", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cluster", "cid", "text")
+    rows = named_texts(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_text"))).select("cluster", "cid", "text")
     return map_arrow(rows, run, "cluster long, cid long, tokens binary, shingles binary")
 
 
@@ -372,7 +441,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
         return confirmed_forest(token_matrix(part.column("tokens")), as_sets(part.column("shingles")), border)
 
     found = None
-    for level in range(LEVELS + 1):
+    for level in range(ROUNDS + 1):
         bulk = F.ceil(F.sum(F.octet_length("shingles")) / MEMBER_BYTES).cast("long")
         sizes = rows.groupBy("cluster").agg(F.greatest(F.count("*"), bulk).alias("members"), F.min("cid").alias("pivot"))
         large_sizes = sizes.where(F.col("members") > CLUSTER)
@@ -381,7 +450,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
         edges = map_arrow(deal(tagged.where(F.col("members").isNull()).select("cluster", "cid", "tokens", "shingles"), "cluster"), small, "a long, b long")
         large = tagged.where(F.col("members").isNotNull())
         more = large_sizes.limit(1).count() > 0
-        if more and level == LEVELS:
+        if more and level == ROUNDS:
             edges = edges.unionByName(compare_blocks(large, "cluster", "members", blocks))
         elif more:
             pivots = large.where(F.col("cid") == F.col("pivot")).groupBy("cluster").agg(F.first("shingles").alias("of_pivot"))
@@ -395,26 +464,76 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
     return materialize(found, "confirmed")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, cid (null for empty sets), component (a class id) and component_id of every row."""
     rows = materialize(sketch(docs), "sketches")
-    classes = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
-    classes = materialize(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    classes = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(first.alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
+    classes = materialize(classes.select("cid", "rep.doc_id", "rep.text_hash", "n_shingles", "roots", "tokens"), "classes")
     clusters = connected_components(likely_edges(classes)).select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
-    members = materialize(classes.select("cid", "doc_id").join(clusters, "cid"), "clusters")
+    members = materialize(classes.select("cid", "doc_id", "text_hash").join(clusters, "cid"), "clusters")
     sets = materialize(full_sets(docs, members), "sets")
-    links = connected_components(confirmed_edges(sets)).select(F.col("node").alias("cid"), F.col("label").alias("component"))
+    edges = confirmed_edges(sets)
+    release(sets)
+    links = connected_components(edges).select(F.col("node").alias("cid"), F.col("label").alias("component"))
     named = classes.select("cid", "doc_id").join(links, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "component").select("cid", "component_id")
+    named = named.join(smallest, "component").select("cid", "component", "component_id")
     out = rows.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "cid", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+@tidy
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    out = judged(docs).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def class_names(rows: DataFrame, text: str) -> DataFrame:
+    """`rows` with the class id of each row's text as _cid."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in row_slices(whole, column=text):
+                sets = [shingle_set(t or "") for t in batch.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_name(s) if len(s) else None for s in sets], pa.int64())], names=[*batch.schema.names, "_cid"])
+
+    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("_cid", T.LongType())]))
+
+
+@tidy
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, unchanged, of one document in each component."""
-    gone = materialize(components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    if small_enough(gone, MOST_IDS):  # 8 bytes each; beyond that by shuffle
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of `docs`, unchanged, of one document in each component, and all without words.
+
+    The smallest doc_id stays (null ones come last, then the smallest class id).  Of rows that repeat
+    a doc_id, each is judged by its own text, and of those with the same shingles one stays, the one
+    with the smallest hash of all its columns.
+    """
+    rows = materialize(judged(docs).select("doc_id", "cid", "component"), "judged")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "cid")
+    best = rows.where(F.col("cid").isNotNull()).groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.cid").alias("cid"), F.col("best.doc_id").alias("best_id"))
+    verdicts = rows.join(best.withColumnsRenamed({"cid": "c", "best_id": "b"}), F.col("cid").eqNullSafe(F.col("c")) & F.col("doc_id").eqNullSafe(F.col("b")), "left")
+    verdicts = materialize(verdicts.select("doc_id", "cid", (F.col("cid").isNull() | F.col("c").isNotNull()).alias("stays")), "verdicts")
+    odd = verdicts.where(F.col("cid").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_odd"))
+    odd = materialize(odd, "repeated-ids")
+    gone = verdicts.where(~F.col("stays")).select(F.col("doc_id").alias("_gone")).join(odd, F.col("_gone").eqNullSafe(F.col("_odd")), "left_anti").distinct()
+    gone = materialize(gone.where(F.col("_gone").isNotNull()), "gone")
+    by_size = lambda df: F.broadcast(df) if small_enough(df, MOST_IDS) else df  # noqa: E731  8 bytes each; beyond that by shuffle
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # whatever they are called
+    numbered = docs.toDF(*columns)
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    key = F.col(doc_id).cast("long")
+    if not odd.limit(1).count():
+        return numbered.join(by_size(gone), key == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    plain = numbered.join(by_size(gone.unionByName(odd.select(F.col("_odd").alias("_gone")))), key.eqNullSafe(F.col("_gone")), "left_anti")
+    # rows with a repeated or null id: judged by their own text
+    again = numbered.join(by_size(odd), key.eqNullSafe(F.col("_odd")), "left_semi")
+    again = materialize(class_names(again, text).withColumn("_id", key), "repeated-rows")
+    empty = again.where(F.col("_cid").isNull()).select(*columns)
+    stay = verdicts.where("stays AND cid IS NOT NULL").select(F.col("doc_id").alias("s"), F.col("cid").alias("t"))
+    again = again.join(stay, F.col("_id").eqNullSafe(F.col("s")) & (F.col("_cid") == F.col("t")), "left_semi")
+    one = again.groupBy("_id", "_cid").agg(F.min_by(F.struct(*columns), F.xxhash64(F.to_json(F.struct(*columns)))).alias("row")).select("row.*")
+    return plain.unionByName(empty.unionByName(one)).toDF(*docs.columns)
