@@ -96,15 +96,17 @@ def test_paths_use_no_token_twice_and_tables_branch_like_tasks(spark):
             assert len({tree, *(near_dup.token_place(tree, h) for h in path)}) == len(path) + 1
     rng = np.random.default_rng(1)
     matrix = rng.integers(0, 3, (50, near_dup.TOKENS), dtype=np.uint8)
-    rows = [(7, 2, 1, i, matrix[i].tobytes()) for i in range(50)]
-    out = near_dup.branch(spark.createDataFrame(rows, "node long, tree int, place int, cid long, tokens binary")).collect()
-    for child in (2, 3):
-        at = near_dup.token_place(2, child)
-        groups = {}
+    rows = [(7, 2, 1, i, i, 9, matrix[i].tobytes()) for i in range(50)]
+    out = near_dup.branch(spark.createDataFrame(rows, "node long, tree int, place int, cid long, part long, n long, tokens binary")).collect()
+    for place in (4, 5, 6, 7):
+        at = [near_dup.token_place(2, place >> 1), near_dup.token_place(2, place)]
+        groups, want = {}, {}
         for r in out:
-            if r.place == child:
+            if r.place == place:
                 groups.setdefault(r.node, set()).add(r.cid)
-        assert sorted(map(sorted, groups.values())) == sorted([i for i in range(50) if matrix[i, at] == v] for v in range(3))
+        for i in range(50):
+            want.setdefault(tuple(matrix[i, at]), set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
 def test_recall_of_the_trees_at_the_limit():

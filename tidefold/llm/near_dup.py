@@ -8,9 +8,10 @@
     spanning forest of its likely pairs, never the pairs themselves.  A larger node is compared
     with one pivot, which relieves it of all members whose links the pivot already accounts for
     (Jaccard distance is a metric), and then branches: each member goes to two children, by two
-    more tokens that its path hasn't used.  Nodes above `TASK` members branch as tables, spread
-    over all tasks; from there on a task follows a node's branches to their ends.  What is still
-    large after `LEVELS` branchings is compared block against block.
+    more tokens that its path hasn't used.  Nodes above `TASK` members branch as tables, two levels
+    at a time and spread over all tasks; from there on a task follows a node's branches to their
+    ends.  Members that a pivot has linked go down as linked.  What is still large after `LEVELS`
+    branchings is compared block against block.
 4.  The likely pairs span clusters.  In a cluster the full sets meet once: pairs that aren't
     connected yet are confirmed exactly.  Clusters above `CLUSTER` members are relieved by
     pivots in the same way, on exact distances, and then compared block against block.
@@ -46,9 +47,9 @@ ROOTS = 12
 LEAF = 32
 TASK = 1000
 LEVELS = 10
-CLUSTER = 1000
-ROUNDS = 2  # of pivots for large clusters
-BLOCK = 500
+CLUSTER = 250
+ROUNDS = 1  # of pivots for large clusters
+BLOCK = 125
 MEMBER_BYTES = 16 << 10  # of shingles; larger sets count as several members of a cluster
 LIKELY = 0.6  # the limit of 0.75 less four standard errors of the estimate from 128 tokens
 SLACK = 0.35  # link distance 0.25 and what estimates may err
@@ -180,9 +181,12 @@ def settled(same: np.ndarray) -> np.ndarray:
     return out
 
 
-def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int) -> tuple[list[tuple[int, int]], int]:
-    """The forest of likely pairs of one node by its branches, and the depth of the deepest."""
+def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int, known: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int]:
+    """The forest of likely pairs of one node by its branches, and the depth of the deepest; members of one `known` part are linked already."""
     parts, out, deepest = Parts(len(matrix)), [], place.bit_length() - 1
+    if known is not None:
+        _, first, part = np.unique(known, return_index=True, return_inverse=True)
+        parts.of = first[part]
     todo = [(np.arange(len(matrix)), place)]
     while todo:
         at, place = todo.pop()
@@ -217,15 +221,17 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
 
         for batch, groups in sorted_groups(batches, "node"):
             matrix, sizes, cid = token_matrix(batch.column("tokens")), batch.column("n").to_numpy(), batch.column("cid").to_numpy()
-            trees, places = batch.column("tree").to_numpy(), batch.column("place").to_numpy()
+            trees, places, part = (batch.column(c).to_numpy() for c in ("tree", "place", "part"))
             a, b = [], []
             for start, stop in groups:
-                for i, j in follow(matrix[start:stop], sizes[start:stop], int(trees[start]), int(places[start]))[0]:
+                if stop - start < 2:
+                    continue
+                for i, j in follow(matrix[start:stop], sizes[start:stop], int(trees[start]), int(places[start]), part[start:stop])[0]:
                     a.append(cid[start + i])
                     b.append(cid[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_arrow(deal(rows.select("node", "tree", "place", "cid", "n", "tokens"), "node"), run, "a long, b long")
+    return map_arrow(deal(rows.select("node", "tree", "place", "cid", "part", "n", "tokens"), "node"), run, "a long, b long")
 
 
 def block_pairs(rows: DataFrame, key: str, members: str) -> DataFrame:
@@ -268,33 +274,39 @@ def likely_blocks(batch, start: int, stop: int, border: int | None):
 
 
 def likely_edges(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between class ids that connect every pair of similar classes; fewer than the members of all nodes and leaves."""
-    facts = classes.select("cid", F.col("n_shingles").alias("n"), "tokens")
+    """Edges (a, b) between class ids that connect every pair of similar classes; fewer than the members of all nodes."""
+    facts = classes.select("cid", F.col("cid").alias("part"), F.col("n_shingles").alias("n"), "tokens")
     entries = classes.select("cid", F.posexplode("roots").alias("tree", "node")).select("cid", "node", "tree", F.lit(1).alias("place"))
     found, before = [], None
-    for level in range(LEVELS + 1):
-        nodes = entries.groupBy("node").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1")
-        entries = entries.join(nodes, "node").join(facts, "cid").select("node", "tree", "place", "cid", "pivot", "n", "tokens", "members")
-        entries = materialize(entries, f"nodes-{level}")
-        edges = compare_nodes(entries.where(F.col("members") <= TASK))
-        large = entries.where(F.col("members") > TASK)
-        more = large.limit(1).count() > 0
-        if more and level == LEVELS:
-            edges = edges.unionByName(compare_blocks(large, "node", "members", likely_blocks))
-        elif more:
-            large = materialize(with_estimates(large), f"large-{level}")
-            edges = edges.unionByName(large.where((F.col("s") >= LIKELY) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+    for level in range(0, LEVELS + 2, 2):
+        nodes = materialize(entries.groupBy("node").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1"), f"nodes-{level}")
+        big = nodes.where(F.col("members") > TASK)
+        more = big.limit(1).count() > 0
+        big = F.broadcast(big) if small_enough(big, MOST_PIVOTS) else big  # a row per large node; joined by shuffle beyond that
+        rest = entries.join(big, "node", "left_anti") if more else entries
+        if not level:  # most roots have one member
+            rest = rest.join(nodes.where(F.col("members") <= TASK), "node", "left_semi").join(facts, "cid")
+        edges = compare_nodes(rest)
+        if more:
+            large = entries.join(big, "node")
+            large = large.join(facts, "cid") if not level else large
+            if level >= LEVELS:
+                edges = edges.unionByName(compare_blocks(large, "node", "members", likely_blocks))
+            else:
+                large = materialize(with_estimates(large), f"large-{level}")
+                linked_now = (F.col("s") >= LIKELY) & (F.col("part") != F.col("pivot_part"))
+                edges = edges.unionByName(large.where(linked_now).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
         found.append(materialize(edges, f"edges-{level}"))
-        release(*[t for t in (entries, before) if t is not None])
-        if not more or level == LEVELS:
+        release(*[t for t in (nodes, before) if t is not None])
+        if not more or level >= LEVELS:
             break
-        before, entries = large, branch(relieve(large, LIKELY, SLACK))
+        before, entries = large, branch(relieve(large.withColumn("part", F.when(F.col("s") >= LIKELY, F.col("pivot_part")).otherwise(F.col("part"))), LIKELY, SLACK))
     return functools.reduce(DataFrame.unionByName, found)
 
 
 def with_estimates(large: DataFrame) -> DataFrame:
-    """Adds s, the estimated similarity to the node's pivot."""
-    pivots = large.where(F.col("cid") == F.col("pivot")).select("node", F.col("tokens").alias("of_pivot"))
+    """Adds s, the estimated similarity to the node's pivot, and the pivot's part."""
+    pivots = large.where(F.col("cid") == F.col("pivot")).select("node", F.col("tokens").alias("of_pivot"), F.col("part").alias("pivot_part"))
     if small_enough(pivots, MOST_PIVOTS):  # a row per large node; joined by shuffle beyond that
         pivots = F.broadcast(pivots)
 
@@ -304,10 +316,10 @@ def with_estimates(large: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 same = np.count_nonzero(token_matrix(batch.column("tokens")) == token_matrix(batch.column("of_pivot")), axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(same / TOKENS, pa.float64())], names=[*batch.schema.names[:6], "s"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:9], pa.array(same / TOKENS, pa.float64())], names=[*batch.schema.names[:9], "s"])
 
-    rows = large.join(pivots, "node").select("node", "tree", "place", "cid", "pivot", "tokens", "of_pivot")
-    return map_arrow(rows, run, "node long, tree int, place int, cid long, pivot long, tokens binary, s double")
+    rows = large.join(pivots, "node").select("node", "tree", "place", "cid", "part", "n", "pivot", "pivot_part", "tokens", "of_pivot")
+    return map_arrow(rows, run, "node long, tree int, place int, cid long, part long, n long, pivot long, pivot_part long, tokens binary, s double")
 
 
 def relieve(rows: DataFrame, linked: float, slack: float, key: str = "node") -> DataFrame:
@@ -325,7 +337,7 @@ def relieve(rows: DataFrame, linked: float, slack: float, key: str = "node") ->
 
 
 def branch(rows: DataFrame) -> DataFrame:
-    """Each row (node, tree, place, cid, tokens) at the two children of its node."""
+    """Each row (node, tree, place, cid, part, n, tokens) at the four grandchildren of its node."""
 
     def run(batches):
         import pyarrow as pa
@@ -334,14 +346,21 @@ def branch(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             matrix, node = token_matrix(batch.column("tokens")), batch.column("node").to_numpy().view(np.uint64)
-            tree, place, cid = (batch.column(c).to_numpy() for c in ("tree", "place", "cid"))
+            trees, place = batch.column("tree").to_numpy().tolist(), batch.column("place").to_numpy()
+
+            def below(name, child):
+                at = [token_place(t, c) for t, c in zip(trees, child.tolist(), strict=True)]
+                return mix(name * M3 + child.astype(np.uint64) * np.uint64(256) + matrix[np.arange(len(at)), at])
+
             for side in (0, 1):
                 child = 2 * place + side
-                at = [token_place(t, c) for t, c in zip(tree.tolist(), child.tolist(), strict=True)]
-                name = mix(node * M3 + child.astype(np.uint64) * np.uint64(256) + matrix[np.arange(len(at)), at])
-                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(name.view(np.int64)), pa.array(tree), pa.array(child.astype(np.int32))], names=["cid", "node", "tree", "place"])
+                name = below(node, child)
+                for end in (0, 1):
+                    last = 2 * child + end
+                    kept = [batch.column(c) for c in ("tree", "cid", "part", "n", "tokens")]
+                    yield pa.RecordBatch.from_arrays([pa.array(below(name, last).view(np.int64)), pa.array(last.astype(np.int32)), *kept], names=["node", "place", "tree", "cid", "part", "n", "tokens"])
 
-    return map_arrow(rows.select("node", "tree", "place", "cid", "tokens"), run, "cid long, node long, tree int, place int")
+    return map_arrow(rows.select("node", "tree", "place", "cid", "part", "n", "tokens"), run, "node long, place int, tree int, cid long, part long, n long, tokens binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
