@@ -73,11 +73,20 @@ def test_the_estimate_is_unbiased_and_within_its_bound():
     assert (np.abs(error) < embeddings.ERROR * np.sqrt((1 - factor**2) / (factor**2 * (d - 1)))).all()
 
 
-def test_band_plan_keeps_its_promise():
+@pytest.mark.parametrize("d", [2, 3, 64, 200])
+def test_band_plan_keeps_its_promise(d):
     for n in (2, 1000, 10**6, 10**9):
-        width, bands = embeddings.bands_for(n)
-        agree = 1 - np.arccos(0.95) / np.pi
-        assert (1 - agree**width) ** bands <= embeddings.MISSED * 1.001
+        k, signs, bands = embeddings.bands_for(n, d)
+        both = embeddings.agreement(d, 0.95) ** k * (1 - np.arccos(0.95) / np.pi) ** signs
+        assert (1 - both) ** bands <= embeddings.MISSED * 1.001
+        assert k * np.log2(2 * embeddings.wide(d)) + signs >= np.log2(n) + 3
+    rng = np.random.default_rng(8)
+    o, q = rng.standard_normal((2, 300, d))
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    q -= (o * q).sum(axis=1, keepdims=True) * o
+    q = 0.95 * o + np.sqrt(1 - 0.95**2) * q / np.linalg.norm(q, axis=1, keepdims=True)
+    plan = embeddings.bands_for(1000, d)
+    assert ((embeddings.band_names(o, plan) == embeddings.band_names(q, plan)).any(axis=1)).all()
 
 
 def test_recall_right_at_the_limit(spark):
