@@ -4,8 +4,8 @@
     one class; everything below works on one representative per class, so copies cost nothing.
 2.  A representative has 128 minwise tokens.  Each of `ROOTS` independent trees sends it to the
     node named by one token; nodes of one member vanish.
-3.  A node of at most `LEAF` members is compared exhaustively on one-byte tokens; it yields a
-    spanning forest of its likely pairs, never the pairs themselves.  A larger node is compared
+3.  A node of at most `LEAF` members is compared exhaustively on one-byte tokens; it yields
+    what its likely pairs connect, never the pairs themselves.  A larger node is compared
     with one pivot, which relieves it of all members whose links the pivot already accounts for
     (Jaccard distance is a metric), and then branches: each member goes to two children, by two
     more tokens that its path hasn't used.  Nodes above `TASK` members branch as tables, two levels
@@ -146,8 +146,8 @@ def token_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
 
 
-def likely_pairs(matrix: np.ndarray, sizes: np.ndarray, at: np.ndarray, parts: Parts, out: list[tuple[int, int]], left: int | None = None) -> None:
-    """Adds a spanning forest of the pairs among `at` that may reach the limit; with `left`, of pairs across that border only."""
+def likely_pairs(matrix: np.ndarray, sizes: np.ndarray, at: np.ndarray, parts: Parts, left: int | None = None) -> None:
+    """Joins the pairs among `at` that may reach the limit; with `left`, pairs across that border only."""
     m, least = len(at), LIKELY * TOKENS
     for i in range(m - 1 if left is None else left):
         others = at[i + 1 if left is None else left:]
@@ -157,8 +157,7 @@ def likely_pairs(matrix: np.ndarray, sizes: np.ndarray, at: np.ndarray, parts: P
             continue
         same = np.count_nonzero(matrix[apart] == matrix[at[i]], axis=1)
         for j in apart[same >= least].tolist():
-            if parts.join(int(at[i]), j):
-                out.append((int(at[i]), j))
+            parts.join(int(at[i]), j)
 
 
 @functools.lru_cache(maxsize=None)
@@ -181,9 +180,9 @@ def settled(same: np.ndarray) -> np.ndarray:
     return out
 
 
-def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int, known: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int]:
-    """The forest of likely pairs of one node by its branches, and the depth of the deepest; members of one `known` part are linked already."""
-    parts, out, deepest = Parts(len(matrix)), [], place.bit_length() - 1
+def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int, known: np.ndarray | None = None) -> tuple[Parts, int]:
+    """What the branches of one node connect by likely pairs, and how deep they go; members of one `known` part are linked already."""
+    parts, deepest = Parts(len(matrix)), place.bit_length() - 1
     if known is not None:
         _, first, part = np.unique(known, return_index=True, return_inverse=True)
         parts.of = first[part]
@@ -192,12 +191,11 @@ def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int, known:
         at, place = todo.pop()
         deepest = max(deepest, place.bit_length() - 1)
         if len(at) <= LEAF or place >= 1 << LEVELS:
-            likely_pairs(matrix, sizes, at, parts, out)
+            likely_pairs(matrix, sizes, at, parts)
             continue
         same = np.count_nonzero(matrix[at] == matrix[at[0]], axis=1)
         for j in at[1:][same[1:] >= LIKELY * TOKENS].tolist():
-            if parts.join(int(at[0]), j):
-                out.append((int(at[0]), j))
+            parts.join(int(at[0]), j)
         at = at[~settled(same)]
         for child in (2 * place, 2 * place + 1):
             token = matrix[at, token_place(tree, child)]
@@ -205,7 +203,15 @@ def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int, known:
             for some in np.split(at[order], np.flatnonzero(np.diff(token[order])) + 1):
                 if len(some) > 1 and (parts.of[some] != parts.of[some[0]]).any():
                     todo.append((some, child))
-    return out, deepest
+    return parts, deepest
+
+
+def stars(cid: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each member of a part to the member with the smallest cid, so that many nodes name the same edges."""
+    least = np.full(len(cid), np.iinfo(np.int64).max)
+    np.minimum.at(least, parts, cid)
+    a = np.flatnonzero(least[parts] != cid)
+    return cid[a], least[parts[a]]
 
 
 def deal(rows: DataFrame, key: str) -> DataFrame:
@@ -226,10 +232,11 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
             for start, stop in groups:
                 if stop - start < 2:
                     continue
-                for i, j in follow(matrix[start:stop], sizes[start:stop], int(trees[start]), int(places[start]), part[start:stop])[0]:
-                    a.append(cid[start + i])
-                    b.append(cid[start + j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                x, y = stars(cid[start:stop], follow(matrix[start:stop], sizes[start:stop], int(trees[start]), int(places[start]), part[start:stop])[0].of)
+                a.append(x)
+                b.append(y)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
     return map_arrow(deal(rows.select("node", "tree", "place", "cid", "part", "n", "tokens"), "node"), run, "a long, b long")
 
@@ -247,7 +254,7 @@ def block_pairs(rows: DataFrame, key: str, members: str) -> DataFrame:
 
 
 def compare_blocks(rows: DataFrame, key: str, members: str, judge_pairs) -> DataFrame:
-    """Edges from block against block; judge_pairs(batch, start, stop, border) gives index pairs, border None for a block with itself."""
+    """Edges from block against block; judge_pairs(batch, start, stop, border) gives Parts, border None for a block with itself."""
 
     def run(batches):
         import pyarrow as pa
@@ -257,10 +264,10 @@ def compare_blocks(rows: DataFrame, key: str, members: str, judge_pairs) -> Data
             a, b = [], []
             for start, stop in groups:
                 border = None if inside[start] else int(np.searchsorted(second[start:stop], True))
-                for i, j in judge_pairs(batch, start, stop, border):
-                    a.append(cid[start + i])
-                    b.append(cid[start + j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                x, y = stars(cid[start:stop], judge_pairs(batch, start, stop, border).of)
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
     pairs = block_pairs(rows, key, members)
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -268,40 +275,45 @@ def compare_blocks(rows: DataFrame, key: str, members: str, judge_pairs) -> Data
 
 
 def likely_blocks(batch, start: int, stop: int, border: int | None):
-    part, out = batch.slice(start, stop - start), []
-    likely_pairs(token_matrix(part.column("tokens")), part.column("n").to_numpy(), np.arange(stop - start), Parts(stop - start), out, border)
-    return out
+    part, parts = batch.slice(start, stop - start), Parts(stop - start)
+    likely_pairs(token_matrix(part.column("tokens")), part.column("n").to_numpy(), np.arange(stop - start), parts, border)
+    return parts
 
 
 def likely_edges(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between class ids that connect every pair of similar classes; fewer than the members of all nodes."""
     facts = classes.select("cid", F.col("cid").alias("part"), F.col("n_shingles").alias("n"), "tokens")
-    entries = classes.select("cid", F.posexplode("roots").alias("tree", "node")).select("cid", "node", "tree", F.lit(1).alias("place"))
-    found, before = [], None
+    entries = materialize(classes.select("cid", F.posexplode("roots").alias("tree", "node")).select("cid", "node", "tree", F.lit(1).alias("place")), "entries-0")
+    edges, small, done = None, [], []
     for level in range(0, LEVELS + 2, 2):
         nodes = materialize(entries.groupBy("node").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1"), f"nodes-{level}")
+        done += [entries, nodes]
         big = nodes.where(F.col("members") > TASK)
         more = big.limit(1).count() > 0
         big = F.broadcast(big) if small_enough(big, MOST_PIVOTS) else big  # a row per large node; joined by shuffle beyond that
         rest = entries.join(big, "node", "left_anti") if more else entries
         if not level:  # most roots have one member
             rest = rest.join(nodes.where(F.col("members") <= TASK), "node", "left_semi").join(facts, "cid")
-        edges = compare_nodes(rest)
-        if more:
-            large = entries.join(big, "node")
-            large = large.join(facts, "cid") if not level else large
-            if level >= LEVELS:
-                edges = edges.unionByName(compare_blocks(large, "node", "members", likely_blocks))
-            else:
-                large = materialize(with_estimates(large), f"large-{level}")
-                linked_now = (F.col("s") >= LIKELY) & (F.col("part") != F.col("pivot_part"))
-                edges = edges.unionByName(large.where(linked_now).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-        found.append(materialize(edges, f"edges-{level}"))
-        release(*[t for t in (nodes, before) if t is not None])
-        if not more or level >= LEVELS:
+        small.append(rest.select("node", "tree", "place", "cid", "part", "n", "tokens"))
+        if not more:
+            break
+        large = entries.join(big, "node")
+        large = large if level else large.join(facts, "cid")
+        if level >= LEVELS:
+            of_pivots, entries = compare_blocks(large, "node", "members", likely_blocks), None
+        else:
+            large = materialize(with_estimates(large), f"large-{level}")
+            of_pivots = large.where((F.col("s") >= LIKELY) & (F.col("part") != F.col("pivot_part"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+            now = F.when(F.col("s") >= LIKELY, F.col("pivot_part")).otherwise(F.col("part"))
+            entries = materialize(branch(relieve(large.withColumn("part", now), LIKELY, SLACK)), f"entries-{level + 2}")
+            done.append(large)
+        edges = of_pivots if edges is None else edges.unionByName(of_pivots)
+        if entries is None:
             break
-        before, entries = large, branch(relieve(large.withColumn("part", F.when(F.col("s") >= LIKELY, F.col("pivot_part")).otherwise(F.col("part"))), LIKELY, SLACK))
-    return functools.reduce(DataFrame.unionByName, found)
+    found = compare_nodes(functools.reduce(DataFrame.unionByName, small))
+    found = materialize(found if edges is None else found.unionByName(edges), "likely")
+    release(*done)
+    return found
 
 
 def with_estimates(large: DataFrame) -> DataFrame:
@@ -376,11 +388,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(len(a) + len(b) - common, 1)
 
 
-def confirmed_forest(matrix: np.ndarray, sets: list[np.ndarray], border: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links; with `border`, of those across it.  The likeliest pairs come first."""
+def confirmed(matrix: np.ndarray, sets: list[np.ndarray], border: int | None = None) -> Parts:
+    """What the confirmed links connect; with `border`, those across it.  The likeliest pairs come first."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    parts, out, least = Parts(m), [], LIKELY * TOKENS
+    parts, least = Parts(m), LIKELY * TOKENS
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(m - 1 if border is None else border):
         start = i + 1 if border is None else border
@@ -389,7 +401,7 @@ def confirmed_forest(matrix: np.ndarray, sets: list[np.ndarray], border: int | N
         j = np.flatnonzero((same >= least) & (4 * np.minimum(n, sizes[i]) >= 3 * np.maximum(n, sizes[i])))
         found.append((same[j].astype(np.int16), np.full(len(j), i, dtype=np.int32), (start + j).astype(np.int32)))
     if not found:
-        return out
+        return parts
     same, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(-same, kind="stable")
     for a in range(0, len(order), 5000):
@@ -398,8 +410,7 @@ def confirmed_forest(matrix: np.ndarray, sets: list[np.ndarray], border: int | N
             i, j = int(left[k]), int(right[k])
             if parts.of[i] != parts.of[j] and linked(sets[i], sets[j]):
                 parts.join(i, j)
-                out.append((i, j))
-    return out
+    return parts
 
 
 def as_sets(column) -> list[np.ndarray]:
@@ -442,10 +453,10 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
             a, b, cid = [], [], batch.column("cid").to_numpy()
             for start, stop in groups:
                 part = batch.slice(start, stop - start)
-                for i, j in confirmed_forest(token_matrix(part.column("tokens")), as_sets(part.column("shingles"))):
-                    a.append(cid[start + i])
-                    b.append(cid[start + j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                x, y = stars(cid[start:stop], confirmed(token_matrix(part.column("tokens")), as_sets(part.column("shingles"))).of)
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
     def against_pivot(batches):
         import pyarrow as pa
@@ -457,7 +468,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
 
     def blocks(batch, start, stop, border):
         part = batch.slice(start, stop - start)
-        return confirmed_forest(token_matrix(part.column("tokens")), as_sets(part.column("shingles")), border)
+        return confirmed(token_matrix(part.column("tokens")), as_sets(part.column("shingles")), border)
 
     found = None
     for level in range(ROUNDS + 1):
