@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tidefold.functions.checksum import crc32c
+from tidefold.functions.checksum import crc32c, crc32c_of, crc32c_of_slices
 from tidefold.schema import RECORD
-from tidefold.sources import codec, files, log, snapshots
+from tidefold.sources import codec, columnar, files, log, snapshots
 
 ID = codec.id_text(bytes(range(16)))
 JOB = {
@@ -78,6 +81,62 @@ def test_flipped_bytes_never_crash_the_reader():
         codec.read_segment(b"XXXX" + data[4:], True)
 
 
+def test_columns_make_the_same_bytes_and_records():
+    rng = random.Random(3)
+    rows = numbered(200)
+    rows += [{"lsn": 300 + i, "flag": i % 3, "type": "submit", "job_id": ID, "job": {**JOB, "queue": "ü" * i, "payload": rng.randbytes(i) or None, "priority": i - 60, "last_error": "漢字"[: i % 3]}} for i in range(120)]
+    batch = pa.RecordBatch.from_pylist(rows, schema=columnar.RECORD_TYPE)
+    raw, ends = columnar.encode(batch)
+    assert raw == b"".join(map(codec.encode_frame, rows)) and ends[-1] == len(raw)
+    back, valid = columnar.read_segment(codec.segment_header() + raw, False)
+    assert back.equals(batch) and valid == 16 + len(raw)
+    part = batch.slice(50, 40)
+    assert columnar.encode(part)[0] == b"".join(map(codec.encode_frame, rows[50:90]))
+    assert columnar.encode(batch.slice(0, 0))[0] == b"" and columnar.read_segment(codec.segment_header(), True)[0].num_rows == 0
+
+
+def test_columns_read_torn_and_damaged_segments_alike():
+    rng = random.Random(11)
+    data = segment(numbered(12))
+    for k in range(400):
+        bad = bytearray(data[:rng.randint(16, len(data))]) if k % 2 else bytearray(data)
+        if k % 4 != 1 and len(bad) > 16:
+            bad[rng.randrange(16, len(bad))] ^= rng.randrange(1, 256)
+        bad = bytes(bad)
+        records, valid = codec.read_segment(bad, True)
+        batch, upto = columnar.read_segment(bad, True)
+        assert batch.num_rows == len(records) and upto == valid
+        for last in (False,):
+            try:
+                codec.read_segment(bad, last)
+            except codec.Corrupt:
+                with pytest.raises(codec.Corrupt):
+                    columnar.read_segment(bad, last)
+            else:
+                assert columnar.read_segment(bad, last)[0].num_rows == len(records)
+
+
+def test_a_whole_frame_with_a_broken_record_ends_the_newest_segment():
+    good = numbered(3)
+    broken = codec.struct.pack("<QBB", 9, 2, 0) + b"short"
+    frame = codec.struct.pack("<II", len(broken) + 4, crc32c(broken)) + broken
+    data = segment(good) + frame + b"".join(map(codec.encode_frame, numbered(1, 10)))
+    batch, valid = columnar.read_segment(data, True)
+    assert batch.num_rows == 3 and valid == len(segment(good)) == codec.read_segment(data, True)[1]
+    with pytest.raises(codec.Corrupt):
+        columnar.read_segment(data, False)
+
+
+def test_checksums_of_slices_and_columns(spark):
+    rng = random.Random(2)
+    data = rng.randbytes(3000)
+    starts, lengths = [rng.randrange(2500) for _ in range(200)], [rng.randrange(0, 90) for _ in range(200)]
+    found = crc32c_of_slices(np.frombuffer(data, dtype=np.uint8), np.array(starts), np.array(lengths))
+    assert found.tolist() == [crc32c(data[a:a + n]) for a, n in zip(starts, lengths, strict=True)]
+    rows = spark.createDataFrame([(b"123456789",), (None,), (b"",)], "x binary")
+    assert [r.c for r in rows.select(crc32c_of(F.col("x")).alias("c")).collect()] == [0xE3069283, None, 0]
+
+
 def test_file_names():
     assert codec.segment_name(7) == "00000000000000000007.wal" and codec.segment_lsn("00000000000000000007.wal") == 7
     assert codec.segment_lsn("7.wal") is None and codec.segment_lsn("0000000000000000000x.wal") is None

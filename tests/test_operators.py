@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidefold.functions import backoff, requests
-from tidefold.operators import dedup, expiry, handlers, leasing, replies, retention, stats
+from tidefold.operators import dedup, expiry, handlers, leasing, records, replies, retention, stats
 from tidefold.plans.views import at
+from tidefold.schema import JOB as JOB_SCHEMA
+from tidefold.schema import RECORD
 
 T0 = dt.datetime(2024, 1, 1)
 JOB = "job_id string, queue string, state string, run_at timestamp_ntz, priority int, created_at timestamp_ntz, lease_expiry timestamp_ntz, cancel_req boolean, attempt int, lease_token long"
@@ -118,10 +120,44 @@ def test_completions(spark):
     assert spark.range(1).select(handlers.heartbeat_interval_ms(F.lit(30_000)).alias("a"), handlers.heartbeat_interval_ms(F.lit(900)).alias("b")).first()[:] == (10_000, 500)
 
 
-def test_reservations_in_order(spark):
-    rows = spark.createDataFrame([("s", "o1", 1, 4, 1), ("s", "o1", 1, 4, 2), ("s", "o1", 2, 4, 3), ("s", "o2", 1, 4, 4), ("s", "o3", 1, 2, 5), ("u", "o1", 1, 9, 6)], "sku string, order_id string, token long, qty long, lsn long")
-    found = [r.verdict for r in handlers.reservations_in_order(rows, 10, ["lsn"]).orderBy("lsn").collect()]
-    assert found == ["applied", "skipped", "applied", "insufficient stock", "applied", "applied"]
+def test_reservations_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "o1", 1, 4, 1), ("s", "o1", 1, 4, 2), ("s", "o1", 2, 4, 3), ("s", "o2", 1, 4, 4), ("s", "o3", 1, 2, 5), ("u", "o1", 1, 9, 6), ("u", "o1", 3, 9, 7)], "sku string, order_id string, token long, qty long, lsn long")
+    found = [r.verdict for r in handlers.reservations_in_order(rows, 10, ["lsn"], f"file://{tmp_path}/r").orderBy("lsn").collect()]
+    assert found == ["applied", "skipped", "applied", "insufficient stock", "applied", "skipped", "applied"]  # the sixth by its order's token at another sku
+    assert len(list((tmp_path / "r").iterdir())) == 1
+
+
+def test_records_make_jobs(spark):
+    ns = 10**9
+    start = {"job_id": "a", "type": "t", "queue": "q", "payload": b"{}", "priority": 1, "state": "pending", "attempt": 0, "max_attempts": 3, "run_at_ns": ns, "lease_expiry_ns": None, "lease_token": 0, "worker_id": None, "cancel_req": False, "last_error": "", "idem_key": None, "created_at_ns": ns, "updated_at_ns": ns}
+    job = lambda name, **more: tuple({**start, "job_id": name, **more}[f] for f in JOB_SCHEMA.names)
+    rec = lambda lsn, kind, name, **more: tuple({"lsn": lsn, "type": kind, "flag": 0, "job_id": name, **more}.get(f) for f in RECORD.names)
+    lease = {"worker_id": "w", "lease_expiry_ns": 9 * ns, "lease_token": 5, "attempt": 2}
+    log = [
+        rec(1, "submit", "a", job=job("a")), rec(2, "lease", "a", **lease), rec(3, "retry", "a", run_at_ns=7 * ns, error="later"),
+        rec(4, "submit", "b", job=job("b")), rec(5, "lease", "b", **lease), rec(6, "cancel", "b"), rec(7, "retry", "b", run_at_ns=8 * ns, error="x"),
+        rec(8, "submit", "c", job=job("c")), rec(9, "lease", "c", **lease), rec(10, "complete", "c", success=False, error="bad"),
+        rec(11, "submit", "d", job=job("d")), rec(12, "cancel", "d"), rec(13, "lease", "x", **lease), rec(14, "submit", "e", job=job("e")), rec(15, "lease", "e", **lease), rec(16, "expire", "e", lease_token=5),
+        rec(17, "submit", "f", job=job("f")), rec(18, "lease", "f", **lease), rec(19, "dead", "f", error="gone"), rec(20, "submit", "g", job=job("g")), rec(21, "lease", "g", **lease), rec(22, "cancel", "g"),
+    ]
+    table = spark.createDataFrame(log, RECORD)
+    found = {r.job_id: r for r in records.jobs_after(table, None, 99).collect()}
+    assert set(found) == set("abcdefg")
+    brief = {k: (r.state, r.attempt, r.run_at_ns // ns, r.worker_id, r.cancel_req, r.last_error) for k, r in found.items()}
+    assert brief == {"a": ("pending", 2, 7, None, False, "later"), "b": ("cancelled", 2, 1, None, True, ""), "c": ("dead", 2, 1, None, False, "bad"), "d": ("cancelled", 0, 1, None, False, ""), "e": ("pending", 2, 1, None, False, "lease expired"), "f": ("dead", 2, 1, None, False, "gone"), "g": ("leased", 2, 1, "w", True, "")}
+    assert found["a"].lease_token == 5 and found["a"].updated_at_ns == 99 and found["a"].payload == b"{}"
+    for cut in (0, 5, 10, 22):
+        snapshot = records.jobs_after(table.where(F.col("lsn") <= cut), None, 99)
+        assert sorted(map(tuple, records.jobs_after(table.where(F.col("lsn") > cut), snapshot, 99).collect()), key=str) == sorted(map(tuple, found.values()), key=str)
+    after = {r.job_id: r for r in records.reconciled(records.jobs_after(table.where("lsn < 22")), 50).collect()}["g"]
+    assert (after.state, after.run_at_ns, after.worker_id, after.last_error) == ("pending", 50, None, "lease reconciled on coordinator recovery")
+    assert {r.job_id: r.state for r in records.reconciled(records.jobs_after(table), 50).collect()}["g"] == "cancelled"
+
+
+def test_consecutive_leases_take_no_job_twice(spark):
+    jobs = spark.createDataFrame([(i, "ab"[i % 2], "pending", dt.datetime(2024, 1, 1), 0) for i in range(8)], "job_id long, queue string, state string, run_at timestamp_ntz, priority int")
+    found = leasing.consecutive_leases(jobs, [(["a"], 2), (["b", "a"], 5), (["a", "b"], 9)], F.lit("2024-01-02").cast("timestamp_ntz")).orderBy("command", "rank").collect()
+    assert [(r.command, r.job_id) for r in found] == [(1, 0), (1, 2), (2, 1), (2, 3), (2, 5), (2, 7), (2, 4), (3, 6)]
 
 
 def test_retention(spark):

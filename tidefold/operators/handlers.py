@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,34 +110,31 @@ def reserved_by_order(attempts: DataFrame) -> DataFrame:
     return attempts.where("success").groupBy("order_id").agg(F.sum("qty").cast("long").alias("reserved"))
 
 
-def reservations_in_order(attempts: DataFrame, initial: int, order: list[str]) -> DataFrame:
-    """Attempts in the given order per sku: what is in stock decides which are applied.
-
-    An attempt is skipped where its order has one with the same or a higher token applied; it fails for
-    good where stock is short.  Each decision depends on those before it, so each sku's rows are
-    folded in order, one state at a time."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        sku, stock, applied = None, initial, {}
-        for batch in batches:
-            verdicts = []
-            for row in batch.select(["sku", "order_id", "token", "qty"]).to_pylist():
-                if row["sku"] != sku:
-                    sku, stock, applied = row["sku"], initial, {}
-                if row["order_id"] in applied and row["token"] <= applied[row["order_id"]]:
-                    verdicts.append("skipped")
-                elif stock < row["qty"]:
-                    verdicts.append("insufficient stock")
-                else:
-                    stock -= row["qty"]
-                    applied[row["order_id"]] = row["token"]
-                    verdicts.append("applied")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.string())], names=[*batch.schema.names, "verdict"])
-
-    rows = attempts.repartition("sku").sortWithinPartitions("sku", *order)
-    return rows.mapInArrow(run, T.StructType([*attempts.schema, T.StructField("verdict", T.StringType())]))
+def reservations_in_order(attempts: DataFrame, initial: int, order: list[str], folder: str) -> DataFrame:
+    """Attempts with what came of them (`verdict`) when they arrive in the given order over all skus.
+
+    An attempt is skipped where its order has one with the same or a higher token applied, whatever the
+    sku; it fails for good where its sku's stock is short.  So each decision depends on earlier ones of its
+    order and of its sku.  All are decided at once from the verdicts of the round before, by two windows,
+    until a round changes none: after k rounds the first k decisions of any chain are final, so the result
+    is that of deciding one by one.  Rounds are tables below `folder`."""
+    spark = attempts.sparkSession
+    before = lambda by: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    used = F.col("verdict") == "applied"
+    highest, spent = F.max(F.when(used, F.col("token"))).over(before("order_id")), F.sum(F.when(used, F.col("qty"))).over(before("sku"))
+    verdict = F.when(F.coalesce(F.col("token") <= highest, F.lit(False)), "skipped").when(initial - F.coalesce(spent, F.lit(0)) < F.col("qty"), "insufficient stock").otherwise("applied")
+    rows, turn, old = attempts.withColumn("verdict", F.lit("none")), 0, None
+    while True:
+        path = f"{folder}/{turn}"
+        rows.withColumn("after", verdict).withColumn("moved", F.col("after") != F.col("verdict")).drop("verdict").withColumnRenamed("after", "verdict").write.parquet(path)
+        done = spark.read.parquet(path)
+        rows, moved = done.drop("moved"), done.where("moved").limit(1).count() > 0
+        if old:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if not moved:
+            return rows
+        old, turn = path, turn + 1
 
 
 def first_capture(attempts: DataFrame, order: list[str]) -> DataFrame:

@@ -43,6 +43,18 @@ def successive_leases(jobs: DataFrame, queue: str, sizes: list[int], now: Column
     return rows.withColumn("command", command)
 
 
+def consecutive_leases(jobs: DataFrame, requests: list[tuple[list[str], int]], now: Column) -> DataFrame:
+    """Which of several lease requests (queues, most), one after the other, takes which job (`command`, from 1, and `rank`).
+
+    A request takes at most `most` jobs, so what earlier ones took is small and is broadcast against the next."""
+    out, left = None, jobs
+    for i, (queues, most) in enumerate(requests, 1):
+        taken = lease_candidates(left, queues, most, now).withColumn("command", F.lit(i))
+        out = taken if out is None else out.unionByName(taken)
+        left = left.join(F.broadcast(taken.select("job_id")), "job_id", "left_anti")
+    return out
+
+
 def leased(taken: DataFrame, now: Column, seconds: int, worker_id: str) -> DataFrame:
     """Rows after their lease: attempt and token one higher, a new deadline, the worker's name."""
     return taken.withColumns({

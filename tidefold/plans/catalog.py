@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions import backoff, ids, requests
-from tidefold.functions.labels import cancel_label, is_terminal, micros, record_name, split_list, state_name, state_number
-from tidefold.operators import dedup, expiry, fold, handlers, leasing, replies, retention, stats
+from tidefold.functions.labels import cancel_label, is_terminal, micros, or_default, record_name, split_list, state_name, state_number
+from tidefold.operators import dedup, expiry, fold, handlers, leasing, records, replies, retention, stats
 from tidefold.plans import views
 from tidefold.plans.views import ATTEMPTS_SQL, COMMANDS_SQL, FOLD_SQL, JOBS_SQL, JOB_TYPES, NOW_JOBS, NOW_LOG, attempts_v, jobs_v, mutations_v
 
@@ -35,6 +36,29 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; it is removed when the driver ends."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(where or f'file://{tempfile.gettempdir()}').rstrip('/')}/tidefold-{name}-{os.urandom(8).hex()}"
+    _folders.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_folders() -> None:
+    for spark, path in _folders:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone; a folder on the cluster is left to its owner's clean-up
+            return
+
+
 def jobs_sql(select: str) -> str:
     return f"WITH {JOBS_SQL} {select}"
 
@@ -339,20 +363,29 @@ FRAME_BYTES_SQL = """34 + CASE type WHEN 'submit' THEN 4 + 1 + 4 + 7 + 4 + 2 + w
 @query("q35_codec_roundtrip", f"{RECORDS_SQL} SELECT type, count(*) AS records, count(*) AS equal, CAST(sum({FRAME_BYTES_SQL}) AS BIGINT) AS bytes FROM r GROUP BY type")
 def q35(spark, d):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        from tidefold.sources import codec
+        from tidefold.sources import columnar
+
+        def equal(a, b):
+            if pa.types.is_struct(a.type):
+                same = pa.repeat(pa.scalar(True), len(a))
+                for x, y in zip(a.flatten(), b.flatten(), strict=True):
+                    same = pc.and_(same, equal(x, y))
+                return same
+            return pc.or_(pc.and_(a.is_null(), b.is_null()), pc.fill_null(pc.equal(a, b), False))
 
         for batch in batches:
-            out = []
-            for record in batch.to_pylist():
-                raw = codec.encode_frame(record)
-                _, lsn, kind, flag, payload = next(codec.frames(raw))
-                back = {"lsn": lsn, "flag": flag, **codec.decode_record(kind, payload)}
-                out.append((kind, all(record[k] == v for k, v in back.items()), len(raw)))
-            if out:
-                kinds, same, size = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(same, pa.bool_()), pa.array(size, pa.int64())], names=["type", "same", "size"])
+            if batch.num_rows:
+                batch = batch.cast(columnar.RECORD_TYPE)
+                raw, ends = columnar.encode(batch)
+                back = columnar.decode(raw, *columnar.frame_ends(raw))
+                same = pa.repeat(pa.scalar(True), batch.num_rows)
+                for name in columnar.RECORD_TYPE.names:
+                    same = pc.and_(same, equal(batch.column(name), back.column(name)))
+                yield pa.RecordBatch.from_arrays([back.column("type"), same, pa.array(np.diff(ends, prepend=0))], names=["type", "same", "size"])
 
     rows = ledger_records(spark, d).mapInArrow(run, "type string, same boolean, size long")
     return rows.groupBy("type").agg(F.count("*").alias("records"), F.count(F.when(F.col("same"), True)).alias("equal"), F.sum("size").alias("bytes"))
@@ -367,13 +400,20 @@ SEGMENT_LSNS = 100
   SELECT c.segment, c.cut, (SELECT count(*) FROM s WHERE s.segment = c.segment AND s.ends <= c.cut) AS recovered FROM c""")
 def q36(spark, d):
     def run(key, group):
+        import numpy as np
         import pyarrow as pa
 
-        from tidefold.sources import codec
+        from tidefold.sources import codec, columnar
 
-        data = codec.segment_header() + b"".join(codec.encode_frame(r) for r in sorted(group.to_pylist(), key=lambda r: r["lsn"]))
-        cuts = [16 + (len(data) - 16) * i // CUTS for i in range(CUTS + 1)]
-        return pa.table({"segment": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "cut": pa.array(cuts, pa.int64()), "recovered": pa.array([len(codec.read_segment(data[:c], True)[0]) for c in cuts], pa.int64())})
+        batch = group.drop_columns(["segment"]).sort_by("lsn").combine_chunks().cast(columnar.RECORD_TYPE).to_batches()[0]
+        data = codec.segment_header() + columnar.encode(batch)[0]
+        cuts = np.array([16 + (len(data) - 16) * i // CUTS for i in range(CUTS + 1)])
+        ends = columnar.frame_ends(data, 16)[1]  # one scan: a cut leaves the frames that end before it
+        torn = columnar.read_segment(data[:int(cuts[CUTS // 2])], True)[0].num_rows  # and one segment is really cut
+        recovered = np.searchsorted(ends, cuts, side="right")
+        if torn != recovered[CUTS // 2]:
+            raise ValueError("a torn segment is read otherwise than its frames end")
+        return pa.table({"segment": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "cut": pa.array(cuts, pa.int64()), "recovered": pa.array(recovered, pa.int64())})
 
     rows = ledger_records(spark, d).withColumn("segment", F.floor((F.col("lsn") - 1) / SEGMENT_LSNS))
     return rows.groupBy("segment").applyInArrow(run, "segment long, cut long, recovered long")
@@ -411,8 +451,7 @@ def q39(spark, d):
     from tidefold.sources.tables import table_stream
     from tidefold.streaming.ledger import LedgerStream
 
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    folder = f"{where.rstrip('/')}/tidefold-ledger-{os.urandom(8).hex()}"
+    folder = scratch(spark, "ledger")
     return LedgerStream(spark, folder).run(views.commands_of(table_stream(spark, d, "events"))).where("state <> 'none'").select(*FOLDED)
 
 
@@ -429,11 +468,11 @@ def q41(spark, d):
     return jobs.select("job_id", cancel_label(F.col("state"), F.col("cancel_req")).alias("state"), code.alias("code"), state_name(code).alias("by_code"), (micros(F.col("run_at")) - micros(F.col("created_at"))).alias("waited_us"), record_name(F.lit(1)).alias("record"), F.element_at(split_list(F.lit("default , bulk")), 2).alias("second_queue"))
 
 
-@query("q41b_lease_replies", jobs_sql(f"SELECT job_id, lease_token + 1 AS lease_token, epoch_us({NOW_SQL}) + {LEASE_S * 1_000_000} AS lease_expiry_us FROM {CANDIDATES_SQL}"))
+@query("q41b_lease_replies", jobs_sql(f"""SELECT job_id, '{{"job_id":' || job_id || ',"type":"' || type || '","queue":"' || queue || '","priority":' || priority || ',"state":"leased","attempt":' || (attempt + 1) || ',"max_attempts":' || max_attempts || '}}' AS job, lease_token + 1 AS lease_token, epoch_us({NOW_SQL}) + {LEASE_S * 1_000_000} AS lease_expiry_us FROM {CANDIDATES_SQL}"""))
 def q41b(spark, d):
     now = views.at(NOW_JOBS)
     taken = leasing.leased(leasing.lease_candidates(jobs_v(spark, d), LEASE_QUEUES, LEASE_MAX, now), now, LEASE_S, "w1")
-    return replies.lease_reply(taken).drop("job")
+    return replies.lease_reply(taken)
 
 
 @query("q42_guarded_commands", jobs_sql("""SELECT c.job_id, c.lease_token, CASE WHEN j.job_id IS NULL THEN 'job not found' WHEN j.state <> 'leased' THEN 'job not leased' WHEN j.lease_token <> c.lease_token THEN 'stale token' END AS error
@@ -456,12 +495,22 @@ def q44(spark, d):
 
 
 STOCK = 150
-
-
-@query("q45_reservations_in_order")
+ARRIVAL = ["amount_cents", "order_id", "token"]
+
+
+@query("q45_reservations_in_order", f"""WITH RECURSIVE {ATTEMPTS_SQL}, a AS (SELECT row_number() OVER (ORDER BY {', '.join(ARRIVAL)}) AS seq, * FROM att WHERE type = '{JOB_TYPES[1]}'),
+  r(seq, order_id, sku, token, qty, verdict, round, moved) AS (
+    SELECT seq, order_id, sku, token, qty, 'none', 0, true FROM a
+    UNION ALL
+    SELECT seq, order_id, sku, token, qty, v, round + 1, bool_or(v <> verdict) OVER () FROM (
+      SELECT *, CASE WHEN token <= coalesce(max(CASE WHEN verdict = 'applied' THEN token END) OVER (PARTITION BY order_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 'skipped'
+                     WHEN {STOCK} - coalesce(sum(CASE WHEN verdict = 'applied' THEN qty END) OVER (PARTITION BY sku ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < qty THEN 'insufficient stock'
+                     ELSE 'applied' END AS v
+      FROM r WHERE moved))
+  SELECT sku, verdict, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM r WHERE NOT moved GROUP BY sku, verdict""")
 def q45(spark, d):
     attempts = attempts_v(spark, d).where(F.col("type") == JOB_TYPES[1])
-    rows = handlers.reservations_in_order(attempts, STOCK, ["order_id", "token", "qty", "amount_cents"])
+    rows = handlers.reservations_in_order(attempts, STOCK, ARRIVAL, scratch(spark, "reservations"))
     return rows.groupBy("sku", "verdict").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
 
 
@@ -486,5 +535,185 @@ def q48(spark, d):
     return new.select("job_id", F.lit(None).cast("long").alias("existing_id")).unionByName(known.select("job_id", "existing_id"))
 
 
+def ledger_folder(spark: SparkSession, d: str, per_segment: int = 2000) -> tuple[str, DataFrame]:
+    """A log written from the commands, and what was written by segment."""
+    from tidefold.sources import log
+
+    folder = scratch(spark, "log")
+    written = log.write_segments(ledger_records(spark, d), folder, per_segment)
+    return folder, spark.createDataFrame(written.collect(), written.schema)  # a row per segment
+
+
+FROM_LSN = 1500
+
+
+@query("q49_log_write_and_replay", f"""{RECORDS_SQL} SELECT type, count(*) AS records, min(lsn) AS first_lsn, max(lsn) AS last_lsn, CAST(sum(lsn) AS BIGINT) AS lsns, count(DISTINCT job_id) AS jobs,
+  max(CASE WHEN type IN ('complete', 'retry', 'dead') THEN 'e' || worker_id END) AS error FROM r WHERE lsn >= {FROM_LSN} GROUP BY type""")
+def q49(spark, d):
+    from tidefold.sources import log
+
+    folder, _ = ledger_folder(spark, d)
+    return log.replay(spark, folder, FROM_LSN).groupBy("type").agg(F.count("*").alias("records"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"), F.sum("lsn").alias("lsns"), F.count_distinct("job_id").alias("jobs"), F.max("error").alias("error"))
+
+
+@query("q50_segments_written", f"""{RECORDS_SQL} SELECT min(lsn) AS first_lsn, count(*) AS records, CAST(16 + sum({FRAME_BYTES_SQL}) AS BIGINT) AS bytes FROM r GROUP BY (lsn - 1) // 2000""")
+def q50(spark, d):
+    return ledger_folder(spark, d)[1]
+
+
+@query("q51_torn_log_replay", f"""WITH {COMMANDS_SQL}, n AS (SELECT max(lsn) AS top, count(*) AS n FROM cmd) SELECT 'garbage behind' AS log, n AS records, top AS last_lsn, top + 1 AS next_lsn FROM n
+  UNION ALL SELECT 'last frame cut', n - 1, (SELECT max(lsn) FROM cmd, n WHERE lsn < top), (SELECT max(lsn) + 1 FROM cmd, n WHERE lsn < top) FROM n""")
+def q51(spark, d):
+    from tidefold.sources import files, log
+
+    found = None
+    for name, tear in (("garbage behind", lambda x: x + b"\x05\x01\x02\x03\x04"), ("last frame cut", lambda x: x[:-7])):
+        folder, _ = ledger_folder(spark, d)
+        newest = f"{folder}/{[x for x in files.listing(folder) if x.endswith('.wal')][-1]}"
+        files.write_bytes(newest, tear(files.read_bytes(newest)))
+        after = log.next_lsn(folder)
+        rows = log.replay(spark, folder).agg(F.lit(name).alias("log"), F.count("*").alias("records"), F.max("lsn").alias("last_lsn"), F.lit(after).cast("long").alias("next_lsn"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+# One step a record, as FOLD_SQL for commands: what a replay makes of each job.
+APPLY_SQL = f"""n AS (SELECT *, us * 1000 AS ns, row_number() OVER (PARTITION BY job_id ORDER BY lsn) AS rn FROM r),
+f(job_id, rn, state, attempt, run_at, exp, token, worker, creq, err) AS (
+  SELECT DISTINCT job_id, 0::BIGINT, 'none', 0, 0::BIGINT, NULL::BIGINT, 0::BIGINT, NULL::VARCHAR, false, '' FROM r
+  UNION ALL
+  SELECT f.job_id, n.rn,
+    CASE WHEN type = 'submit' THEN 'pending' WHEN state = 'none' THEN state WHEN type = 'lease' THEN 'leased' WHEN type = 'dead' THEN 'dead'
+         WHEN type IN ('complete', 'retry', 'expire') THEN CASE WHEN creq THEN 'cancelled' WHEN type = 'complete' THEN 'succeeded' ELSE 'pending' END
+         WHEN type = 'cancel' AND state = 'pending' THEN 'cancelled' ELSE state END,
+    CASE WHEN type = 'submit' THEN 0 WHEN state <> 'none' AND type = 'lease' THEN 1 ELSE attempt END,
+    CASE WHEN type = 'submit' OR state <> 'none' AND type = 'retry' AND NOT creq THEN ns ELSE run_at END,
+    CASE WHEN type = 'submit' THEN NULL WHEN state <> 'none' AND type = 'lease' THEN ns + {fold.TTL_US * 1000} ELSE exp END,
+    CASE WHEN type = 'submit' THEN 0 WHEN state <> 'none' AND type = 'lease' THEN lsn ELSE token END,
+    CASE WHEN type = 'submit' OR state = 'none' THEN NULL WHEN type = 'lease' THEN worker_id WHEN type = 'cancel' THEN worker ELSE NULL END,
+    CASE WHEN type = 'submit' THEN false ELSE creq OR (type = 'cancel' AND state = 'leased') END,
+    CASE WHEN type = 'submit' THEN '' WHEN state = 'none' THEN err WHEN type = 'dead' THEN 'e' || worker_id WHEN creq THEN err WHEN type = 'complete' THEN ''
+         WHEN type = 'retry' THEN 'e' || worker_id WHEN type = 'expire' THEN 'lease expired' ELSE err END
+  FROM f JOIN n ON n.job_id = f.job_id AND n.rn = f.rn + 1),
+j AS (SELECT job_id, upper(lpad(to_hex(0), 12, '0') || sha256(job_id::VARCHAR)[1:20]) AS id_hex, state, attempt, run_at // 1000 AS run_at_us, exp // 1000 AS lease_expiry_us, token AS lease_token, worker AS worker_id, creq AS cancel_req, err AS last_error
+  FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rn DESC) = 1)"""
+REPLAYED = ["id_hex", "state", "attempt", "run_at_us", "lease_expiry_us", "lease_token", "worker_id", "cancel_req", "last_error"]
+
+
+def by_hex(jobs: DataFrame) -> DataFrame:
+    us = lambda c: F.expr(f"{c} div 1000")
+    return jobs.withColumns({"id_hex": F.hex(ids.decode(F.col("job_id"))), "run_at_us": us("run_at_ns"), "lease_expiry_us": us("lease_expiry_ns")}).select(*REPLAYED)
+
+
+def saved(jobs: DataFrame, folder: str, lsn: int) -> None:
+    """A binary snapshot of jobs; such files hold what one writer keeps in memory."""
+    from tidefold.sources import snapshots
+
+    rows = [r.asDict() for r in jobs.collect()]
+    snapshots.save([{**r, "payload": bytes(r["payload"]) if r["payload"] else None} for r in rows], folder, lsn)
+
+
+@query("q52_recovery_from_snapshot_and_log", f"""{RECORDS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {APPLY_SQL} SELECT id_hex, attempt, lease_expiry_us, lease_token, cancel_req,
+  CASE WHEN state <> 'leased' THEN state WHEN cancel_req THEN 'cancelled' ELSE 'pending' END AS state, CASE WHEN state = 'leased' AND NOT cancel_req THEN {views.us(NOW_LOG)} ELSE run_at_us END AS run_at_us,
+  CASE WHEN state = 'leased' AND NOT cancel_req THEN 'lease reconciled on coordinator recovery' ELSE last_error END AS last_error, CASE WHEN state <> 'leased' THEN worker_id END AS worker_id FROM j WHERE state <> 'none'""")
+def q52(spark, d):
+    from tidefold.sources import log, snapshots
+
+    folder, now = ledger_folder(spark, d)[0], views.us(NOW_LOG) * 1000
+    saved(records.jobs_after(log.replay(spark, folder, 0, SNAPSHOT_LSN), None, now), f"{folder}/snapshots", SNAPSHOT_LSN)
+    tail = log.replay(spark, folder, SNAPSHOT_LSN + 1)
+    return by_hex(records.reconciled(records.jobs_after(tail, snapshots.as_frame(spark, f"{folder}/snapshots"), now), now))
+
+
+@query("q53_snapshot_fallback", f"""{RECORDS_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace("FROM cmd)", f"FROM cmd WHERE lsn <= {SNAPSHOT_LSN // 2})")}, {APPLY_SQL} SELECT {', '.join(REPLAYED)} FROM j WHERE state <> 'none'""")
+def q53(spark, d):
+    from tidefold.sources import codec, files, snapshots
+
+    folder, log = scratch(spark, "snapshots"), ledger_records(spark, d)
+    for lsn in (SNAPSHOT_LSN // 2, SNAPSHOT_LSN):
+        saved(records.jobs_after(log.where(F.col("lsn") <= lsn)), folder, lsn)
+    newest = f"{folder}/{codec.snapshot_name(SNAPSHOT_LSN)}"
+    data = bytearray(files.read_bytes(newest))
+    data[len(data) // 2] ^= 255
+    files.write_bytes(newest, bytes(data))
+    return by_hex(snapshots.as_frame(spark, folder))
+
+
+@query("q54_registry_run", SQL["q26_handler_outcomes"])
+def q54(spark, d):
+    def handle(job):
+        flag = handlers.payload(job)["flag"]
+        if flag == "R":
+            raise handlers.PermanentError("permanent failure")
+        if flag == "A":
+            raise OSError("retryable failure")
+
+    registry = handlers.Registry()
+    for name in REGISTERED:
+        registry.register(name, handle)
+    jobs = attempts_v(spark, d).select("type", F.to_json(F.struct("order_id", "token", "flag")).alias("payload"))
+    return registry.run(jobs).groupBy("type", "success", "retryable", "error").agg(F.count("*").alias("n"))
+
+
+LEASES_SQL = f"SELECT job_id, us, op, token FROM log WHERE accepted AND op IN ('lease', 'hb', 'ok', 'fail')"
+
+
+@query("q55_lease_timers", fold_sql("SELECT job_id, token, end_us AS expired_us FROM iv2 WHERE NOT answered AND end_us <= (SELECT max(us) FROM log WHERE accepted AND op IN ('lease', 'hb', 'ok', 'fail'))",
+  """, iv2 AS (SELECT job_id, token, max(exp) AS end_us, count(*) FILTER (op IN ('ok', 'fail')) > 0 AS answered FROM log WHERE accepted AND op IN ('lease', 'hb', 'ok', 'fail') GROUP BY job_id, token)"""))
+def q55(spark, d):
+    from tidefold.streaming.ledger import run_lease_expiries
+
+    folder = scratch(spark, "timers")
+    log = fold.transitions(mutations_v(spark, d)).where(F.col("accepted") & F.col("op").isin("lease", "hb", "ok", "fail")).select("job_id", "us", "op", "token")
+    return run_lease_expiries(spark, log, folder, fold.TTL_US // 1000)
+
+
+@query("q56_request_validation", """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS c, event_id % 3 AS t FROM events)
+  SELECT event_id, ['lease', 'heartbeat', 'complete'][t + 1] AS kind, CASE c WHEN 0 THEN 'bad json' WHEN 1 THEN 'unknown field extra' WHEN 2 THEN CASE WHEN t = 0 THEN 'worker_id is required' END END AS error FROM e""")
+def q56(spark, d):
+    k, t = F.get_json_object("props", "$.k").cast("int") % 5, F.col("event_id") % 3
+    rest = F.when(t == 0, '"queues":["a"],"max":2,"lease_seconds":5,"wait_seconds":1').when(t == 1, '"lease_token":3,"lease_seconds":5').otherwise('"lease_token":3,"success":true,"error":"","retryable":false')
+    body = F.when(k == 0, F.concat(F.lit("{"), rest)).when(k == 1, F.concat(F.lit('{"worker_id":"w","extra":1,'), rest, F.lit("}"))).when(k == 2, F.concat(F.lit("{"), rest, F.lit("}"))).otherwise(F.concat(F.lit('{"worker_id":"w",'), rest, F.lit("}")))
+    rows = views.table(spark, d, "events").select("event_id", views.choose(t, ("lease", "heartbeat", "complete")).alias("kind"), body.alias("body"))
+    found = F.lit(None).cast("string")
+    for kind in ("lease", "heartbeat", "complete"):
+        found = F.when(F.col("kind") == kind, requests.problem(F.col("body"), kind)).otherwise(found)
+    return rows.select("event_id", "kind", found.alias("error"))
+
+
+@query("q57_complete_replies", jobs_sql("SELECT job_id, state, attempt, epoch_us(run_at) AS run_at_us FROM jobs_v WHERE state IN ('succeeded', 'dead', 'cancelled')"))
+def q57(spark, d):
+    return replies.complete_reply(jobs_v(spark, d).where(is_terminal(F.col("state"))))
+
+
+OVERLAPPING = [(["email", "bulk"], 30), (["bulk", "critical"], 40), (["critical", "email", "email"], 25)]
+
+
+def _overlapping_sql() -> str:
+    parts, taken = [], []
+    for i, (queues, most) in enumerate(OVERLAPPING, 1):
+        listed = list(dict.fromkeys(queues))
+        order = f"list_position({listed!r}, queue), {ORDER_SQL}"
+        gone = "".join(f" AND job_id NOT IN (SELECT job_id FROM {t})" for t in taken)
+        parts.append(f"t{i} AS (SELECT {i} AS command, job_id, row_number() OVER (ORDER BY {order}) AS rank FROM jobs_v WHERE {DUE_SQL} AND list_contains({listed!r}, queue){gone} QUALIFY rank <= {most})")
+        taken.append(f"t{i}")
+    return f"WITH {JOBS_SQL}, {', '.join(parts)} " + " UNION ALL ".join(f"SELECT * FROM {t}" for t in taken)
+
+
+@query("q58_overlapping_leases", _overlapping_sql())
+def q58(spark, d):
+    return leasing.consecutive_leases(jobs_v(spark, d), OVERLAPPING, views.at(NOW_JOBS)).select("command", "job_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q59_names_defaults_and_lists", """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+  SELECT event_id, coalesce(['pending', 'leased', 'succeeded', 'dead', 'cancelled'][nullif(k % 9, 0)], 'state(' || (k % 9) || ')') AS state,
+    coalesce(['submit', 'lease', 'complete', 'retry', 'dead', 'cancel', 'expire'][nullif(k % 10, 0)], 'record(' || (k % 10) || ')') AS record,
+    CASE WHEN k % 4 = 0 THEN 3 ELSE k % 4 END AS attempts, 'q' || (k % 3) AS second, 2::INTEGER AS queues FROM e""")
+def q59(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    queues = split_list(F.format_string(" a%d , q%d", k, k % 3))
+    return views.table(spark, d, "events").select("event_id", state_name(k % 9).alias("state"), record_name(k % 10).alias("record"), or_default(k % 4, 3).alias("attempts"), F.element_at(queues, 2).alias("second"), F.size(queues).alias("queues"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q07(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyarrow import fs
 
 
@@ -20,12 +22,13 @@ def read_bytes(uri: str) -> bytes:
 
 
 def write_bytes(uri: str, data: bytes) -> None:
-    """Write under another name first, so a reader never sees half a file."""
+    """Write under a name of this attempt's own first, so a reader never sees half a file, nor two attempts each other's."""
     files, path = resolve(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
-    with files.open_output_stream(f"{path}.tmp", compression=None) as f:
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    with files.open_output_stream(own, compression=None) as f:
         f.write(data)
-    files.move(f"{path}.tmp", path)
+    files.move(own, path)
 
 
 def listing(uri: str) -> list[str]:

@@ -42,13 +42,17 @@ class LogReader(DataSourceReader):
                 out.append(Segment(f"{self.folder}/{name}", i + 1 == len(found)))
         return out
 
-    def read(self, partition: Segment) -> Iterator[tuple]:
-        job_fields = RECORD["job"].dataType.names
-        for r in codec.read_segment(files.read_bytes(partition.path), partition.last)[0]:
-            if r["lsn"] < self.low or self.high is not None and r["lsn"] > self.high:
-                continue
-            job = r.get("job")
-            yield tuple((tuple(job[n] for n in job_fields) if job else None) if n == "job" else r.get(n) for n in RECORD.names)
+    def read(self, partition: Segment) -> Iterator:
+        import pyarrow.compute as pc
+
+        from tidefold.sources import columnar
+
+        records, _ = columnar.read_segment(files.read_bytes(partition.path), partition.last)
+        lsn = records.column("lsn")
+        inside = pc.and_(pc.greater_equal(lsn, self.low), pc.less_equal(lsn, self.high if self.high is not None else (1 << 63) - 1))
+        records = records.filter(inside)
+        for at in range(0, records.num_rows, 10_000):
+            yield records.slice(at, 10_000)
 
 
 class LogSource(DataSource):
@@ -87,14 +91,15 @@ def write_segments(records: DataFrame, folder: str, per_segment: int = SEGMENT_R
     the same file under the same name."""
 
     def run(key, group):
-        import pandas as pd
-
-        rows = sorted(group.to_pylist(), key=lambda r: r["lsn"])
-        data = codec.segment_header() + b"".join(codec.encode_frame(r) for r in rows)
-        files.write_bytes(f"{folder}/{codec.segment_name(rows[0]['lsn'])}", data)
         import pyarrow as pa
 
-        return pa.table(pd.DataFrame({"first_lsn": [rows[0]["lsn"]], "records": [len(rows)], "bytes": [len(data)]}).to_dict("list"))
+        from tidefold.sources import columnar
+
+        batch = group.drop_columns(["segment"]).sort_by("lsn").combine_chunks().cast(columnar.RECORD_TYPE).to_batches()[0]
+        data = codec.segment_header() + columnar.encode(batch)[0]
+        first = batch.column("lsn")[0].as_py()
+        files.write_bytes(f"{folder}/{codec.segment_name(first)}", data)
+        return pa.table({"first_lsn": pa.array([first], pa.int64()), "records": pa.array([batch.num_rows], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
     keyed = records.withColumn("segment", F.floor((F.col("lsn") - 1) / per_segment))
     return keyed.groupBy("segment").applyInArrow(run, "first_lsn long, records long, bytes long")

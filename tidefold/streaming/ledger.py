@@ -67,26 +67,31 @@ class LeaseTimers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lease = handle.getValueState("lease", "token bigint, deadline_ms bigint")
+        self.lease = handle.getValueState("lease", "token bigint, deadline_us bigint")
 
     def _drop(self) -> None:
         if self.lease.exists():
-            self.handle.deleteTimer(self.lease.get()[1])
+            self.handle.deleteTimer(-(-self.lease.get()[1] // 1000))
             self.lease.clear()
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
+        ended = []
         for op, us, token in sorted(((r.op, r.us, r.token) for frame in rows for r in frame.itertuples()), key=lambda r: r[1]):
-            held = self.lease.get()[0] if self.lease.exists() else None
+            held, deadline = self.lease.get() if self.lease.exists() else (None, None)
+            if held is not None and deadline <= us:  # its time came between two rows of one batch
+                ended.append((key[0], held, deadline))
+                self._drop()
+                held = None
             if op == "lease" or op == "hb" and held == token:
                 self._drop()
-                deadline = int(us) // 1000 + self.ttl_ms
+                deadline = int(us) + self.ttl_ms * 1000
                 self.lease.update((int(token), deadline))
-                self.handle.registerTimer(deadline)
+                self.handle.registerTimer(-(-deadline // 1000))  # timers count milliseconds
             elif op in ("ok", "fail") and held == token:
                 self._drop()
-        yield pd.DataFrame({"job_id": [], "token": [], "expired_us": []}).astype("int64")
+        yield pd.DataFrame(ended, columns=["job_id", "token", "expired_us"]).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
@@ -94,7 +99,7 @@ class LeaseTimers(StatefulProcessor):
         if self.lease.exists():
             token, deadline = self.lease.get()
             self.lease.clear()
-            yield pd.DataFrame({"job_id": [key[0]], "token": [token], "expired_us": [deadline * 1000]})
+            yield pd.DataFrame({"job_id": [key[0]], "token": [token], "expired_us": [deadline]})
 
     def close(self) -> None:
         pass
@@ -104,3 +109,21 @@ def lease_expiries(commands: DataFrame, ttl_ms: int, lateness: str = "0 seconds"
     """Streaming expiries of leases by event time; needs the RocksDB state store."""
     rows = commands.withColumn("at", F.timestamp_micros("us")).withWatermark("at", lateness)
     return rows.groupBy("job_id").transformWithStateInPandas(LeaseTimers(ttl_ms), "job_id long, token long, expired_us long", "Append", "EventTime")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_lease_expiries(spark: SparkSession, commands: DataFrame, folder: str, ttl_ms: int) -> DataFrame:
+    """All expiries of the given commands up to their last moment, by a stream over them as files below `folder`."""
+    commands.write.parquet(f"{folder}/in")
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        arriving = spark.readStream.schema(commands.schema).parquet(f"{folder}/in")
+        query = lease_expiries(arriving, ttl_ms).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    return spark.read.schema("job_id long, token long, expired_us long").parquet(f"{folder}/out")
