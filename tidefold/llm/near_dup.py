@@ -182,10 +182,7 @@ def settled(same: np.ndarray) -> np.ndarray:
 
 def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int, known: np.ndarray | None = None) -> tuple[Parts, int]:
     """What the branches of one node connect by likely pairs, and how deep they go; members of one `known` part are linked already."""
-    parts, deepest = Parts(len(matrix)), place.bit_length() - 1
-    if known is not None:
-        _, first, part = np.unique(known, return_index=True, return_inverse=True)
-        parts.of = first[part]
+    parts, deepest = known_parts(known) if known is not None else Parts(len(matrix)), place.bit_length() - 1
     todo = [(np.arange(len(matrix)), place)]
     while todo:
         at, place = todo.pop()
@@ -206,12 +203,26 @@ def follow(matrix: np.ndarray, sizes: np.ndarray, tree: int, place: int, known:
     return parts, deepest
 
 
-def stars(cid: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each member of a part to the member with the smallest cid, so that many nodes name the same edges."""
-    least = np.full(len(cid), np.iinfo(np.int64).max)
-    np.minimum.at(least, parts, cid)
-    a = np.flatnonzero(least[parts] != cid)
-    return cid[a], least[parts[a]]
+def known_parts(label: np.ndarray) -> Parts:
+    """Members with one label are linked already."""
+    parts = Parts(len(label))
+    _, first, part = np.unique(label, return_index=True, return_inverse=True)
+    parts.of = first[part]
+    return parts
+
+
+def centres(label: np.ndarray, parts: Parts) -> np.ndarray:
+    """Of each member the smallest label in its part."""
+    least = np.full(len(label), np.iinfo(np.int64).max)
+    np.minimum.at(least, parts.of, label)
+    return least[parts.of]
+
+
+def stars(label: np.ndarray, parts: Parts) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each label in a part to the smallest there: few, and the same ones from many nodes."""
+    edges = np.unique(np.stack((label, centres(label, parts)), axis=1), axis=0)
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    return edges[:, 0], edges[:, 1]
 
 
 def deal(rows: DataFrame, key: str) -> DataFrame:
@@ -226,13 +237,13 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch, groups in sorted_groups(batches, "node"):
-            matrix, sizes, cid = token_matrix(batch.column("tokens")), batch.column("n").to_numpy(), batch.column("cid").to_numpy()
+            matrix, sizes = token_matrix(batch.column("tokens")), batch.column("n").to_numpy()
             trees, places, part = (batch.column(c).to_numpy() for c in ("tree", "place", "part"))
             a, b = [], []
             for start, stop in groups:
                 if stop - start < 2:
                     continue
-                x, y = stars(cid[start:stop], follow(matrix[start:stop], sizes[start:stop], int(trees[start]), int(places[start]), part[start:stop])[0].of)
+                x, y = stars(part[start:stop], follow(matrix[start:stop], sizes[start:stop], int(trees[start]), int(places[start]), part[start:stop])[0])
                 a.append(x)
                 b.append(y)
             if a:
@@ -241,42 +252,50 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
     return map_arrow(deal(rows.select("node", "tree", "place", "cid", "part", "n", "tokens"), "node"), run, "a long, b long")
 
 
-def block_pairs(rows: DataFrame, key: str, members: str) -> DataFrame:
-    """Rows of groups too large for one task, once for every pair of blocks they take part in.
+def compare_blocks(rows: DataFrame, key: str, members: str, judge, name: str) -> DataFrame:
+    """Edges of groups too large for one task; judge(part of a batch, its labels, border) gives Parts.
 
-    The group's members fall into ceil(members / BLOCK) blocks by hash; `pair` names two blocks of
-    a group, `second` says which of both the row is in.  Pairs of a block with itself compare inside.
+    The group's members (cid, part, ...) fall into ceil(members / BLOCK) blocks by hash.  Each block is first
+    compared inside, which leaves it few labels, and then with every other block of its group across the border.
     """
+    columns, n = rows.columns, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     blocks = F.ceil(F.col(members) / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("cid", F.lit(7)), blocks)
-    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return out.withColumn("pair", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).withColumn("second", F.col("own") > F.col("other")).withColumn("inside", F.col("own") == F.col("other"))
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(7)), blocks)).withColumn("block", F.xxhash64(key, "own"))
 
+    def inside(batches):
+        import pyarrow as pa
 
-def compare_blocks(rows: DataFrame, key: str, members: str, judge_pairs) -> DataFrame:
-    """Edges from block against block; judge_pairs(batch, start, stop, border) gives Parts, border None for a block with itself."""
+        for batch, groups in sorted_groups(batches, "block"):
+            label = batch.column("part").to_numpy().copy()
+            for start, stop in groups:
+                label[start:stop] = centres(label[start:stop], judge(batch.slice(start, stop - start), label[start:stop], None))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.int64())], names=[*batch.schema.names, "label"])
 
-    def run(batches):
+    def across(batches):
         import pyarrow as pa
 
         for batch, groups in sorted_groups(batches, "pair"):
-            second, inside, cid = batch.column("second").to_numpy(zero_copy_only=False), batch.column("inside").to_numpy(zero_copy_only=False), batch.column("cid").to_numpy()
-            a, b = [], []
+            second, label, a, b = batch.column("second").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(), [], []
             for start, stop in groups:
-                border = None if inside[start] else int(np.searchsorted(second[start:stop], True))
-                x, y = stars(cid[start:stop], judge_pairs(batch, start, stop, border).of)
-                a.append(x)
-                b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+                border = int(np.searchsorted(second[start:stop], True))
+                if 0 < border < stop - start:
+                    x, y = stars(label[start:stop], judge(batch.slice(start, stop - start), label[start:stop], border))
+                    a.append(x)
+                    b.append(y)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
-    pairs = block_pairs(rows, key, members)
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return map_arrow(pairs.repartition(n, "pair").sortWithinPartitions("pair", "second"), run, "a long, b long")
+    dealt = rows.repartition(n, "block").sortWithinPartitions("block")
+    dealt = materialize(map_arrow(dealt, inside, T.StructType([*dealt.schema.fields, T.StructField("label", T.LongType())])), name)
+    edges = dealt.where(F.col("part") != F.col("label")).select(F.col("part").alias("a"), F.col("label").alias("b"))
+    pairs = dealt.withColumn("part", F.col("label")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("own <> other")
+    pairs = pairs.select(*columns, F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")).alias("pair"), (F.col("own") > F.col("other")).alias("second"))
+    return map_arrow(pairs.repartition(n, "pair").sortWithinPartitions("pair", "second"), across, "a long, b long").unionByName(edges)
 
 
-def likely_blocks(batch, start: int, stop: int, border: int | None):
-    part, parts = batch.slice(start, stop - start), Parts(stop - start)
-    likely_pairs(token_matrix(part.column("tokens")), part.column("n").to_numpy(), np.arange(stop - start), parts, border)
+def likely_blocks(part, label: np.ndarray, border: int | None) -> Parts:
+    parts = known_parts(label)
+    likely_pairs(token_matrix(part.column("tokens")), part.column("n").to_numpy(), np.arange(len(label)), parts, border)
     return parts
 
 
@@ -300,7 +319,7 @@ def likely_edges(classes: DataFrame) -> DataFrame:
         large = entries.join(big, "node")
         large = large if level else large.join(facts, "cid")
         if level >= LEVELS:
-            of_pivots, entries = compare_blocks(large, "node", "members", likely_blocks), None
+            of_pivots, entries = compare_blocks(large.select("node", "cid", "part", "n", "tokens", "members"), "node", "members", likely_blocks, "node-blocks"), None
         else:
             large = materialize(with_estimates(large), f"large-{level}")
             of_pivots = large.where((F.col("s") >= LIKELY) & (F.col("part") != F.col("pivot_part"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
@@ -388,11 +407,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(len(a) + len(b) - common, 1)
 
 
-def confirmed(matrix: np.ndarray, sets: list[np.ndarray], border: int | None = None) -> Parts:
+def confirmed(rows, label: np.ndarray, border: int | None = None) -> Parts:
     """What the confirmed links connect; with `border`, those across it.  The likeliest pairs come first."""
+    matrix, sets = token_matrix(rows.column("tokens")), as_sets(rows.column("shingles"))
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    parts, least = Parts(m), LIKELY * TOKENS
+    parts, least = known_parts(label), LIKELY * TOKENS
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(m - 1 if border is None else border):
         start = i + 1 if border is None else border
@@ -450,10 +470,9 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch, groups in sorted_groups(batches, "cluster"):
-            a, b, cid = [], [], batch.column("cid").to_numpy()
+            a, b, label = [], [], batch.column("part").to_numpy()
             for start, stop in groups:
-                part = batch.slice(start, stop - start)
-                x, y = stars(cid[start:stop], confirmed(token_matrix(part.column("tokens")), as_sets(part.column("shingles"))).of)
+                x, y = stars(label[start:stop], confirmed(batch.slice(start, stop - start), label[start:stop]))
                 a.append(x)
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
@@ -466,28 +485,24 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
                 s = [similarity(x, y) for x, y in zip(as_sets(batch.column("shingles")), as_sets(batch.column("of_pivot")), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(s, pa.float64())], names=[*batch.schema.names[:5], "s"])
 
-    def blocks(batch, start, stop, border):
-        part = batch.slice(start, stop - start)
-        return confirmed(token_matrix(part.column("tokens")), as_sets(part.column("shingles")), border)
-
-    found = None
+    columns, found, rows = ["cluster", "cid", "part", "tokens", "shingles"], None, rows.withColumn("part", F.col("cid"))
     for level in range(ROUNDS + 1):
         bulk = F.ceil(F.sum(F.octet_length("shingles")) / MEMBER_BYTES).cast("long")
         sizes = rows.groupBy("cluster").agg(F.greatest(F.count("*"), bulk).alias("members"), F.min("cid").alias("pivot"))
-        large_sizes = sizes.where(F.col("members") > CLUSTER)
+        large_sizes = materialize(sizes.where(F.col("members") > CLUSTER), f"large-clusters-{level}")
         few = small_enough(large_sizes, MOST_PIVOTS)
         tagged = rows.join(F.broadcast(large_sizes) if few else large_sizes, "cluster", "left")
-        edges = map_arrow(deal(tagged.where(F.col("members").isNull()).select("cluster", "cid", "tokens", "shingles"), "cluster"), small, "a long, b long")
+        edges = map_arrow(deal(tagged.where(F.col("members").isNull()).select(*columns), "cluster"), small, "a long, b long")
         large = tagged.where(F.col("members").isNotNull())
         more = large_sizes.limit(1).count() > 0
         if more and level == ROUNDS:
-            edges = edges.unionByName(compare_blocks(large, "cluster", "members", blocks))
+            edges = edges.unionByName(compare_blocks(large.select(*columns, "members"), "cluster", "members", confirmed, "cluster-blocks"))
         elif more:
             pivots = large.where(F.col("cid") == F.col("pivot")).groupBy("cluster").agg(F.first("shingles").alias("of_pivot"))
-            met = large.join(F.broadcast(pivots) if few else pivots, "cluster").select("cluster", "cid", "pivot", "tokens", "shingles", "of_pivot")
+            met = large.join(pivots, "cluster").select("cluster", "cid", "pivot", "tokens", "shingles", "of_pivot")
             met = materialize(map_arrow(met, against_pivot, "cluster long, cid long, pivot long, tokens binary, shingles binary, s double"), f"pivots-{level}")
             edges = edges.unionByName(met.where((F.col("s") >= 0.75) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-            rows = relieve(met, 0.75, 0.25 + 1e-9, "cluster").select("cluster", "cid", "tokens", "shingles")
+            rows = relieve(met, 0.75, 0.25 + 1e-9, "cluster").withColumn("part", F.when(F.col("s") >= 0.75, F.col("pivot")).otherwise(F.col("cid"))).select(*columns)
         found = edges if found is None else found.unionByName(edges)
         if not more:
             break
