@@ -47,6 +47,18 @@ def test_exact_binomial_tail(spark, n, k, rate):
             assert found == (tail <= level), (float(tail), level)
 
 
+@pytest.mark.parametrize(("n", "deviations"), [(10**8, 2.75), (2 * 10**9, 2.75), (2 * 10**9, 0.5), (10**10, 3.5)])
+def test_tail_of_many_labels(spark, n, deviations):
+    """Against the normal approximation with its skewness term, which is right to a few parts in 1e5 here."""
+    rate = 0.005
+    sd = math.sqrt(n * rate * (1 - rate))
+    k = int(n * rate - deviations * sd)
+    z = (k + 0.5 - n * rate) / sd
+    tail = 0.5 * math.erfc(-z / math.sqrt(2)) - (1 - 2 * rate) / (6 * sd) * (z * z - 1) * math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    for level, said in ((tail * 0.999, False), (tail * 1.001, True)):
+        assert spark.range(1).select(quality.refuted(F.lit(n).cast("long"), F.lit(k).cast("long"), rate, level).alias("x")).first().x == said
+
+
 def corpus(spark, n=3000, bad=0.2, seed=3):
     rng = random.Random(seed)
     docs, labels = [], []

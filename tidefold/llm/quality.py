@@ -10,13 +10,14 @@ must be refuted by the exact binomial tail at level `error / (strata x scores)`.
 fixed order keeps that level over the cutoffs of one score; the division (Bonferroni) covers
 strata and scores.  So with probability 1 - `error` no stratum loses more than `risk` of its
 good rows.  The strictest cutoff of the unbroken run is taken; where even the loosest can't be
-refuted (few labels), that score rejects nothing there.
+refuted (few labels), that score rejects nothing there.  Good rows here are those that pass the
+floor: what the floor rejects is fixed by the contract and outside the guarantee.
 
 The text is read once: base counts go to a narrow table in the shared folder, and labels,
 cutoffs and verdicts work on that table.
 
 Defined results: null and empty texts have no words and fail the floor; null languages are one
-stratum; where a doc_id has several labels it counts as good if any says so, null labels count
+stratum; very long texts are counted whole; where a doc_id has several labels it counts as good if any says so, null labels count
 as none; labels of null ids are ignored; repeated rows are judged alike; an empty table gives no
 rows; other columns are ignored.
 """
@@ -28,12 +29,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import materialize, small_enough, text_or_empty
+from tidefold.llm.common import materialize, small_enough, text_or_empty, tidy
 
 SPACE = r"[\t-\r ]+"
 WINDOW = 5
 RISK, ERROR = 0.02, 0.05
-TAIL_TERMS = 2000
+DEVIATIONS = 12  # that many standard deviations below k a tail's terms are under 1e-31 of its first
 MOST_BROADCAST_ROWS = 10_000
 # Cutoffs to test, strictest first.
 CUTOFFS = {
@@ -94,13 +95,14 @@ def log_factorial(n: Column) -> Column:
 def refuted(n: Column, k: Column, rate: float, level: float) -> Column:
     """Whether P(Binomial(n, rate) <= k) <= level.
 
-    The tail is summed from k downwards; below the mean its terms fall geometrically, so
-    `TAIL_TERMS` of them are all that doubles can tell apart.
+    The tail is summed from k downwards, over as many standard deviations as doubles can tell apart
+    and 64 terms more for small n; so the number of terms grows with the root of n.
     """
     at_k = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(rate) + (n - k) * math.log1p(-rate)
     odds = (1 - rate) / rate
     step = lambda a, i: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * i * odds / (n - i + 1)).alias("term"))
-    down = F.transform(F.sequence(F.lit(0), F.least(k, F.lit(TAIL_TERMS)).cast("int")), lambda j: (k - j).cast("double"))
+    terms = F.ceil(DEVIATIONS * F.sqrt(n * rate * (1 - rate))) + 64
+    down = F.transform(F.sequence(F.lit(0).cast("long"), F.least(k, terms).cast("long")), lambda j: (k - j).cast("double"))
     tail = F.aggregate(down, F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term")), step)["sum"]
     return F.when(k >= n * rate, F.lit(False)).otherwise(at_k + F.log(tail) <= math.log(level))
 
@@ -119,6 +121,7 @@ def thresholds(counts: DataFrame, labels: DataFrame, risk: float = RISK, error:
     return run.groupBy("stratum").agg(*[F.min(F.when(F.col("score") == s, F.col("cutoff"))).alias(f"max_{s}") for s in CUTOFFS])
 
 
+@tidy
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Base counts, base_failed and kept of every row."""
     counts = materialize(base_counts(docs), "quality-counts")
