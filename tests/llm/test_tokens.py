@@ -17,7 +17,7 @@ SCHEMA = "doc_id long, text string, n_tokens int, length string, roots int"  # w
 
 def texts():
     rng = random.Random(3)
-    odd = ["", None, " ", "  a  b ", "\x85 x\x1c", "a" * 4000, "abab" * 300, "日本語 🤗🤗 é", "don't they'LL \n\n 12345", "<|endoftext|> <|endoftext|>", "x\n y", "the the the"]
+    odd = ["", None, " ", "  a  b ", "\x85 x\x1c", "a" * 4000, "abab" * 300, "日本語 🤗🤗 é", "don't they'LL \n\n 12345", "<|endoftext|> <|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>", "日本語" * 200, "x\n y", "the the the"]
     letters = "abcdef'  \n\t.,!é漢🤗0123\xa0 the ing er on"
     return odd + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(150)] + ["tie", "tie"]
 
@@ -39,7 +39,6 @@ def library_ids(some):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in some], add_special_tokens=False)]
 
 
@@ -71,6 +70,29 @@ def test_chunks_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == library_ids(some)
 
 
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_chunks, "CACHE_BYTES", 20_000)
+    encoder = token_chunks.ChunkEncoder(JSON)
+    rng, most = random.Random(1), 0
+    for k in range(60):
+        some = ["".join(rng.choice("日本語漢字") for _ in range(300)) for _ in range(20)] + [f"w{k}{i} v{i * k}" for i in range(20)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some)] == library_ids(some)
+        most = max(most, len(encoder.at_start) + len(encoder.after_space))
+        assert not any(len(w) > token_chunks.LONGEST for w in [*encoder.at_start, *encoder.after_space])
+    assert most <= 20_000 // token_chunks.ENTRY_BYTES + 40
+
+
+def test_dictionary_draws_on_whole_documents(spark):
+    """Pieces beyond the first 256 KiB count: the tail of a long document is known to the dictionary."""
+    rng = np.random.default_rng(2)
+    tail = rng.integers(0, 256, 3000, dtype=np.uint8).tobytes()
+    ids = b"".join(rng.integers(0, 256, 1096, dtype=np.uint8).tobytes() + (tail if k > 70 else rng.integers(0, 256, 3000, dtype=np.uint8).tobytes()) for k in range(140))
+    made = token_store.train_dictionary(spark.createDataFrame([(1, ids)], "doc_id long, ids binary"))
+    assert any(tail[i:i + 48] in made for i in range(0, 2900, 16))
+    rows = [(1, ids), (1, ids[::-1]), (None, ids[5:]), (None, ids[:-5]), (2, b"")]
+    assert len({token_store.train_dictionary(spark.createDataFrame(some, "doc_id long, ids binary"), sample=3) for some in (rows, rows[::-1])}) == 1
+
+
 def test_store_reads_back_what_it_wrote(spark, tmp_path):
     some = texts()
     folder = f"file://{tmp_path}/t"
@@ -95,6 +117,19 @@ def test_store_of_repeated_null_and_no_rows(spark):
     found = token_store.round_trip(twice, JSON).orderBy("start").collect()
     assert [r.doc_id for r in found] == [None, 7, 7, 7] and [r.start for r in found] == [0, 2, 4, 6]
     assert token_store.round_trip(twice.where("false"), JSON).count() == 0
+    least = spark.createDataFrame([(-(1 << 63), "least"), (None, "n"), (None, None)], "doc_id long, text string")
+    assert [r.doc_id for r in token_store.round_trip(least, JSON).orderBy("start").collect()] == [None, None, -(1 << 63)]
+
+
+def test_whole_pieces_and_repeated_rows_fill_no_shard(spark):
+    some = spark.createDataFrame([(1, "word " * 5000)] * 60 + [(None, "some text")] * 300 + [(2, None)] * 300, "doc_id long, text string")
+    cut = packing.pieces(some, JSON)
+    assert cut.where("length = 1024").count() > 200
+    found = packing.pack(some, JSON, shard_pieces=50)
+    shards = found.where("sequence_id >= 0").selectExpr("sequence_id >> 32 AS shard").groupBy("shard").count().collect()
+    assert len(shards) > 8 and max(r["count"] for r in shards) < 120
+    assert found.where("length = 1024").select("sequence_id").distinct().count() == cut.where("length = 1024").count()
+    assert found.count() == cut.count() and found.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").count() == 0
 
 
 def test_cuts():

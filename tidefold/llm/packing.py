@@ -8,10 +8,13 @@ which for this rule comes within a few sequences of the lower bound.
 
 The rule looks at lengths alone, and a few thousand pieces already pack to within about 0.1 %.
 So pieces are dealt by hash into shards of about `shard_pieces`, whose number grows with the
-corpus, and each shard is packed by itself: no task sees more than its shard, whatever the skew.
+corpus, and each shard is packed by itself.  The hash takes in a number of the row's own, so
+repeated rows are spread like any others.  Whole sequences need no placing: they take part in no
+shard, so a corpus of books is no load for one task.
 
-Defined results: null text is empty, one end id; repeated rows are documents of their own; an
-empty table gives no rows; other columns are ignored.
+Defined results: null text is empty, one end id; repeated rows and null doc_ids are documents of
+their own; very long texts become as many pieces as they need; ties of length are placed in order
+of doc_id, piece and crc32; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import token_chunks
-from tidefold.llm.common import map_arrow, materialize, row_slices, text_or_empty
+from tidefold.llm.common import map_arrow, materialize, row_slices, text_or_empty, tidy
 
 SEQUENCE = 1024
 SHARD_PIECES = 8192
@@ -61,30 +64,35 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = SEQUENCE) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32; one narrow pass over the text."""
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32, and salt, the row's number in its task; one narrow pass over the text."""
 
     def run(batches):
         import pyarrow as pa
 
-        encoder, end = token_chunks.load(tokenizer_path), struct.pack("<I", end_id)
+        encoder, end, row = token_chunks.load(tokenizer_path), struct.pack("<I", end_id), 0
         for whole in batches:
             for batch in row_slices(whole):
                 rows = []
                 for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                     ids = raw + end
-                    rows += [(doc, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
-                doc, k, s, n, crc = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row += 1
+                    rows += [(doc, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)]), row) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+                doc, k, s, n, crc, salt = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = SEQUENCE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Every piece of every document with its sequence_id and offset there."""
     rows = materialize(pieces(docs, tokenizer_path, end_id, capacity), "pieces")
-    shards = max(1, -(-rows.where(F.col("length") < capacity).count() // shard_pieces))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    full, part = rows.where(F.col("length") == capacity), rows.where(F.col("length") < capacity)
+    shards = max(1, -(-part.count() // shard_pieces))
+    part = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(shards))).drop("salt")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}).select(columns)
 
     def run(key, group):
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -93,4 +101,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         group["offset"] = offset
         return group.drop(columns="shard")
 
-    return rows.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = part.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.unionByName(alone)

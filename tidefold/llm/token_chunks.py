@@ -4,7 +4,11 @@ A byte-level BPE tokenizer splits text before it merges, and a space that a non-
 always starts a new split.  So a text is cut at such spaces, every distinct chunk is encoded by
 the library once, and a document's ids are its chunks' ids in a row.  New chunks are encoded many
 at a time, in one text: a token that begins with a space then begins a chunk.  Texts where a space
-is followed by white space or by nothing go to the library whole.
+is followed by white space or by nothing go to the library whole, and so do texts that hold the
+string of a special token, which the library takes for that token.
+
+What a worker keeps is bounded by bytes, and chunks above `LONGEST` characters (texts without
+spaces) aren't kept at all.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_CHUNKS = 800_000
+CACHE_BYTES = 200 << 20
+ENTRY_BYTES = 220  # of an entry besides its characters and ids
+LONGEST = 256
 TOGETHER = 100
 
 
@@ -27,13 +33,15 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.begins = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # the library's sign for a space
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = [t for t in self.special if " " in t]
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]):
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -42,30 +50,39 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         """Put the ids of chunks that follow a space into the cache."""
         blocks = [chunks[i:i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
-        for block, raw in zip(blocks, self._ids([" " + " ".join(b) for b in blocks]), strict=True):
+        joined = [" " + " ".join(b) for b in blocks]
+        for block, text, raw in zip(blocks, joined, self._ids(joined), strict=True):
             starts = (np.flatnonzero(self.begins[np.frombuffer(raw, dtype="<u4")]) * 4).tolist()
-            if len(starts) == len(block):
+            if len(starts) == len(block) and not any(t in text for t in self.spaced):
                 self.after_space.update(zip(block, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
             else:
                 self.after_space.update(zip(block, self._ids([f" {w}" for w in block]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.after_space) > CACHE_CHUNKS:
-            self.after_space.clear()
-            self.at_start.clear()
-        split = [t.split(" ") for t in texts]
-        new = list({w[0] for w in split}.difference(self.at_start))
-        self.at_start.update(zip(new, self._ids(new), strict=True))
-        new = set(chain.from_iterable([w[1:] for w in split])).difference(self.after_space)
-        self._learn([w for w in new if w and not w[0].isspace()])
+        split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        plain = [w for w in split if w]
+        first = list({w[0] for w in plain}.difference(self.at_start))
+        self.at_start.update(zip(first, self._ids(first), strict=True))
+        new = [w for w in set(chain.from_iterable([w[1:] for w in plain])).difference(self.after_space) if w and not w[0].isspace()]
+        self._learn(new)
         get = self.after_space.__getitem__
         out = []
         for text, words in zip(texts, split, strict=True):
             try:
-                out.append(self.at_start[words[0]] + b"".join(map(get, words[1:])))
+                out.append(self.at_start[words[0]] + b"".join(map(get, words[1:])) if words else next(self._ids([text])))
             except KeyError:
                 out.append(next(self._ids([text])))
+        for kept, entered in ((self.at_start, first), (self.after_space, new)):
+            for w in entered:
+                if len(w) > LONGEST:
+                    del kept[w]
+                else:
+                    self.held += ENTRY_BYTES + 3 * len(w)
+        if self.held > CACHE_BYTES:
+            self.after_space.clear()
+            self.at_start.clear()
+            self.held = 0
         return out
 
 

@@ -1,16 +1,21 @@
 """Token-id files: every document a zstandard frame of its own, compressed with one shared dictionary.
 
 File layout (all integers little-endian):
-  magic "TFTOK01\n" | version u32 | bytes per id u32 | sha256 of the dictionary (32 bytes)
+  magic "TFTOK02\n" | version u32 | bytes per id u32 | sha256 of the dictionary (32 bytes)
   frames, one per document, in ascending doc_id order
   index: per document 5 x i64: doc_id, ids before it in this file, ids, file offset, frame bytes
-  footer: documents u64 | index offset u64 | crc32 of the index u32 | magic
+  footer: documents u64 | those without doc_id (they come first) u64 | index offset u64 | crc32 of the index u32 | magic
 The dictionary lies beside the files as `dictionary.zstd`; a reader refuses another one by its
 hash.  With the index a short document is one ranged read.
 
+Texts are tokenized first; only ids, mostly two bytes each, are sorted by doc_id.  The dictionary is
+trained on `SAMPLE_PIECES` pieces of `PIECE` bytes, drawn by hash from the whole of `SAMPLE_DOCS`
+documents, those with the smallest hash of doc_id.
+
 Defined results: null text is empty, a document of the end id only; repeated doc_ids are kept as
 documents of their own, ordered by a hash of their texts among each other; null doc_id sorts first; an
-empty table gives no files and no rows.
+empty table gives no files and no rows; very long texts are frames like any other; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,31 +29,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import token_chunks
-from tidefold.llm.common import fresh_path, hash_sample, map_arrow, materialize, open_input, open_output, read_range, row_slices, text_or_empty
+from tidefold.llm.common import fresh_path, hash_sample, map_arrow, materialize, open_input, open_output, read_range, release, row_slices, text_or_empty, tidy
 
-MAGIC = b"TFTOK01\n"
+MAGIC = b"TFTOK02\n"
 HEAD = "<8sII32s"
-FOOT = "<QQI8s"
+FOOT = "<QQQI8s"
 HEAD_BYTES, FOOT_BYTES = struct.calcsize(HEAD), struct.calcsize(FOOT)
-NULL_ID = -(1 << 63)
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 64 << 10
 PIECE = 4096
+SAMPLE_PIECES = 2000
+
 
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, width: int) -> DataFrame:
+    """doc_id, text_hash, salt (the row's number in its task) and ids with the end id, `width` bytes each; one narrow pass over the text."""
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most `sample` rows, the smallest by a hash of doc_id.
+    def run(batches):
+        import pyarrow as pa
+
+        encoder, end, row = token_chunks.load(tokenizer_path), struct.pack("<I", end_id), 0
+        for whole in batches:
+            for batch in row_slices(whole):
+                ids = [narrow(raw + end, width) for raw in encoder.encode(batch.column("text").to_pylist())]
+                salt = range(row, row + len(ids))
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(salt, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "text_hash", "salt", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_arrow(rows, run, "doc_id long, text_hash long, salt long, ids binary")
+
+
+def train_dictionary(rows: DataFrame, sample: int = SAMPLE_DOCS, pieces: int = SAMPLE_PIECES, size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary from at most `pieces` pieces of the ids of at most `sample` rows (doc_id, ids).
 
     Empty (plain zstandard) if the sample is too small to train on.
     """
     import zstandard
 
-    rows = hash_sample(docs.select("doc_id", text_or_empty().alias("text")), "doc_id", sample).select("text").collect()
-    raw = token_chunks.load(tokenizer_path).encode([r.text for r in rows])
-    raw = [narrow(r, width) for r in raw]
-    pieces = [r[i:i + PIECE] for r in raw for i in range(0, min(len(r), 64 * PIECE), PIECE)]
+    drawn = hash_sample(rows.select("doc_id", "ids"), "doc_id", sample)
+    cuts = drawn.select("doc_id", "ids", F.posexplode(F.expr(f"sequence(1, greatest(octet_length(ids), 1), {PIECE})")).alias("k", "at"))
+    cuts = cuts.select("doc_id", "k", F.expr(f"substring(ids, at, {PIECE})").alias("piece"))
+    found = cuts.orderBy(F.xxhash64("doc_id", "k", "piece")).limit(pieces).select("piece").toArrow()
     try:
-        return zstandard.train_dictionary(size, pieces).as_bytes()
+        return zstandard.train_dictionary(size, found.column("piece").to_pylist()).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -77,7 +100,7 @@ class StoreFile:
         self.handle = open_input(path)
         size = self.handle.size()
         magic, _, self.width, found = struct.unpack(HEAD, read_range(self.handle, 0, HEAD_BYTES))
-        n, at, crc, end = struct.unpack(FOOT, read_range(self.handle, size - FOOT_BYTES, FOOT_BYTES))
+        n, self.nulls, at, crc, end = struct.unpack(FOOT, read_range(self.handle, size - FOOT_BYTES, FOOT_BYTES))
         if magic != MAGIC or end != MAGIC:
             raise ValueError(f"{path} is no token file")
         if found != hashlib.sha256(dictionary).digest():
@@ -94,8 +117,8 @@ class StoreFile:
 
     def find(self, doc_id: int) -> list[int]:
         """Rows of the index that hold `doc_id`."""
-        column = self.index[:, 0]
-        return list(range(int(np.searchsorted(column, doc_id, "left")), int(np.searchsorted(column, doc_id, "right"))))
+        column = self.index[self.nulls:, 0]
+        return list(range(self.nulls + int(np.searchsorted(column, doc_id, "left")), self.nulls + int(np.searchsorted(column, doc_id, "right"))))
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
@@ -107,14 +130,14 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, pa
     """
     spark = docs.sparkSession
     width = 2 if max(len(token_chunks.load(tokenizer_path).begins), end_id + 1) <= 1 << 16 else 4
-    dictionary = train_dictionary(docs, tokenizer_path, width)
+    ids = materialize(encoded(docs, tokenizer_path, end_id, width), "ids")
+    dictionary = train_dictionary(ids)
     with open_output(f"{folder}/dictionary.zstd") as f:
         f.write(dictionary)
     shared = spark.sparkContext.broadcast(dictionary)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text")]  # of rows that repeat a doc_id, too: they may be many
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    order = ["doc_id", "text_hash", "salt"]  # the latter two for rows that repeat a doc_id: they may be many
+    rows = ids.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
 
     def run(batches):
         import uuid
@@ -122,29 +145,28 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, pa
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        encoder, pack = token_chunks.load(tokenizer_path), codec(shared.value)[0].compress
-        end = struct.pack("<I", end_id)
-        path, out, index, at, before = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok", None, [], HEAD_BYTES, 0
-        for whole in batches:
-            for batch in row_slices(whole):
-                if out is None:
-                    out = open_output(path)
-                    out.write(struct.pack(HEAD, MAGIC, 1, width, hashlib.sha256(shared.value).digest()))
-                ids = encoder.encode(batch.column("text").to_pylist())
-                for doc, raw in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                    frame = pack(narrow(raw + end, width))
-                    out.write(frame)
-                    index.append((NULL_ID if doc is None else doc, before, len(raw) // 4 + 1, at, len(frame)))
-                    at += len(frame)
-                    before += len(raw) // 4 + 1
+        part, pack = TaskContext.get().partitionId(), codec(shared.value)[0].compress
+        path, out, index, at, before, nulls = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok", None, [], HEAD_BYTES, 0, 0
+        for batch in batches:
+            if batch.num_rows and out is None:
+                out = open_output(path)
+                out.write(struct.pack(HEAD, MAGIC, 1, width, hashlib.sha256(shared.value).digest()))
+            for doc, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                frame = pack(raw)
+                out.write(frame)
+                nulls += doc is None
+                index.append((doc or 0, before, len(raw) // width, at, len(frame)))
+                at += len(frame)
+                before += len(raw) // width
         if out is not None:
             raw = np.array(index, dtype="<i8").tobytes()
-            out.write(raw + struct.pack(FOOT, len(index), at, zlib.crc32(raw), MAGIC))
+            out.write(raw + struct.pack(FOOT, len(index), nulls, at, zlib.crc32(raw), MAGIC))
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [path], "n_docs": pa.array([len(index)], pa.int64()), "n_ids": pa.array([before], pa.int64())})
 
-    return materialize(map_arrow(rows, run, "part long, path string, n_docs long, n_ids long"), "tokens-manifest")
+    manifest = materialize(map_arrow(rows, run, "part long, path string, n_docs long, n_ids long"), "tokens-manifest")
+    release(ids)
+    return manifest
 
 
 def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -165,7 +187,7 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
                     part = store.index[a:a + 2000]
                     ids = [store.ids_at(a + i) for i in range(len(part))]
                     columns = [
-                        pa.array([None if d == NULL_ID else d for d in part[:, 0].tolist()], pa.int64()),
+                        pa.array(part[:, 0], pa.int64(), mask=np.arange(a, a + len(part)) < store.nulls),
                         pa.array(part[:, 1] + base, pa.int64()),
                         pa.array(part[:, 2], pa.int64()),
                         pa.array([zlib.crc32(x) for x in ids], pa.int64()),
@@ -181,7 +203,10 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     return map_arrow(files.repartition(spread, "path"), run, schema)
 
 
+@tidy
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write all of `docs` to a new folder in the shared storage and read the files back."""
     folder = fresh_path(docs.sparkSession, "tokens")
-    return read(write(docs, tokenizer_path, folder), folder)
+    out = read(write(docs, tokenizer_path, folder), folder)
+    out._folders = {folder.rpartition("/")[2]}
+    return out
