@@ -67,14 +67,63 @@ def test_held_out_labels_and_other_columns_teach_nothing(spark):
     assert (toxicity.train(other, labels_of(spark, rows)).weight == a.weight).all()
 
 
-def test_ratios_scale_the_features():
-    texts, y = ["aaaa bbbb", "aaaa cccc", "dddd cccc", "dddd eeee"] * 10, np.array([1, 1, 0, 0] * 10)
-    model = toxicity.fit(texts, y, 0.5)
+def test_ratios_scale_the_features(spark):
+    texts, y = ["aaaa bbbb", "aaaa cccc", "dddd cccc", "dddd eeee"] * 25, np.array([1, 1, 0, 0] * 25)
+    docs = spark.createDataFrame([(i, t, "en", "s", "s", 1, 2) for i, t in enumerate(texts)], DOCS)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int"))
     weight = lambda w: model.weight[hashed(code_points(w), (4,), model.bits)[1]]
     assert weight("aaaa") > 0 > weight("dddd") and weight("cccc") == 0
     assert model.score("aaaa") > 0.9 and model.score("dddd") < 0.1
 
 
+def test_training_equals_a_plain_version(spark):
+    """Every weight and score against dictionaries and loops: presence counts, Dunning's statistic, scaled logistic regression."""
+    import math
+
+    rows = corpus(160, seed=8)
+    docs = frame(spark, [*rows, (rows[5][0], "~ other text of the same id", "en", "s", False)])
+    model = toxicity.train(docs, labels_of(spark, rows), bits=14)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    grams = [set(hashed(code_points(r[1]), toxicity.LENGTHS, 14).tolist()) for r in learned]
+    ones = sum(r[4] for r in learned) + (zlib.crc32(str(10**9).encode()) % 5 > 0)
+    pos, neg = sum(r[4] for r in learned), sum(not r[4] for r in learned)
+    scale = {}
+    for g in set().union(*grams):
+        a, b = sum(g in s and r[4] for s, r in zip(grams, learned, strict=True)), sum(g in s and not r[4] for s, r in zip(grams, learned, strict=True))
+        k, n, g2 = a + b, pos + neg, 0.0
+        for seen, of in ((a, pos), (b, neg)):
+            for x, total in ((seen, k), (of - seen, n - k)):
+                g2 += 2 * x * math.log(x / (total * of / n)) if x else 0.0
+        if k >= 3 and g2 >= toxicity.LEAST:
+            scale[g] = math.log((a + 1) / (pos + 2) / ((b + 1) / (neg + 2)))
+    w, bias = dict.fromkeys(scale, 0.0), 0.0
+    m, v, mb, vb = dict.fromkeys(scale, 0.0), dict.fromkeys(scale, 0.0), 0.0, 0.0
+    for t in range(1, 151):
+        g, gb = {f: 1e-4 * w[f] for f in scale}, 0.0
+        for s, r in zip(grams, learned, strict=True):
+            mine = [f for f in s if f in scale]
+            p = 1 / (1 + math.exp(-(bias + sum(w[f] * scale[f] for f in mine))))
+            d = (p - r[4]) * (0.5 / pos if r[4] else 0.5 / neg)
+            gb += d
+            for f in mine:
+                g[f] += d * scale[f]
+        rate = 0.05 / (1 - 0.9**t) * math.sqrt(1 - 0.999**t)
+        for f in scale:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * g[f], 0.999 * v[f] + 0.001 * g[f] ** 2
+            w[f] -= rate * m[f] / (math.sqrt(v[f]) + 1e-8)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+        bias -= rate * mb / (math.sqrt(vb) + 1e-8)
+    labelled = len(learned) + (zlib.crc32(str(10**9).encode()) % 5 > 0)
+    bias += math.log((ones / labelled + 1e-6) / (1 - ones / labelled + 1e-6))
+    assert set(np.flatnonzero(model.weight).tolist()) == set(scale) and len(scale) > 3
+    assert all(abs(model.weight[f] - w[f] * scale[f]) < 1e-5 for f in scale) and abs(model.bias - bias) < 1e-6
+    for r in toxicity.score(docs, model).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        if r.score == model.score(text):
+            s = set(hashed(code_points(text), toxicity.LENGTHS, 14).tolist())
+            assert abs(r.score - 1 / (1 + math.exp(-(bias + sum(w[f] * scale[f] for f in s if f in scale))))) < 1e-5
+
+
 def test_without_labels(spark):
     docs = frame(spark, corpus(20))
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -164,7 +213,7 @@ def test_markup_is_read_as_browsers_do():
     assert text("a < b<ul><li>x<li>y</ul>z<!-- no <p>no</p> --><script>var t='</p>'</script>q") == ["a < b", "x", "y", "zq"]
     assert text('<div title="a>b">in</div><p>out<!-- open') == ["in", "out"]
     assert text("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"] and text("<style>p{}") == []
-    assert text("<p>one</div>two</p>") == ["onetwo"] and text("") == [] and text("<textarea>no</textarea>yes") == ["yes"]
+    assert text("<p>one</div>two</p>") == ["onetwo"] and text("") == [] and text("<textarea>field</textarea>yes") == ["field", "yes"]
 
 
 def test_extraction_of_all_rows(spark):

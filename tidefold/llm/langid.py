@@ -9,7 +9,8 @@ The prior of a host is a Dirichlet mean that backs off from host to registered d
 the host is not its own) to the whole corpus; its counts of declared languages come from one grouped aggregation over all rows,
 and a row's own declaration is taken out of them again before they speak about that row.  The
 text model is fitted from the `sample` rows with the smallest hash of their key and, for a
-language that has fewer than LEAST_ROWS rows among them, from its own LEAST_ROWS smallest.  Every
+language that has fewer than LEAST_ROWS rows among them, from its own LEAST_ROWS smallest.  How often
+a declaration is right is read off the same rows, each against the counts of the others.  Every
 declared value is a language; the driver holds a count and a sparse column for each.  The rates
 are interpolated with those of all languages together, so an n-gram that no language has seen
 speaks for none.
@@ -26,7 +27,8 @@ best posterior is under `least`, or the language isn't one of `wanted` (None: an
 
 Defined results: null text is empty, null or unknown declarations and hosts say nothing; ties go
 to the language first in alphabetical order; repeated rows get equal results; without any
-declared language every row is rejected with lang null.
+declared language every row is rejected with lang null; very long texts are read whole; other
+columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -188,12 +190,28 @@ def fit(texts: list[str], declared: list[str], languages: list[str], totals: lis
             log_rate[bucket, j] = value
     model = Model(languages, log_rate, totals=np.asarray(totals, dtype=np.float64), log_shared=np.log(shared).astype(np.float32))
     model.usual = usual_rates([texts_of[lang] for lang in languages], found, of_all)
-    agree = [languages[int(model.text_evidence(t)[0].argmax())] == d for t, d in zip(texts, declared, strict=True) if d in model.place and _letter(t)]
+    agree = agreements(model, [texts_of[lang] for lang in languages], found, shared)
     if agree:
         model.declared_right = float(np.clip(np.mean(agree), 0.6, 0.99))
     return model
 
 
+def agreements(model: Model, texts: list[list[str]], found: list[tuple[np.ndarray, np.ndarray]], shared: np.ndarray) -> list[bool]:
+    """Whether each fitted row's text speaks for its declared language, the row's own n-grams taken out of that language's counts."""
+    out, counts = [], np.zeros(1 << BITS)
+    for j, (bucket, n_all) in enumerate(found):
+        counts[bucket] = n_all
+        for text in texts[j]:
+            if not _letter(text):
+                continue
+            own, n = np.unique(hashed(code_points(text), LENGTHS, BITS), return_counts=True)
+            evidence = model.text_evidence(text)[0]
+            evidence[j] = model.text_weight * (np.log1p((1 - SHARED) * (counts[own] - n) / max(n_all.sum() - n.sum(), 1) / shared[own]) * n).sum()
+            out.append(int(evidence.argmax()) == j)
+        counts[bucket] = 0
+    return out
+
+
 def pooled(count, total):
     """The rate of an n-gram in all languages together."""
     return (count + 0.5) / (total + 0.5 * (1 << BITS))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefold.llm.common import read_table
+from tidefold.llm.common import materialize, read_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"), "doc_id", declared="lang", host="source")
 
 
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 over `pages`, where all its evidence speaks: text, declared markup language, address suffix, priors of host and domain."""
+    from tidefold.llm import langid
+
+    rows = materialize(langid.page_evidence(read_table(spark, sf_dir, "pages")), "page-evidence")
+    return langid.identify(rows, "page_id", declared="declared", host="host")
+
+
 def op3_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import embeddings
 
@@ -78,7 +86,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op3_embedding_dup, op4_quality, op5_packing, op6_near_dup, op7_html_text, op8_toxicity, op9_token_store, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_language_id, op3_embedding_dup, op4_quality, op5_packing, op6_near_dup, op7_html_text, op8_toxicity, op9_token_store, op10_warc, pages_language)}
 
 
 OP10_SQL = """
