@@ -44,10 +44,12 @@ def test_repeated_and_null_ids(spark, monkeypatch):
 def test_archives_are_warc_and_lookups_find_records(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     captures = warc.write(pages(spark), folder)
-    directory = warc.index(captures, folder, block=3)
-    keys = [r.first_key for r in directory.orderBy("part", "offset").collect()]
-    assert keys == sorted(keys) and len(keys) >= 4
-    lookup = warc.Lookup(directory)
+    files = warc.index(captures, folder, block=3)
+    keys = [(r.first_key, r.first_page is not None, r.first_page or 0) for r in files.orderBy("part").collect()]
+    assert keys == sorted(keys) and len(keys) >= 2
+    blocks = [b for r in files.orderBy("part").collect() for b in warc.IndexFile(r.path, r.offset, r.length).firsts]
+    assert blocks == sorted(blocks) and len(blocks) >= 4
+    lookup = warc.Lookup(files)
     found = lookup.pages("http://B.example.com/x")
     assert sorted(r["page_id"] for r in found) == [2, 5]
     by = {r["page_id"]: r for r in found}
@@ -58,10 +60,19 @@ def test_archives_are_warc_and_lookups_find_records(spark, tmp_path):
     texts = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.warc.gz")]
     assert all(t.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for t in texts)
     assert sum(t.count(b"WARC-Type: response") + t.count(b"WARC-Type: revisit") for t in texts) == len(ROWS)
-    everything = {r.page_id: r.payload for r in warc.read(directory, with_payload=True).collect()}
+    everything = {r.page_id: r.payload for r in warc.read(warc.find(files, pages(spark)), with_payload=True).collect()}
     assert bytes(everything[7]) == b"w" * 300_000 and everything[9] is None
 
 
+def test_many_captures_of_one_url_over_files_and_blocks(spark, tmp_path):
+    rows = [(i, "http://hot.example/", f"<p>{'x' * 150}{i % 7}") for i in range(400)] + [(None, "http://hot.example/", "null")] + [(1000 + i, f"http://h{i}.example/", "") for i in range(30)]
+    folder = f"file://{tmp_path}/w"
+    files = warc.index(warc.write(pages(spark, rows), folder), folder, block=10)
+    assert len(warc.Lookup(files).captures("http://hot.example/")) == 401
+    assert sorted((r.page_id for r in warc.read(warc.find(files, pages(spark, rows[100:200] + rows[-1:]))).collect())) == [*range(100, 200), 1029]
+    assert sorted(map(tuple, warc.round_trip(pages(spark, rows)).collect()), key=str) == sorted(plain([r for r in rows if r[0] is not None]) + [(None, 4, hashlib.sha256(b"null").hexdigest(), "response", None)], key=str)
+
+
 def test_keys():
     assert warc.url_key("https://user@WWW.Example.com:8080/A?b#c") == "com,example:8080)/a?b"
     assert warc.url_key("http://example.com") == warc.url_key("https://example.com:443/") == "com,example)/"

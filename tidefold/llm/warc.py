@@ -4,16 +4,17 @@ Writing: a record per page in gzip members of their own, so any record is one ra
 pages with equal payloads of at least `least` bytes the one with the smallest page_id is stored
 as a response, the others as revisits without payload that name it.
 
-Index: a line per capture, sorted by a key with the host reversed (com,example,www)/path), in
-compressed blocks of `BLOCK` lines; the sparse directory holds each block's first key and place.
-A lookup searches the directory by bisection, reads one block, searches it by bisection too and
-then reads the record's range.  A bulk read takes the blocks in parallel, deals their captures by
-archive and reads every archive front to back.
+Index: a line per capture, sorted by a key with the host reversed (com,example,www)/path) and by
+page_id, in compressed blocks of `BLOCK` lines.  An index file ends with the sparse directory of its
+blocks: each one's first line and place.  The files themselves are a short list, a row for each task
+that wrote one.  A lookup searches that list by bisection, then the file's directory, reads one block,
+searches it by bisection too and then reads the record's range.  `find` does so for a table of pages:
+their keys are dealt by index file, so no task holds more of the index than a file's directory.
 
 Defined results: null html is an empty payload; null urls get a urn of their page; of rows that
 repeat a page_id with equal payload all are responses or revisits alike; a null page_id is never
-referred to, and where only such rows share a payload all are responses; an empty table gives no
-archives, an empty index and no rows; other columns are ignored.
+referred to, and where only such rows share a payload all are responses; very long html is a record
+like any other; an empty table gives no archives, an empty index and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import fresh_path, map_arrow, materialize, open_input, open_output, read_range, row_slices, small_enough
+from tidefold.llm.common import fresh_path, map_arrow, materialize, open_input, open_output, read_range, row_slices, small_enough, tidy
 
 LEAST = 100
 BLOCK = 1000
@@ -132,8 +133,16 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", lea
     return materialize(map_arrow(with_refers_to(pages, least), run, CAPTURE), "captures")
 
 
+PARTS = "part long, first_key string, first_page long, path string, offset long, length long"
+
+
+def place(key: str, page_id: int | None) -> tuple:
+    """How index lines are sorted; null page_ids come first."""
+    return key, page_id is not None, page_id or 0
+
+
 def index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
-    """Write the index below `folder`; its directory: part, first_key, path, offset, length, in key order by (part, offset)."""
+    """Write the index below `folder`; a row per file, in key order by part: its first line, and where its directory is."""
     n = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["key", "page_id", "archive", "offset"]
 
@@ -142,14 +151,17 @@ def index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        path, out, at, lines, rows = f"{folder}/index-{part:06d}-{uuid.uuid4().hex}.cdx", None, 0, [], []
+        path, out, at, lines, directory = f"{folder}/index-{part:06d}-{uuid.uuid4().hex}.cdx", None, 0, [], []
 
-        def flush():
+        def put(rows: list) -> tuple[int, int]:
             nonlocal at
-            packed = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
+            packed = zlib.compress("\n".join(json.dumps(x) for x in rows).encode())
             out.write(packed)
-            rows.append((part, lines[0][0], path, at, len(packed)))
             at += len(packed)
+            return at - len(packed), len(packed)
+
+        def flush():
+            directory.append([*lines[0][:2], *put(lines)])
             lines.clear()
 
         for batch in batches:
@@ -161,17 +173,16 @@ def index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
         if lines:
             flush()
         if out is not None:
+            offset, length = put(directory)
             out.close()
-            p, first, where, offset, length = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(first, pa.string()), pa.array(where, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["part", "first_key", "path", "offset", "length"])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "first_key": [directory[0][0]], "first_page": pa.array([directory[0][1]], pa.int64()), "path": [path], "offset": pa.array([offset], pa.int64()), "length": pa.array([length], pa.int64())})
 
     rows = captures.select("key", "page_id", "archive", "offset", "length").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return materialize(map_arrow(rows, run, "part long, first_key string, path string, offset long, length long"), "directory")
+    return materialize(map_arrow(rows, run, PARTS), "index-files")
 
 
-def read_block(path: str, offset: int, length: int) -> list[list]:
-    with open_input(path) as f:
-        return [json.loads(line) for line in zlib.decompress(read_range(f, offset, length)).decode().split("\n")]
+def read_lines(handle, offset: int, length: int) -> list[list]:
+    return [json.loads(line) for line in zlib.decompress(read_range(handle, offset, length)).decode().split("\n")]
 
 
 def read_record(archive: str, offset: int, length: int) -> dict:
@@ -179,41 +190,89 @@ def read_record(archive: str, offset: int, length: int) -> dict:
         return parse(zlib.decompress(read_range(f, offset, length), 31))
 
 
+def reach(firsts: list, low, high) -> range:
+    """Which of the sorted runs that begin with `firsts` may hold anything from `low` to `high`."""
+    return range(max(bisect.bisect_left(firsts, low) - 1, 0), bisect.bisect_right(firsts, high))
+
+
+class IndexFile:
+    """Bisection in one index file; holds its directory and the block read last."""
+
+    def __init__(self, path: str, offset: int, length: int):
+        self.handle = open_input(path)
+        self.blocks = read_lines(self.handle, offset, length)
+        self.firsts = [place(*b[:2]) for b in self.blocks]
+        self.number, self.lines = -1, []
+
+    def between(self, low, high):
+        """Lines from place `low` to place `high`."""
+        for k in reach(self.firsts, low, high):
+            if k != self.number:
+                self.number, self.lines = k, read_lines(self.handle, *self.blocks[k][2:])
+            at = bisect.bisect_left(self.lines, low, key=lambda x: place(*x[:2]))
+            while at < len(self.lines) and place(*self.lines[at][:2]) <= high:
+                yield self.lines[at]
+                at += 1
+
+
 class Lookup:
-    """Captures of single urls.  Holds the sparse directory, a row per BLOCK captures."""
+    """Captures of single urls.  Holds the list of index files."""
 
-    def __init__(self, directory: DataFrame):
-        self.blocks = [tuple(r) for r in directory.select("first_key", "path", "offset", "length").orderBy("part", "offset").collect()]
-        self.keys = [b[0] for b in self.blocks]
+    def __init__(self, files: DataFrame):
+        self.files = [tuple(r) for r in files.orderBy("part").collect()]
+        self.firsts = [place(*f[1:3]) for f in self.files]
 
     def captures(self, url: str) -> list[list]:
-        key = url_key(url)
-        out: list[list] = []
-        for first, path, offset, length in self.blocks[max(bisect.bisect_left(self.keys, key) - 1, 0):]:
-            if first > key:
-                break
-            lines = read_block(path, offset, length)
-            at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            while at < len(lines) and lines[at][0] == key:
-                out.append(lines[at])
-                at += 1
-        return out
+        low, high = (url_key(url), False, 0), (url_key(url), True, 1 << 63)
+        return [line for k in reach(self.firsts, low, high) for line in IndexFile(*self.files[k][3:]).between(low, high)]
 
     def pages(self, url: str) -> list[dict]:
         return [read_record(*c[2:]) for c in self.captures(url)]
 
 
-def read(directory: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every record that the index names, read back by ranges: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    n = max(int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def find(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """Captures (CAPTURE) of the given pages (page_id, url), each found by bisection."""
+    n = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    listed = [tuple(r) for r in files.orderBy("part").collect()]  # as many as index() had tasks
+    shared = files.sparkSession.sparkContext.broadcast(listed)
 
-    def lines(batches):
+    def deal(batches):
         import pyarrow as pa
 
+        firsts = [place(*f[1:3]) for f in shared.value]
         for batch in batches:
-            for row in batch.to_pylist():
-                key, page, archive, offset, length = zip(*read_block(row["path"], row["offset"], row["length"]), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(page, pa.int64()), pa.array(archive, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["key", "page_id", "archive", "offset", "length"])
+            keys, ids, parts = [], [], []
+            for page_id, url in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                key = url_key(url or f"urn:page:{page_id}")
+                for k in reach(firsts, place(key, page_id), place(key, page_id)):
+                    keys.append(key)
+                    ids.append(page_id)
+                    parts.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array(parts, pa.int64())], names=["key", "page_id", "part"])
+
+    def search(batches):
+        import pyarrow as pa
+
+        part, file = None, None
+        for batch in batches:
+            out = []
+            for key, page_id, k in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if k != part:
+                    part, file = k, IndexFile(*shared.value[k][3:])
+                at = place(key, page_id)
+                out += file.between(at, at)
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "archive", "offset", "length"])
+
+    wanted = map_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), "url").distinct(), deal, "key string, page_id long, part long")
+    order = ["part", "key", "page_id"]
+    return map_arrow(wanted.distinct().repartitionByRange(n, *order).sortWithinPartitions(*order), search, CAPTURE)
+
+
+def read(captures: DataFrame, with_payload: bool = False) -> DataFrame:
+    """The records of captures, read by ranges: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    n = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def records(batches):
         import pyarrow as pa
@@ -234,14 +293,16 @@ def read(directory: DataFrame, with_payload: bool = False) -> DataFrame:
                     keep = 6 if with_payload else 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:keep], types[:keep], strict=True)], names=names[:keep])
 
-    found = map_arrow(directory.select("path", "offset", "length").repartition(n, "path", "offset"), lines, CAPTURE)
     # a stretch of 64 MB of an archive goes to one task, front to back
-    found = found.select("archive", "offset", "length").repartition(n, "archive", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("archive", "offset")
+    found = captures.select("archive", "offset", "length").repartition(n, "archive", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("archive", "offset")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return map_arrow(found, records, schema + (", payload binary" if with_payload else ""))
 
 
+@tidy
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write all of `pages` as archives in the shared storage, index them, and read them back through the index."""
+    """Write all of `pages` as archives in the shared storage, index them, find each page by bisection and read its record back."""
     folder = fresh_path(pages.sparkSession, "warc")
-    return read(index(write(pages, folder), folder))
+    out = read(find(index(write(pages, folder), folder), pages))
+    out._folders = {folder.rpartition("/")[2]}
+    return out
