@@ -94,6 +94,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written(spark: SparkSession, name: str, make) -> DataFrame:
+    """What `make()` returns, as a table of its own; folders that came up on the way are removed, on failure all."""
+    before, path, done = {p for _, p in _made}, fresh_path(spark, name), False
+    try:
+        make().write.parquet(path)
+        done = True
+    finally:
+        remove(spark, [p for _, p in _made if p not in before and not (done and p == path)])
+    out = spark.read.parquet(path)
+    out._path = path
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Remove the folders of tables from `materialize` that nothing reads any more."""
     for table in tables:
