@@ -3,7 +3,7 @@ import datetime as dt
 from tidefold.operators.fold import fold
 from tidefold.plans.views import commands_of, mutations_v
 from tidefold.sources.tables import table_stream
-from tidefold.streaming.ledger import LedgerStream, fresh_keys, lease_expiries
+from tidefold.streaming.ledger import KeyedLedger, LedgerStream, fresh_keys, lease_expiries
 
 H = 3_600_000_000
 COLUMNS = ["job_id", "state", "attempt", "token", "cancel_req", "accepted", "rejected"]
@@ -23,6 +23,17 @@ def test_stream_equals_batch_over_several_batches_and_restarts(spark, sf, tmp_pa
     assert rows(state) == rows(fold(mutations_v(spark, sf, None)))
 
 
+def test_keyed_state_equals_batch_over_several_batches_and_restarts(spark, sf, tmp_path):
+    source, folder = tmp_path / "events.parquet", f"file://{tmp_path}/keyed"
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id")
+    for a, b in ((0, 400), (400, 700), (700, 10_000)):
+        events.where(f"event_id >= {a} AND event_id < {b}").coalesce(1).write.mode("append").parquet(str(source))
+        state = KeyedLedger(spark, folder).run(commands_of(table_stream(spark, str(tmp_path), "events", files_per_batch=1), None))
+        assert rows(state) == rows(fold(commands_of(events.where(f"event_id < {b}"), None)))
+    changes = spark.read.parquet(f"{folder}/changes")
+    assert state.count() <= changes.count() <= 3 * state.count() and changes.count() == changes.select("job_id", "lsn").distinct().count()
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, sf, tmp_path):
     commands = mutations_v(spark, sf)
     stream = LedgerStream(spark, f"file://{tmp_path}/ledger")

@@ -77,38 +77,58 @@ def refusal(op: str, state: str, stale: bool) -> str | None:
     return "stale_token" if stale else None
 
 
+class State:
+    """One job's state, and what a command makes of it: `step` for a single job in Python."""
+
+    __slots__ = ("state", "attempt", "token", "exp", "cancel_req", "accepted", "rejected")
+
+    def __init__(self, state: str = "none", attempt: int = 0, token: int = 0, exp: int = 0, cancel_req: bool = False, accepted: int = 0, rejected: int = 0):
+        self.state, self.attempt, self.token, self.exp, self.cancel_req, self.accepted, self.rejected = state, attempt, token, exp, cancel_req, accepted, rejected
+
+    def apply(self, us: int, op: str, stale: bool, max_attempts: int, ttl_us: int) -> tuple[str | None, bool, str]:
+        """(reason of a rejection, whether a lease ended just before, the state then)."""
+        ended = self.state == "leased" and self.exp <= us
+        if ended:
+            self.state = "cancelled" if self.cancel_req else "pending"
+        before, reason = self.state, refusal(op, self.state, stale)
+        if reason is not None:
+            self.rejected += 1
+            return reason, ended, before
+        self.accepted += 1
+        if op == "submit":
+            self.state = "pending"
+        elif op == "lease":
+            self.state, self.attempt, self.token, self.exp = "leased", self.attempt + 1, self.token + 1, us + ttl_us
+        elif op == "hb":
+            self.exp = us + ttl_us
+        elif op == "ok":
+            self.state = "cancelled" if self.cancel_req else "succeeded"
+        elif op == "fail":
+            self.state = "dead" if self.attempt >= max_attempts else "cancelled" if self.cancel_req else "pending"
+        elif self.state == "leased":
+            self.cancel_req = True
+        else:
+            self.state = "cancelled"
+        return None, ended, before
+
+    def row(self) -> tuple:
+        return self.state, self.attempt, self.token, self.exp, self.cancel_req, self.accepted, self.rejected
+
+
 def transitions(commands: DataFrame, max_attempts: int = MAX_ATTEMPTS, ttl_us: int = TTL_US) -> DataFrame:
     """Every command with its verdict and the job's state before (after a lease's end) and after it."""
 
     def run(batches):
         import pyarrow as pa
 
-        job, state, attempt, token, exp, cancel_req = None, "none", 0, 0, 0, False
+        job, at = None, State()
         for batch in batches:
             out = []
             for j, lsn, us, op, stale in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if j != job:
-                    job, state, attempt, token, exp, cancel_req = j, "none", 0, 0, 0, False
-                ended = state == "leased" and exp <= us
-                if ended:
-                    state = "cancelled" if cancel_req else "pending"
-                before, reason = state, refusal(op, state, stale)
-                if reason is None:
-                    if op == "submit":
-                        state = "pending"
-                    elif op == "lease":
-                        state, attempt, token, exp = "leased", attempt + 1, token + 1, us + ttl_us
-                    elif op == "hb":
-                        exp = us + ttl_us
-                    elif op == "ok":
-                        state = "cancelled" if cancel_req else "succeeded"
-                    elif op == "fail":
-                        state = "dead" if attempt >= max_attempts else "cancelled" if cancel_req else "pending"
-                    elif state == "leased":
-                        cancel_req = True
-                    else:
-                        state = "cancelled"
-                out.append((j, lsn, us, op, reason is None, reason, ended, before, state, attempt, token, exp, cancel_req))
+                    job, at = j, State()
+                reason, ended, before = at.apply(us, op, stale, max_attempts, ttl_us)
+                out.append((j, lsn, us, op, reason is None, reason, ended, before, at.state, at.attempt, at.token, at.exp, at.cancel_req))
             if out:
                 kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
                 fields = [f.split() for f in TRANSITION.split(", ")]

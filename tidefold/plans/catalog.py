@@ -449,10 +449,10 @@ def q38(spark, d):
 @query("q39_streaming_fold", SQL["q12_fold_final_state"])
 def q39(spark, d):
     from tidefold.sources.tables import table_stream
-    from tidefold.streaming.ledger import LedgerStream
+    from tidefold.streaming.ledger import KeyedLedger
 
     folder = scratch(spark, "ledger")
-    return LedgerStream(spark, folder).run(views.commands_of(table_stream(spark, d, "events"))).where("state <> 'none'").select(*FOLDED)
+    return KeyedLedger(spark, folder).run(views.commands_of(table_stream(spark, d, "events"))).where("state <> 'none'").select(*FOLDED)
 
 
 @query("q40_mutations_since_snapshot", f"WITH {COMMANDS_SQL} SELECT count(*) FILTER (lsn > {SNAPSHOT_LSN}) AS mutations, count(*) FILTER (lsn > {SNAPSHOT_LSN}) >= 1000 AS snapshot_due FROM cmd")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidefold.operators.fold import MAX_ATTEMPTS, TTL_US, fold
+from tidefold.operators.fold import MAX_ATTEMPTS, STATE, TTL_US, State, fold
 from tidefold.sources import snapshots
 
 
@@ -49,12 +50,14 @@ class LedgerStream:
 
 
 def fresh_keys(submissions: DataFrame, key: str = "idem_key", within: str | None = None, time: str = "ts") -> DataFrame:
-    """A stream's first submission per key: for ever, or among those at most `within` apart.
+    """A stream's first submission per key: for ever, or among those at most `within` apart; rows without key all pass.
 
-    Rows without key need their own way around this; times without zone are taken as UTC."""
-    if within is None:
-        return submissions.dropDuplicates([key])
-    return submissions.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+    Times without zone are taken as UTC."""
+    if within is not None:
+        submissions = submissions.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, within)
+    keyless = F.coalesce(F.col(key), F.lit("")) == ""
+    keyed = submissions.where(~keyless)
+    return (keyed.dropDuplicates([key]) if within is None else keyed.dropDuplicatesWithinWatermark([key])).unionByName(submissions.where(keyless))
 
 
 class LeaseTimers(StatefulProcessor):
@@ -115,15 +118,74 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_lease_expiries(spark: SparkSession, commands: DataFrame, folder: str, ttl_ms: int) -> DataFrame:
-    """All expiries of the given commands up to their last moment, by a stream over them as files below `folder`."""
-    commands.write.parquet(f"{folder}/in")
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB; the session's setting comes back afterwards."""
     before = spark.conf.get(STORE, None)
     spark.conf.set(STORE, ROCKSDB)
     try:
-        arriving = spark.readStream.schema(commands.schema).parquet(f"{folder}/in")
-        query = lease_expiries(arriving, ttl_ms).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        yield
     finally:
         spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+
+
+class JobFold(StatefulProcessor):
+    """Per job: its state is kept by the state store, so a batch reads and writes the jobs it touches only."""
+
+    def __init__(self, max_attempts: int, ttl_us: int):
+        self.max_attempts, self.ttl_us = max_attempts, ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("job", STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        at, last = State(*self.held.get()) if self.held.exists() else State(), 0
+        for last, us, op, stale in sorted((int(r.lsn), int(r.us), r.op, bool(r.stale)) for frame in rows for r in frame.itertuples()):
+            at.apply(us, op, stale, self.max_attempts, self.ttl_us)
+        self.held.update(at.row())
+        yield pd.DataFrame([(key[0], last, *at.row())], columns=["job_id", "lsn", *[f.split()[0] for f in STATE.split(", ")]])
+
+    def close(self) -> None:
+        pass
+
+
+class KeyedLedger:
+    """Folds a stream of commands with each job's state in the state store, and a changelog as output.
+
+    A batch appends one row for each job it touches to the changelog (the sink's log makes that exactly
+    once); the current state is each job's last row there.  `LedgerStream` rewrites all jobs instead and
+    needs no state store."""
+
+    def __init__(self, spark: SparkSession, folder: str, max_attempts: int = MAX_ATTEMPTS, ttl_us: int = TTL_US):
+        self.spark, self.folder, self.limits = spark, folder.rstrip("/"), (max_attempts, ttl_us)
+
+    def _start(self, commands: DataFrame, **trigger):
+        changes = commands.select("job_id", "lsn", "us", "op", "stale").groupBy("job_id").transformWithStateInPandas(JobFold(*self.limits), f"job_id bigint, lsn bigint, {STATE}", "Append", "None")
+        with rocksdb(self.spark):
+            return changes.writeStream.format("parquet").option("path", f"{self.folder}/changes").option("checkpointLocation", f"{self.folder}/checkpoint").trigger(**trigger).start()
+
+    def start(self, commands: DataFrame, every: str = "100 milliseconds"):
+        """Fold what arrives, batch by batch, until the query is stopped."""
+        return self._start(commands, processingTime=every)
+
+    def run(self, commands: DataFrame) -> DataFrame:
+        """Take in everything that is there, then give the current state."""
+        self._start(commands, availableNow=True).awaitTermination()
+        return self.state()
+
+    def state(self) -> DataFrame:
+        names = [f.split()[0] for f in STATE.split(", ")]
+        log = self.spark.read.schema(f"job_id bigint, lsn bigint, {STATE}").parquet(f"{self.folder}/changes")
+        return log.groupBy("job_id").agg(F.max_by(F.struct(*names), "lsn").alias("s")).select("job_id", "s.*")
+
+
+def run_lease_expiries(spark: SparkSession, commands: DataFrame, folder: str, ttl_ms: int) -> DataFrame:
+    """All expiries of the given commands up to their last moment, by a stream over them as files below `folder`."""
+    commands.write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(commands.schema).parquet(f"{folder}/in")
+    with rocksdb(spark):
+        query = lease_expiries(arriving, ttl_ms).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema("job_id long, token long, expired_us long").parquet(f"{folder}/out")
