@@ -55,5 +55,15 @@ def from_hash(ms: Column, *of: Column) -> Column:
     return build(ms, F.unhex(F.substring(F.sha2(F.concat_ws("|", *of), 256), 1, 20)))
 
 
+def to_json(binary: Column) -> Column:
+    """An id as a JSON string."""
+    return F.concat(F.lit('"'), encode(binary), F.lit('"'))
+
+
+def from_json(text: Column) -> Column:
+    """The 16 bytes of an id that is a JSON string, null for anything else."""
+    return decode(F.when(text.rlike('^".*"$'), F.substring(text, F.lit(2), F.length(text) - 2)))
+
+
 def is_zero(binary: Column) -> Column:
     return binary == F.unhex(F.lit("0" * 32))

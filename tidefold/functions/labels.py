@@ -45,6 +45,11 @@ def or_default(column: Column, value) -> Column:
     return F.coalesce(F.nullif(column, zero), F.lit(value))
 
 
+def worker_name(name: Column, host: Column, process: Column) -> Column:
+    """A worker's name, by default its host and process."""
+    return F.coalesce(F.nullif(name, F.lit("")), F.concat_ws("-", host, process.cast("string")))
+
+
 def micros(column: Column) -> Column:
     """Microseconds since the epoch of a timestamp without zone, read as UTC."""
     return F.unix_micros(column.cast("timestamp"))

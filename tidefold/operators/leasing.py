@@ -55,6 +55,13 @@ def consecutive_leases(jobs: DataFrame, requests: list[tuple[list[str], int]], n
     return out
 
 
+def woken(waiters: DataFrame, signals: DataFrame, arrival: str) -> DataFrame:
+    """Which signal wakes which waiter: on every queue each signal one, in the order they came (queue, signal, waiter)."""
+    nth = F.row_number().over(Window.partitionBy("queue").orderBy(arrival))
+    a = signals.select("queue", F.col(arrival).alias("signal"), nth.alias("n"))
+    return a.join(waiters.select("queue", F.col(arrival).alias("waiter"), nth.alias("n")), ["queue", "n"]).drop("n")
+
+
 def leased(taken: DataFrame, now: Column, seconds: int, worker_id: str) -> DataFrame:
     """Rows after their lease: attempt and token one higher, a new deadline, the worker's name."""
     return taken.withColumns({

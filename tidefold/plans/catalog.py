@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions import backoff, ids, requests
-from tidefold.functions.labels import cancel_label, is_terminal, micros, or_default, record_name, split_list, state_name, state_number
+from tidefold.functions.labels import cancel_label, is_terminal, micros, or_default, record_name, split_list, state_name, state_number, worker_name
 from tidefold.operators import dedup, expiry, fold, handlers, leasing, records, replies, retention, stats
 from tidefold.plans import views
 from tidefold.plans.views import ATTEMPTS_SQL, COMMANDS_SQL, FOLD_SQL, JOBS_SQL, JOB_TYPES, NOW_JOBS, NOW_LOG, attempts_v, jobs_v, mutations_v
@@ -708,11 +708,29 @@ def q58(spark, d):
 @query("q59_names_defaults_and_lists", """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
   SELECT event_id, coalesce(['pending', 'leased', 'succeeded', 'dead', 'cancelled'][nullif(k % 9, 0)], 'state(' || (k % 9) || ')') AS state,
     coalesce(['submit', 'lease', 'complete', 'retry', 'dead', 'cancel', 'expire'][nullif(k % 10, 0)], 'record(' || (k % 10) || ')') AS record,
-    CASE WHEN k % 4 = 0 THEN 3 ELSE k % 4 END AS attempts, 'q' || (k % 3) AS second, 2::INTEGER AS queues FROM e""")
+    CASE WHEN k % 4 = 0 THEN 3 ELSE k % 4 END AS attempts, 'q' || (k % 3) AS second, 2::INTEGER AS queues, CASE WHEN k % 2 = 0 THEN 'h-' || k ELSE 'w' || k END AS worker FROM e""")
 def q59(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     queues = split_list(F.format_string(" a%d , q%d", k, k % 3))
-    return views.table(spark, d, "events").select("event_id", state_name(k % 9).alias("state"), record_name(k % 10).alias("record"), or_default(k % 4, 3).alias("attempts"), F.element_at(queues, 2).alias("second"), F.size(queues).alias("queues"))
+    return views.table(spark, d, "events").select("event_id", state_name(k % 9).alias("state"), record_name(k % 10).alias("record"), or_default(k % 4, 3).alias("attempts"), F.element_at(queues, 2).alias("second"), F.size(queues).alias("queues"), worker_name(F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("w"), k.cast("string"))), F.lit("h"), k).alias("worker"))
+
+
+@query("q60_signals_wake_waiters", f"""WITH {COMMANDS_SQL}, w AS (SELECT worker_id AS queue, lsn, row_number() OVER (PARTITION BY worker_id ORDER BY lsn) AS n FROM cmd WHERE op = 'lease'),
+  s AS (SELECT worker_id AS queue, lsn, row_number() OVER (PARTITION BY worker_id ORDER BY lsn) AS n FROM cmd WHERE op = 'submit') SELECT s.queue, s.lsn AS signal, w.lsn AS waiter FROM s JOIN w ON w.queue = s.queue AND w.n = s.n""")
+def q60(spark, d):
+    rows = mutations_v(spark, d).withColumn("queue", F.col("worker_id"))
+    return leasing.woken(rows.where("op = 'lease'"), rows.where("op = 'submit'"), "lsn")
+
+
+@query("q61_ids_in_json", """SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 4 = 0 THEN upper(lpad(to_hex(epoch_ms(o_orderdate)), 12, '0') || sha256('o|' || o_orderkey)[1:20]) END AS id_hex, o_orderkey % 4 = 0 AS again FROM orders""")
+def q61(spark, d):
+    key = F.col("o_orderkey")
+    made = ids.from_hash(F.floor(micros(F.col("o_orderdate")) / 1000), F.lit("o"), key.cast("string"))
+    rows = views.table(spark, d, "orders").select(key.alias("order_key"), ids.to_json(ids.decode(made)).alias("json"))
+    key = F.col("order_key")
+    sent = F.when(key % 4 == 0, F.col("json")).when(key % 4 == 1, F.substring("json", 2, 26)).when(key % 4 == 2, F.lit('""')).otherwise(F.regexp_replace("json", '.{3}"$', '"'))
+    read = ids.from_json(sent)
+    return rows.select("order_key", F.hex(read).alias("id_hex"), F.coalesce(ids.to_json(read) == F.col("json"), F.lit(False)).alias("again"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
