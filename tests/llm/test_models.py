@@ -235,6 +235,15 @@ def test_texts_in_no_declared_language_go(spark):
     assert not any(found[r[0]].kept or found[r[0]].confidence >= 0.5 for r in foreign)
 
 
+def test_fitting_on_executors_equals_fitting_at_hand(spark):
+    rows = [(r[2], r[1]) for r in corpus(200)] + [("xx", ""), ("xx", "12 34"), ("xx", "solo words of its own")]
+    names, totals = ["en", "fr", "xx", "zz"], [5, 6, 7, 8]
+    a = langid.fit_rows(spark.createDataFrame(rows, "l string, t string"), names, totals)
+    b = langid.fit([t for _, t in rows], [x for x, _ in rows], names, totals)
+    assert (a.log_rate == b.log_rate).all() and (a.log_shared == b.log_shared).all() and a.declared_right == b.declared_right
+    assert np.allclose(a.usual, b.usual, rtol=1e-12) and a.usual[3, 0] == -np.inf
+
+
 def test_unseen_ngrams_speak_for_no_language():
     model = langid.fit(["aaa bbb " * 300, "ccc"], ["en", "fr"], ["en", "fr"], [1, 1])
     assert np.allclose(model.text_evidence("zzz")[0][0], model.text_evidence("zzz")[0][1], atol=0.5)

@@ -35,14 +35,13 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import hash_sample, map_arrow, row_slices, small_enough
+from tidefold.llm.common import hash_sample, map_arrow, materialize, release, row_slices, small_enough, tidy
 from tidefold.llm.ngrams import code_points, hashed
 
 BITS = 17
@@ -166,50 +165,75 @@ def suffix_language(host: str | None) -> str | None:
     return SUFFIX_LANGUAGE.get(host.rsplit(".", 1)[-1]) if host and "." in host else None
 
 
-def fit(texts: list[str], declared: list[str], languages: list[str], totals: list[int]) -> Model:
-    """Naive Bayes over hashed n-grams; how far declarations can be trusted is read off the same rows."""
-    texts_of: dict[str, list[str]] = {lang: [] for lang in languages}
-    for text, lang in zip(texts, declared, strict=True):
-        if lang in texts_of:
-            texts_of[lang].append(text)
-    found, of_all = [], np.zeros(1 << BITS)
-    for lang in languages:
-        counts = np.zeros(1 << BITS)
-        for text in texts_of[lang]:
-            counts += np.bincount(hashed(code_points(text), LENGTHS, BITS), minlength=1 << BITS)
-        bucket = np.flatnonzero(counts)
-        found.append((bucket, counts[bucket]))
-        of_all += counts
-    shared = SHARED * pooled(of_all, of_all.sum())
-    columns = [(bucket, np.log1p((1 - SHARED) * n / n.sum() / shared[bucket])) for bucket, n in found]
-    if len(languages) > DENSE:
-        log_rate: np.ndarray | Sparse = Sparse(columns)
-    else:
-        log_rate = np.zeros((1 << BITS, len(languages)), dtype=np.float32)
-        for j, (bucket, value) in enumerate(columns):
-            log_rate[bucket, j] = value
-    model = Model(languages, log_rate, totals=np.asarray(totals, dtype=np.float64), log_shared=np.log(shared).astype(np.float32))
-    model.usual = usual_rates([texts_of[lang] for lang in languages], found, of_all)
-    agree = agreements(model, [texts_of[lang] for lang in languages], found, shared)
-    if agree:
-        model.declared_right = float(np.clip(np.mean(agree), 0.6, 0.99))
-    return model
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's n-grams and how often each occurs."""
+    return np.unique(hashed(code_points(text), LENGTHS, BITS), return_counts=True)
 
 
-def agreements(model: Model, texts: list[list[str]], found: list[tuple[np.ndarray, np.ndarray]], shared: np.ndarray) -> list[bool]:
-    """Whether each fitted row's text speaks for its declared language, the row's own n-grams taken out of that language's counts."""
-    out, counts = [], np.zeros(1 << BITS)
-    for j, (bucket, n_all) in enumerate(found):
-        counts[bucket] = n_all
-        for text in texts[j]:
-            if not _letter(text):
-                continue
-            own, n = np.unique(hashed(code_points(text), LENGTHS, BITS), return_counts=True)
+@dataclass
+class Counts:
+    """What the fitted rows hold: of each language its n-grams and their counts."""
+
+    languages: list[str]
+    found: list[tuple[np.ndarray, np.ndarray]]
+
+    def __post_init__(self):
+        self.of_all = np.zeros(1 << BITS)
+        for bucket, n in self.found:
+            self.of_all[bucket] += n
+        self.total = self.of_all.sum()
+        self.shared = SHARED * pooled(self.of_all, self.total)
+
+    def model(self, totals: list[int]) -> Model:
+        columns = [(bucket, np.log1p((1 - SHARED) * n / max(n.sum(), 1) / self.shared[bucket])) for bucket, n in self.found]
+        if len(self.languages) > DENSE:
+            log_rate: np.ndarray | Sparse = Sparse(columns)
+        else:
+            log_rate = np.zeros((1 << BITS, len(self.languages)), dtype=np.float32)
+            for j, (bucket, value) in enumerate(columns):
+                log_rate[bucket, j] = value
+        return Model(self.languages, log_rate, totals=np.asarray(totals, dtype=np.float64), log_shared=np.log(self.shared).astype(np.float32))
+
+    def without(self, j: int, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The rates of a row's n-grams in its language, against the counts of all other rows."""
+        bucket, counts = self.found[j]
+        at = np.minimum(np.searchsorted(bucket, own), max(len(bucket) - 1, 0))
+        there = np.where(bucket[at] == own, counts[at], 0) if len(bucket) else np.zeros(len(own))
+        return (1 - SHARED) * (there - n) / max(counts.sum() - n.sum(), 1)
+
+    def facts(self, model: Model, text: str, language: str) -> tuple[float | None, float | None, bool | None]:
+        """Of a fitted row, judged by the others: mean and variance of its trigrams' log rates, and whether its text speaks for its language."""
+        j = model.place[language]
+        own, n = counts_of(text)
+        rate = self.without(j, own, n)
+        mean = variance = agrees = None
+        trigrams = letter_trigrams(text)
+        if len(trigrams):
+            log = np.log(rate + SHARED * pooled(self.of_all[own] - n, self.total - n.sum()))[np.searchsorted(own, trigrams)]
+            mean, variance = float(log.mean()), float(log.var())
+        if _letter(text):
             evidence = model.text_evidence(text)[0]
-            evidence[j] = model.text_weight * (np.log1p((1 - SHARED) * (counts[own] - n) / max(n_all.sum() - n.sum(), 1) / shared[own]) * n).sum()
-            out.append(int(evidence.argmax()) == j)
-        counts[bucket] = 0
-    return out
+            evidence[j] = model.text_weight * (np.log1p(rate / self.shared[own]) * n).sum()
+            agrees = int(evidence.argmax()) == j
+        return mean, variance, agrees
+
+
+def finished(model: Model, facts: list[tuple[str, float | None, float | None, bool | None]]) -> Model:
+    """The model with what is usual for a text of each language, and how far declarations can be trusted."""
+    model.usual = np.tile([-np.inf, 1.0, 1.0], (len(model.languages), 1))  # a language without rows to go by takes any text
+    rows: dict[str, list[tuple[float, float]]] = {}
+    for language, mean, variance, _ in facts:
+        if mean is not None:
+            rows.setdefault(language, []).append((mean, variance))
+    for language, some in rows.items():
+        means, variances = np.array(sorted(some)).T
+        mean = np.median(means)
+        spread = max(1.4826 * np.median(np.abs(means - mean)), LEAST_SPREAD)
+        model.usual[model.place[language]] = mean, spread**2 * (1 + 10 / len(some)), variances.mean()
+    agrees = [a for *_, a in facts if a is not None]
+    if agrees:
+        model.declared_right = float(np.clip(np.mean(agrees), 0.6, 0.99))
+    return model
 
 
 def pooled(count, total):
@@ -217,27 +241,66 @@ def pooled(count, total):
     return (count + 0.5) / (total + 0.5 * (1 << BITS))
 
 
-def usual_rates(texts: list[list[str]], found: list[tuple[np.ndarray, np.ndarray]], of_all: np.ndarray) -> np.ndarray:
-    """Per language the mean log rate of a row's trigrams, its variance and that of one trigram; each row against the others."""
-    out = np.tile([-np.inf, 1.0, 1.0], (len(texts), 1))  # a language without rows to go by takes any text
-    total, counts = of_all.sum(), np.zeros(1 << BITS)
-    for j, (bucket, n_all) in enumerate(found):
-        counts[bucket] = n_all
-        rows = []
-        for text in texts[j]:
-            trigrams = letter_trigrams(text)
-            if len(trigrams):
-                own, n = np.unique(hashed(code_points(text), LENGTHS, BITS), return_counts=True)
-                rate = (1 - SHARED) * (counts[own] - n) / max(n_all.sum() - n.sum(), 1) + SHARED * pooled(of_all[own] - n, total - n.sum())
-                log = np.log(rate)[np.searchsorted(own, trigrams)]
-                rows.append((log.mean(), log.var()))
-        counts[bucket] = 0
-        if rows:
-            means, variances = np.array(rows).T
-            mean = np.median(means)
-            spread = max(1.4826 * np.median(np.abs(means - mean)), LEAST_SPREAD)
-            out[j] = mean, spread**2 * (1 + 10 / len(rows)), variances.mean()
-    return out
+def fit(texts: list[str], declared: list[str], languages: list[str], totals: list[int]) -> Model:
+    """Naive Bayes over hashed n-grams, from texts at hand."""
+    of: dict[str, np.ndarray] = {lang: np.zeros(1 << BITS) for lang in languages}
+    rows = [(t, d) for t, d in zip(texts, declared, strict=True) if d in of]
+    for text, lang in rows:
+        own, n = counts_of(text)
+        of[lang][own] += n
+    counts = Counts(languages, [(np.flatnonzero(of[x]), of[x][np.flatnonzero(of[x])]) for x in languages])
+    model = counts.model(totals)
+    return finished(model, [(lang, *counts.facts(model, text, lang)) for text, lang in rows])
+
+
+def fit_rows(rows: DataFrame, languages: list[str], totals: list[int]) -> Model:
+    """The same from a table (l, t).  Texts stay with the executors: the driver gets counts by language and n-gram, and three numbers of each row."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = materialize(rows.repartition(n), "declared-rows")
+
+    def count(batches):
+        import pyarrow as pa
+
+        held: dict[str, np.ndarray] = {}
+
+        def put():
+            for lang, of in held.items():
+                at = np.flatnonzero(of)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(of[at], pa.int64())], names=["l", "bucket", "n"])
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column("l").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                own, k = counts_of(text)
+                if lang not in held:
+                    if len(held) >= DENSE:  # of very many languages a task holds some at a time
+                        yield from put()
+                    held[lang] = np.zeros(1 << BITS, dtype=np.int64)
+                held[lang][own] += k
+        yield from put()
+
+    table = map_arrow(rows, count, "l string, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow().sort_by([("l", "ascending"), ("bucket", "ascending")])
+    bucket, k = table.column("bucket").to_numpy(), table.column("n").to_numpy().astype(np.float64)
+    ends, at = {}, 0
+    for entry in table.column("l").value_counts().to_pylist():
+        ends[entry["values"]], at = (at, at + entry["counts"]), at + entry["counts"]
+    found = [slice(*ends.get(lang, (0, 0))) for lang in languages]
+    counts = Counts(languages, [(bucket[x], k[x]) for x in found])
+    model = counts.model(totals)
+    shared = rows.sparkSession.sparkContext.broadcast((model, counts))
+
+    def facts(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            of = batch.column("l").to_pylist()
+            found = [shared.value[1].facts(shared.value[0], text, lang) for text, lang in zip(batch.column("t").to_pylist(), of, strict=True)]
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *[pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.float64(), pa.bool_()), strict=True)]], names=["l", "mean", "variance", "agrees"])
+
+    found = map_arrow(rows, facts, "l string, mean double, variance double, agrees boolean").toArrow()
+    release(rows)
+    return finished(model, list(zip(*[found.column(c).to_pylist() for c in ("l", "mean", "variance", "agrees")], strict=True)))
 
 
 def registered_domain(host: Column) -> Column:
@@ -268,17 +331,18 @@ def with_priors(rows: DataFrame, key: str, declared: str, host: str, sample: int
     few = F.broadcast if small_enough(hosts, MOST_HOSTS) else (lambda x: x)
     out = rows.withColumns({"_h": at, "_d": F.nullif(registered_domain(at), at)}).join(few(hosts), "_h", "left").join(few(domains), "_d", "left").drop("_h", "_d")
     picked = rows.select(F.col(key).alias("k"), said.alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("l").isNotNull() & (F.col("l") != ""))
-    table = hash_sample(picked, "k", sample).select("l", "t").toArrow()
-    names_of, texts = table.column("l").to_pylist(), table.column("t").to_pylist()
-    drawn = Counter(names_of)
-    short = {lang for lang in languages if drawn[lang] < min(by[lang], LEAST_ROWS)}
+    drawn = materialize(hash_sample(picked, "k", sample), "language-sample")
+    of = {r.l: r["count"] for r in drawn.groupBy("l").count().collect()}
+    short = [lang for lang in languages if of.get(lang, 0) < min(by[lang], LEAST_ROWS)]
+    fitted = drawn.select("l", "t")
     if short:
-        names = rows.sparkSession.createDataFrame([(lang,) for lang in sorted(short)], "l string")
+        names = rows.sparkSession.createDataFrame([(lang,) for lang in short], "l string")
         order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "t")
-        more = picked.join(F.broadcast(names), "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEAST_ROWS).select("l", "t").toArrow()
-        kept = [i for i, lang in enumerate(names_of) if lang not in short]
-        names_of, texts = [names_of[i] for i in kept] + more.column("l").to_pylist(), [texts[i] for i in kept] + more.column("t").to_pylist()
-    return out, fit(texts, names_of, languages, [by[lang] for lang in languages])
+        more = picked.join(F.broadcast(names), "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEAST_ROWS).select("l", "t")
+        fitted = fitted.join(F.broadcast(names), "l", "left_anti").unionByName(more)
+    model = fit_rows(fitted, languages, [by[lang] for lang in languages])
+    release(drawn)
+    return out, model
 
 
 def judge(model: Model, text: str | None, declared: str | None, host: str | None, of_host, of_domain, least: float, wanted: tuple[str, ...] | None):
@@ -295,6 +359,7 @@ def judge(model: Model, text: str | None, declared: str | None, host: str | None
     return lang, model.languages[int(by_text.argmax())] if letters else None, sure, letters and sure >= least and (wanted is None or lang in wanted)
 
 
+@tidy
 def identify(rows: DataFrame, key: str, declared: str, host: str, least: float = 0.5, wanted: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
     """Per row: the key, lang, text_lang, confidence, kept."""
     joined, model = with_priors(rows.select(F.col(key).cast("long").alias("key"), "text", F.col(declared).alias("declared"), F.col(host).alias("host")), "key", "declared", "host", sample)
@@ -315,6 +380,7 @@ def identify(rows: DataFrame, key: str, declared: str, host: str, least: float =
     return out.withColumnRenamed("key", key)
 
 
+@tidy
 def keep_identified(docs: DataFrame, key: str = "doc_id", declared: str = "lang", host: str = "source", least: float = 0.5, wanted: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of `docs`, unchanged, whose language is identified."""
     names = docs.columns
