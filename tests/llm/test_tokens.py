@@ -52,6 +52,15 @@ def test_codec_equals_the_library(spark):
     assert bpe.encode_decode(rows(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_the_word_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 50_000)
+    codec, cache, rng = bpe.load(RANKS, public_tokenizers.PATTERN), bpe.Words(), random.Random(4)
+    for k in range(30):
+        some = ["x" * 5000 + str(k), *[f"w{rng.randrange(10**9)} " + "z" * rng.randrange(300) for _ in range(20)]]
+        assert [np.frombuffer(raw, "<u4").tolist() for raw, _ in codec.encode_block(some, cache)] == tiktoken_ids(some)
+        assert len(cache) * bpe.ENTRY_BYTES <= 50_000 and not any(len(w) > bpe.LONGEST for w in cache)
+
+
 def test_merges_out_of_order_are_redone_word_by_word():
     """A rank table where a merge makes a pair that ranks before the merge itself."""
     base = {bytes([b]): b for b in range(256)}

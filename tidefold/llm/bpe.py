@@ -4,10 +4,10 @@ All distinct pre-tokens of a block of documents are laid out as one symbol array
 neighbour links.  An inverted index leads from each mergeable token pair (named by the rank
 of the token it makes) to its positions.  Merges are replayed in rank order over the whole
 block at once; a merge touches its own positions and their two neighbours only.  Finished
-words stay in a bounded cache of the Python worker, so frequent words are merged once.
+words stay in a cache of the Python worker, bounded by bytes, so frequent words are merged once.
 
 Defined results: null text is the empty text (0 tokens, hashes of the empty string); no text
-is cut; repeated rows are encoded each on its own; other columns are ignored.
+is cut, however long; repeated rows are encoded each on its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,26 @@ from pyspark.sql import functions as F
 from tidefold.llm.common import map_arrow, row_slices, text_or_empty
 
 NONE = np.int64(1 << 40)
-CACHE_WORDS = 400_000
+CACHE_BYTES = 200 << 20
+ENTRY_BYTES = 400  # of a word in the cache besides its characters and ids
+LONGEST = 256  # characters; longer words aren't kept
+
+
+class Words(dict):
+    """Finished words, by what they hold in bytes."""
+
+    held = 0
+
+    def settle(self, new: list[str]) -> None:
+        """After `new` words have been used: long ones go, and all when they hold too much."""
+        for w in new:
+            if len(w) > LONGEST:
+                del self[w]
+            else:
+                self.held += ENTRY_BYTES + 4 * len(w)
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
 
 
 class MergeReplay:
@@ -151,7 +170,7 @@ class MergeReplay:
             out[todo[k]] = self.merge_one(words[todo[k]])
         return out
 
-    def encode_block(self, texts: list[str], cache: dict[str, tuple[bytes, str]]) -> list[tuple[bytes, str]]:
+    def encode_block(self, texts: list[str], cache: Words) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and as decimals joined by a space."""
         split = [self.split(t) for t in texts]
         new = list(set(chain.from_iterable(split)).difference(cache))
@@ -161,6 +180,7 @@ class MergeReplay:
         for words in split:
             found = [cache[w] for w in words]
             out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found])))
+        cache.settle(new)
         return out
 
     def decode(self, ids) -> bytes:
@@ -175,9 +195,9 @@ def load(path: str, pattern: str) -> MergeReplay:
 
 
 @functools.lru_cache(maxsize=2)
-def word_cache(path: str, pattern: str) -> dict[str, tuple[bytes, str]]:
-    """Finished words; it lives as long as the Python worker."""
-    return {}
+def word_cache(path: str, pattern: str) -> Words:
+    """It lives as long as the Python worker."""
+    return Words()
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -196,8 +216,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
         for whole in batches:
             for batch in row_slices(whole):
                 texts = batch.column("text").to_pylist()
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
                 n, ids_hash, text_hash, same, all_ids = [], [], [], [], []
                 for text, (raw, decimals) in zip(texts, codec.encode_block(texts, cache), strict=True):
                     ids = np.frombuffer(raw, dtype="<u4").tolist()
