@@ -297,7 +297,7 @@ def components(vectors: DataFrame, limit: float = LIMIT, missed: float = MISSED)
     counts = links.groupBy("cid").agg(F.sum("n").alias("n"))
     labels = connected_components(links.where(F.col("other").isNotNull()).select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "cid", "label": "component"})
     named = found.select("cid", "copies", "first").join(counts, "cid", "left").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "component-ids")  # apart, so that the join can split a large component
     named = named.join(smallest, "component").select("cid", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "cid").join(named, "cid", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -522,7 +522,7 @@ def judged(docs: DataFrame) -> DataFrame:
     release(sets)
     links = connected_components(edges).select(F.col("node").alias("cid"), F.col("label").alias("component"))
     named = classes.select("cid", "doc_id").join(links, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    smallest = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")  # apart, so that the join can split a large component
     named = named.join(smallest, "component").select("cid", "component", "component_id")
     out = rows.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     return out.select("doc_id", "n_shingles", "cid", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
