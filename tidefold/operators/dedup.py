@@ -14,10 +14,11 @@ def idempotent_submit(submissions: DataFrame, order: str = "job_id", key: str =
     """Adds accepted and answered_id: of submissions with one non-empty key the first is accepted and
     answers all.  The first per key comes from an aggregation that is partly done before the shuffle
     and a join whose hot keys adaptive execution splits, so one key may hold most rows."""
-    first = submissions.where(has_key(F.col(key))).groupBy(key).agg(F.min(order).alias("_first"))
-    rows = submissions.join(first, key, "left")
-    answer = F.when(has_key(F.col(key)), F.col("_first")).otherwise(F.col(order))
-    return rows.withColumns({"answered_id": answer, "accepted": answer == F.col(order)}).drop("_first")
+    keyed = submissions.where(has_key(F.col(key)))
+    first = keyed.groupBy(key).agg(F.min(order).alias("answered_id"))
+    rows = keyed.join(first, key).withColumn("accepted", F.col("answered_id") == F.col(order))
+    keyless = submissions.where(~has_key(F.col(key))).withColumns({"answered_id": F.col(order), "accepted": F.lit(True)})
+    return rows.unionByName(keyless)  # rows without key meet nobody, so they take no part in the join
 
 
 def against_existing(submissions: DataFrame, jobs: DataFrame, key: str = "idem_key") -> tuple[DataFrame, DataFrame]:

@@ -47,8 +47,15 @@ def assign_lsn(arrivals: DataFrame, order: str, base: int) -> DataFrame:
     numbers all rows."""
     n = max(int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     bounds = sorted(set(arrivals.approxQuantile(order, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    rows = arrivals.withColumn("_part", part)
+
+    def part(low: int, high: int) -> Column:
+        """The number of bounds below the row, known to be from low to high: a tree of comparisons."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(order) <= bounds[middle], part(low, middle)).otherwise(part(middle + 1, high))
+
+    rows = arrivals.withColumn("_part", part(0, len(bounds)))
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

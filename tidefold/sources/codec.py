@@ -183,19 +183,27 @@ def encode_snapshot(jobs: list[dict], lsn: int) -> bytes:
 
 def decode_snapshot(data: bytes) -> tuple[list[dict], int]:
     """(jobs, lsn) of a snapshot; raises Corrupt."""
+    jobs, lsn = snapshot_jobs(data)
+    return list(jobs), lsn
+
+
+def snapshot_jobs(data: bytes) -> tuple[Iterator[dict], int]:
+    """The same with jobs decoded as they are asked for; what the checksum and the lengths can tell is checked before."""
     if len(data) < 28 or data[:4] != SNAPSHOT_MAGIC or data[-4:] != SNAPSHOT_END:
         raise Corrupt("no snapshot")
     version, count = struct.unpack_from("<II", data, 4)
     if version != VERSION or crc32c(data[:-8]) != struct.unpack_from("<I", data, len(data) - 8)[0]:
         raise Corrupt("snapshot fails its checksum or version")
-    jobs, at = [], 12
+    spans, at = [], 12
     for _ in range(count):
+        if at + 20 > len(data):
+            raise Corrupt("snapshot has another length than its count says")
         n = struct.unpack_from("<I", data, at)[0]
-        jobs.append(decode_fields(data[at + 4:at + 4 + n], JOB_FIELDS))
+        spans.append((at + 4, at + 4 + n))
         at += 4 + n
     if at + 16 != len(data):
         raise Corrupt("snapshot has another length than its count says")
-    return jobs, struct.unpack_from("<Q", data, at)[0]
+    return (decode_fields(data[a:b], JOB_FIELDS) for a, b in spans), struct.unpack_from("<Q", data, at)[0]
 
 
 def snapshot_name(lsn: int) -> str:

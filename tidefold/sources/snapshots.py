@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidefold.schema import JOB
@@ -22,12 +25,18 @@ def names(folder: str) -> list[str]:
 
 def load_newest(folder: str) -> tuple[list[dict], int]:
     """(jobs, lsn) of the newest snapshot that is whole; none and 0 if there is none."""
+    jobs, lsn = newest(folder)
+    return list(jobs), lsn
+
+
+def newest(folder: str) -> tuple[Iterator[dict], int]:
+    """The same with jobs decoded as they are asked for."""
     for name in names(folder):
         try:
-            return codec.decode_snapshot(files.read_bytes(f"{folder}/{name}"))
+            return codec.snapshot_jobs(files.read_bytes(f"{folder}/{name}"))
         except codec.Corrupt:
             continue
-    return [], 0
+    return iter(()), 0
 
 
 def as_frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,10 +45,10 @@ def as_frame(spark: SparkSession, folder: str) -> DataFrame:
     def run(_):
         import pyarrow as pa
 
-        jobs, _ = load_newest(folder)
+        jobs, _ = newest(folder)
         kinds = {"string": pa.string(), "binary": pa.binary(), "integer": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
-        if jobs:
-            yield pa.RecordBatch.from_arrays([pa.array([j[f.name] for j in jobs], kinds[f.dataType.typeName()]) for f in JOB], names=JOB.names)
+        while some := list(islice(jobs, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([j[f.name] for j in some], kinds[f.dataType.typeName()]) for f in JOB], names=JOB.names)
 
     return spark.range(1).coalesce(1).mapInArrow(run, JOB)
 
