@@ -99,7 +99,16 @@ def test_dictionary_draws_on_whole_documents(spark):
     made = token_store.train_dictionary(spark.createDataFrame([(1, ids)], "doc_id long, ids binary"))
     assert any(tail[i:i + 48] in made for i in range(0, 2900, 16))
     rows = [(1, ids), (1, ids[::-1]), (None, ids[5:]), (None, ids[:-5]), (2, b"")]
-    assert len({token_store.train_dictionary(spark.createDataFrame(some, "doc_id long, ids binary"), sample=3) for some in (rows, rows[::-1])}) == 1
+    assert len({token_store.train_dictionary(spark.createDataFrame(some, "doc_id long, ids binary"), pieces=300) for some in (rows, rows[::-1])}) == 1
+
+
+def test_samples_are_the_same_whatever_the_order_and_the_keys(spark):
+    from tidefold.llm.common import hash_sample
+
+    rows = [(None, f"n{i}") for i in range(40)] + [(5, f"t{i}") for i in range(30)] + [(5, "same")] * 20 + [(i, "u") for i in range(100, 130)]
+    for most in (0, 1, 25, 60, 1000):
+        found = [sorted(map(str, hash_sample(spark.createDataFrame(some, "k long, t string").repartition(n), "k", most).collect())) for some, n in ((rows, 3), (rows[::-1], 5))]
+        assert found[0] == found[1] and len(found[0]) == min(most, len(rows))
 
 
 def test_store_reads_back_what_it_wrote(spark, tmp_path):

@@ -8,8 +8,8 @@ File layout (all integers little-endian):
 The dictionary lies beside the files as `dictionary.zstd`; a reader refuses another one by its
 hash.  With the index a short document is one ranged read.
 
-Texts are tokenized first; only ids, mostly two bytes each, are sorted by doc_id.  The dictionary is
-trained on `SAMPLE_PIECES` pieces of `PIECE` bytes, drawn by hash from the whole of `SAMPLE_DOCS`
+Texts are tokenized and compressed in one narrow pass; only the frames are sorted by doc_id.  The
+dictionary is trained before that, on `SAMPLE_PIECES` pieces of `PIECE` bytes, drawn by hash from the whole of `SAMPLE_DOCS`
 documents, those with the smallest hash of doc_id.
 
 Defined results: null text is empty, a document of the end id only; repeated doc_ids are kept as
@@ -41,33 +41,34 @@ PIECE = 4096
 SAMPLE_PIECES = 2000
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, width: int) -> DataFrame:
-    """doc_id, text_hash, salt (the row's number in its task) and ids with the end id, `width` bytes each; one narrow pass over the text."""
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, dictionary: bytes | None = None) -> DataFrame:
+    """doc_id, text_hash, salt (the row's number in its task), n_ids with the end id, and the ids, `width` bytes each; as frames if there is a dictionary.  One narrow pass over the text."""
+    shared = None if dictionary is None else docs.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches):
         import pyarrow as pa
 
         encoder, end, row = token_chunks.load(tokenizer_path), struct.pack("<I", end_id), 0
+        pack = (lambda x: x) if shared is None else codec(shared.value)[0].compress
         for whole in batches:
             for batch in row_slices(whole):
                 ids = [narrow(raw + end, width) for raw in encoder.encode(batch.column("text").to_pylist())]
                 salt = range(row, row + len(ids))
                 row += len(ids)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(salt, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "text_hash", "salt", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(salt, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(map(pack, ids), pa.binary())], names=["doc_id", "text_hash", "salt", "n_ids", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return map_arrow(rows, run, "doc_id long, text_hash long, salt long, ids binary")
+    return map_arrow(rows, run, "doc_id long, text_hash long, salt long, n_ids long, ids binary")
 
 
-def train_dictionary(rows: DataFrame, sample: int = SAMPLE_DOCS, pieces: int = SAMPLE_PIECES, size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from at most `pieces` pieces of the ids of at most `sample` rows (doc_id, ids).
+def train_dictionary(rows: DataFrame, pieces: int = SAMPLE_PIECES, size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary from at most `pieces` pieces of the ids of some rows (doc_id, ids).
 
     Empty (plain zstandard) if the sample is too small to train on.
     """
     import zstandard
 
-    drawn = hash_sample(rows.select("doc_id", "ids"), "doc_id", sample)
-    cuts = drawn.select("doc_id", "ids", F.posexplode(F.expr(f"sequence(1, greatest(octet_length(ids), 1), {PIECE})")).alias("k", "at"))
+    cuts = rows.select("doc_id", "ids", F.posexplode(F.expr(f"sequence(1, greatest(octet_length(ids), 1), {PIECE})")).alias("k", "at"))
     cuts = cuts.select("doc_id", "k", F.expr(f"substring(ids, at, {PIECE})").alias("piece"))
     found = cuts.orderBy(F.xxhash64("doc_id", "k", "piece")).limit(pieces).select("piece").toArrow()
     try:
@@ -130,14 +131,15 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, pa
     """
     spark = docs.sparkSession
     width = 2 if max(len(token_chunks.load(tokenizer_path).begins), end_id + 1) <= 1 << 16 else 4
-    ids = materialize(encoded(docs, tokenizer_path, end_id, width), "ids")
-    dictionary = train_dictionary(ids)
+    sample = hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), "doc_id", SAMPLE_DOCS)
+    dictionary = train_dictionary(encoded(sample, tokenizer_path, end_id, width))
     with open_output(f"{folder}/dictionary.zstd") as f:
         f.write(dictionary)
+    ids = materialize(encoded(docs, tokenizer_path, end_id, width, dictionary), "frames")
     shared = spark.sparkContext.broadcast(dictionary)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["doc_id", "text_hash", "salt"]  # the latter two for rows that repeat a doc_id: they may be many
-    rows = ids.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    rows = ids.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "n_ids", "ids")
 
     def run(batches):
         import uuid
@@ -145,19 +147,18 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, pa
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, pack = TaskContext.get().partitionId(), codec(shared.value)[0].compress
+        part = TaskContext.get().partitionId()
         path, out, index, at, before, nulls = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok", None, [], HEAD_BYTES, 0, 0
         for batch in batches:
             if batch.num_rows and out is None:
                 out = open_output(path)
                 out.write(struct.pack(HEAD, MAGIC, 1, width, hashlib.sha256(shared.value).digest()))
-            for doc, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                frame = pack(raw)
+            for doc, n_ids, frame in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 out.write(frame)
                 nulls += doc is None
-                index.append((doc or 0, before, len(raw) // width, at, len(frame)))
+                index.append((doc or 0, before, n_ids, at, len(frame)))
                 at += len(frame)
-                before += len(raw) // width
+                before += n_ids
         if out is not None:
             raw = np.array(index, dtype="<i8").tobytes()
             out.write(raw + struct.pack(FOOT, len(index), nulls, at, zlib.crc32(raw), MAGIC))
