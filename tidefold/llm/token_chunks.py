@@ -33,10 +33,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # for texts without their strings, where the search for them is spared
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.begins = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # the library's sign for a space
+        self.path, self.with_special = path, None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = [t for t in self.special if " " in t]
         self.after_space: dict[str, bytes] = {}
@@ -47,6 +49,14 @@ class ChunkEncoder:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text that holds the string of a special token."""
+        if self.with_special is None:
+            self.with_special = type(self.tokenizer).from_file(self.path)
+            self.with_special.no_padding()
+            self.with_special.no_truncation()
+        return array("I", self.with_special.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _learn(self, chunks: list[str]) -> None:
         """Put the ids of chunks that follow a space into the cache."""
         blocks = [chunks[i:i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
@@ -70,15 +80,17 @@ class ChunkEncoder:
         out = []
         for text, words in zip(texts, split, strict=True):
             try:
-                out.append(self.at_start[words[0]] + b"".join(map(get, words[1:])) if words else next(self._ids([text])))
+                out.append(self.at_start[words[0]] + b"".join(map(get, words[1:])) if words else self._whole(text))
             except KeyError:
                 out.append(next(self._ids([text])))
         for kept, entered in ((self.at_start, first), (self.after_space, new)):
-            for w in entered:
-                if len(w) > LONGEST:
-                    del kept[w]
-                else:
-                    self.held += ENTRY_BYTES + 3 * len(w)
+            sizes = list(map(len, entered))
+            self.held += ENTRY_BYTES * len(sizes) + 3 * sum(sizes)
+            if sizes and max(sizes) > LONGEST:
+                for w in entered:
+                    if len(w) > LONGEST:
+                        del kept[w]
+                        self.held -= ENTRY_BYTES + 3 * len(w)
         if self.held > CACHE_BYTES:
             self.after_space.clear()
             self.at_start.clear()
