@@ -86,8 +86,8 @@ def test_what_a_worker_keeps_is_bounded(monkeypatch):
     for k in range(60):
         some = ["".join(rng.choice("日本語漢字") for _ in range(300)) for _ in range(20)] + [f"w{k}{i} v{i * k}" for i in range(20)]
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some)] == library_ids(some)
-        most = max(most, len(encoder.at_start) + len(encoder.after_space))
-        assert not any(len(w) > token_chunks.LONGEST for w in [*encoder.at_start, *encoder.after_space])
+        most = max(most, len(encoder.at_start) + len(encoder.after_space) + len(encoder.older))
+        assert not any(len(w) > token_chunks.LONGEST for w in [*encoder.at_start, *encoder.after_space, *encoder.older])
     assert most <= 20_000 // token_chunks.ENTRY_BYTES + 40
 
 

@@ -7,7 +7,8 @@ at a time, in one text: a token that begins with a space then begins a chunk.  T
 is followed by white space or by nothing go to the library whole, and so do texts that hold the
 string of a special token, which the library takes for that token.
 
-What a worker keeps is bounded by bytes, and chunks above `LONGEST` characters (texts without
+What a worker keeps is bounded by bytes: when half of them are used, what was kept before the half is
+forgotten, but for chunks that have come up again since.  Chunks above `LONGEST` characters (texts without
 spaces) aren't kept at all.
 """
 
@@ -43,6 +44,7 @@ class ChunkEncoder:
         self.spaced = [t for t in self.special if " " in t]
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what followed a space before the last half of the cache
         self.held = 0
 
     def _ids(self, texts: list[str]):
@@ -74,8 +76,11 @@ class ChunkEncoder:
         plain = [w for w in split if w]
         first = list({w[0] for w in plain}.difference(self.at_start))
         self.at_start.update(zip(first, self._ids(first), strict=True))
-        new = [w for w in set(chain.from_iterable([w[1:] for w in plain])).difference(self.after_space) if w and not w[0].isspace()]
-        self._learn(new)
+        new = set(chain.from_iterable([w[1:] for w in plain])).difference(self.after_space)
+        again = new.intersection(self.older)
+        self.after_space.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        fresh = [w for w in new.difference(again) if w and not w[0].isspace()]
+        self._learn(fresh)
         get = self.after_space.__getitem__
         out = []
         for text, words in zip(texts, split, strict=True):
@@ -83,7 +88,7 @@ class ChunkEncoder:
                 out.append(self.at_start[words[0]] + b"".join(map(get, words[1:])) if words else self._whole(text))
             except KeyError:
                 out.append(next(self._ids([text])))
-        for kept, entered in ((self.at_start, first), (self.after_space, new)):
+        for kept, entered in ((self.at_start, first), (self.after_space, [*again, *fresh])):
             sizes = list(map(len, entered))
             self.held += ENTRY_BYTES * len(sizes) + 3 * sum(sizes)
             if sizes and max(sizes) > LONGEST:
@@ -91,10 +96,8 @@ class ChunkEncoder:
                     if len(w) > LONGEST:
                         del kept[w]
                         self.held -= ENTRY_BYTES + 3 * len(w)
-        if self.held > CACHE_BYTES:
-            self.after_space.clear()
-            self.at_start.clear()
-            self.held = 0
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.after_space, self.at_start, self.held = self.after_space, {}, {}, 0
         return out
 
 
