@@ -149,6 +149,35 @@ def test_the_tables_branch(spark):
     assert max(deepest) >= 2
 
 
+def likely_group(spark, kept, seed):
+    """Classes whose members keep a share of a base's tokens, and what all their likely pairs connect."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, near_dup.TOKENS, dtype=np.uint8)
+    rest = rng.integers(0, 256, (len(kept), near_dup.TOKENS), dtype=np.uint8)
+    matrix = np.where(rng.random(rest.shape) < np.asarray(kept)[:, None], base, rest).astype(np.uint8)
+    rows = [(i, 100, [int(matrix[i, tree]) * 100 + tree for tree in range(near_dup.ROOTS)], matrix[i].tobytes()) for i in range(len(kept))]
+    parts = graph.Parts(len(kept))
+    near_dup.likely_pairs(matrix, np.full(len(kept), 100), np.arange(len(kept)), parts)
+    return spark.createDataFrame(rows, "cid long, n_shingles long, roots array<long>, tokens binary"), parts.of
+
+
+@pytest.mark.parametrize("block", [1000, 30])
+def test_rows_of_near_copies_do_not_multiply(spark, monkeypatch, block):
+    """Members that share most tokens stay in one node however often it branches; members that share few leave it."""
+    for name, value in (("TASK", 60), ("NODE_BLOCK", block)):
+        monkeypatch.setattr(near_dup, name, value)
+    made, plainly = [], near_dup.branch
+    monkeypatch.setattr(near_dup, "branch", lambda rows: made.append(plainly(rows).count()) or plainly(rows))
+    near = np.random.default_rng(4).beta(6, 2.2, 200)
+    for kept, most in ((near, 0), (np.full(200, 0.6), near_dup.ROOTS * 200 * 4)):
+        made.clear()
+        classes, parts = likely_group(spark, kept, 8)
+        edges = near_dup.likely_edges(classes)
+        labels = {r.node: r.label for r in graph.connected_components(edges).collect()}
+        assert sum(made) <= most and (most == 0 or sum(made) > 0)
+        assert [labels.get(i, i) for i in range(200)] == parts.tolist()
+
+
 def test_empty_table_and_keep_one(spark):
     frame = spark.createDataFrame([(2, "a b c d e f", "k", 1, 1), (1, "A B c d e f", "k", 1, 1), (3, "other words are here too", "k", 1, 1), (4, None, "k", 1, 1), (5, "", "k", 1, 1)], SCHEMA)
     assert near_dup.components(frame.where("false")).count() == 0

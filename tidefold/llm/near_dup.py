@@ -10,8 +10,10 @@
     (Jaccard distance is a metric), and then branches: each member goes to two children, by two
     more tokens that its path hasn't used.  Nodes above `TASK` members branch as tables, two levels
     at a time and spread over all tasks; from there on a task follows a node's branches to their
-    ends.  Members that a pivot has linked go down as linked.  What is still large after `LEVELS`
-    branchings is compared block against block.
+    ends.  Members that a pivot has linked go down as linked.  Near copies share most tokens, so
+    that rows would double faster than nodes shrink: a large node whose members share `DENSE` of
+    their tokens, and what is still large after `LEVELS` branchings, doesn't branch; blocks of
+    `NODE_BLOCK` members are compared exhaustively, inside and against each other.
 4.  The likely pairs span clusters.  In a cluster the full sets meet once: pairs that aren't
     connected yet are confirmed exactly.  Clusters above `CLUSTER` members are relieved by
     pivots in the same way, on exact distances, and then compared block against block.
@@ -50,6 +52,9 @@ LEVELS = 10
 CLUSTER = 250
 ROUNDS = 1  # of pivots for large clusters
 BLOCK = 125
+NODE_BLOCK = 8000  # members of a dense node that are compared at once, on one-byte tokens
+DENSE = 0.5  # a member goes to two children a level, so above this share of equal tokens a node's rows grow as it branches
+PROBES = 8  # members of a large node that show its density
 MEMBER_BYTES = 16 << 10  # of shingles; larger sets count as several members of a cluster
 LIKELY = 0.6  # the limit of 0.75 less four standard errors of the estimate from 128 tokens
 SLACK = 0.35  # link distance 0.25 and what estimates may err
@@ -252,14 +257,14 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
     return map_arrow(deal(rows.select("node", "tree", "place", "cid", "part", "n", "tokens"), "node"), run, "a long, b long")
 
 
-def compare_blocks(rows: DataFrame, key: str, members: str, judge, name: str) -> DataFrame:
+def compare_blocks(rows: DataFrame, key: str, members: str, most: int, judge, name: str) -> DataFrame:
     """Edges of groups too large for one task; judge(part of a batch, its labels, border) gives Parts.
 
-    The group's members (cid, part, ...) fall into ceil(members / BLOCK) blocks by hash.  Each block is first
+    The group's members (cid, part, ...) fall into ceil(members / most) blocks by hash.  Each block is first
     compared inside, which leaves it few labels, and then with every other block of its group across the border.
     """
-    columns, n = rows.columns, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    blocks = F.ceil(F.col(members) / BLOCK).cast("long")
+    columns, n = [c for c in rows.columns if c != members], max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    blocks = F.ceil(F.col(members) / most).cast("long")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(7)), blocks)).withColumn("block", F.xxhash64(key, "own"))
 
     def inside(batches):
@@ -319,13 +324,19 @@ def likely_edges(classes: DataFrame) -> DataFrame:
         large = entries.join(big, "node")
         large = large if level else large.join(facts, "cid")
         if level >= LEVELS:
-            of_pivots, entries = compare_blocks(large.select("node", "cid", "part", "n", "tokens", "members"), "node", "members", likely_blocks, "node-blocks"), None
+            of_pivots, entries = compare_blocks(large.select("node", "cid", "part", "n", "tokens", "members"), "node", "members", NODE_BLOCK, likely_blocks, "node-blocks"), None
         else:
             large = materialize(with_estimates(large), f"large-{level}")
+            dense = materialize(dense_nodes(large), f"dense-{level}")
             of_pivots = large.where((F.col("s") >= LIKELY) & (F.col("part") != F.col("pivot_part"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
             now = F.when(F.col("s") >= LIKELY, F.col("pivot_part")).otherwise(F.col("part"))
-            entries = materialize(branch(relieve(large.withColumn("part", now), LIKELY, SLACK)), f"entries-{level + 2}")
-            done.append(large)
+            left = relieve(large.withColumn("part", now), LIKELY, SLACK)
+            if dense.limit(1).count():
+                whole = F.broadcast(dense) if small_enough(dense, MOST_PIVOTS) else dense
+                of_pivots = of_pivots.unionByName(compare_blocks(left.join(whole, "node").select("node", "cid", "part", "n", "tokens", "members"), "node", "members", NODE_BLOCK, likely_blocks, f"dense-blocks-{level}"))
+                left = left.join(whole, "node", "left_anti")
+            entries = materialize(branch(left), f"entries-{level + 2}")
+            done += [large, dense]
         edges = of_pivots if edges is None else edges.unionByName(of_pivots)
         if entries is None:
             break
@@ -353,6 +364,23 @@ def with_estimates(large: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "node long, tree int, place int, cid long, part long, n long, pivot long, pivot_part long, tokens binary, s double")
 
 
+def dense_nodes(large: DataFrame) -> DataFrame:
+    """node, members of the nodes where two of PROBES members share DENSE of their tokens on average."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                probes = token_matrix(batch.column("probes")).reshape(-1, PROBES, TOKENS)
+                share = np.mean([(probes[:, i] == probes[:, j]).mean(axis=1) for i in range(PROBES) for j in range(i)], axis=0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(share, pa.float64())], names=["node", "members", "share"])
+
+    probes = [F.min_by("tokens", F.xxhash64("cid", F.lit(k))) for k in range(PROBES)]
+    nodes = large.groupBy("node").agg(F.count("*").alias("members"), F.concat(*probes).alias("probes"))
+    return map_arrow(nodes, run, "node long, members long, share double").where(F.col("share") >= DENSE).select("node", "members")
+
+
 def relieve(rows: DataFrame, linked: float, slack: float, key: str = "node") -> DataFrame:
     """Without the members whose links the pivot settles.
 
@@ -496,7 +524,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
         large = tagged.where(F.col("members").isNotNull())
         more = large_sizes.limit(1).count() > 0
         if more and level == ROUNDS:
-            edges = edges.unionByName(compare_blocks(large.select(*columns, "members"), "cluster", "members", confirmed, "cluster-blocks"))
+            edges = edges.unionByName(compare_blocks(large.select(*columns, "members"), "cluster", "members", BLOCK, confirmed, "cluster-blocks"))
         elif more:
             pivots = large.where(F.col("cid") == F.col("pivot")).groupBy("cluster").agg(F.first("shingles").alias("of_pivot"))
             met = large.join(pivots, "cluster").select("cluster", "cid", "pivot", "tokens", "shingles", "of_pivot")
