@@ -178,6 +178,26 @@ def test_rows_of_near_copies_do_not_multiply(spark, monkeypatch, block):
         assert [labels.get(i, i) for i in range(200)] == parts.tolist()
 
 
+def test_blocks_of_a_cluster_hold_as_many_short_sets_as_fit(spark, monkeypatch):
+    for name, value in (("CLUSTER", 10), ("BLOCK", 4)):
+        monkeypatch.setattr(near_dup, name, value)
+    rng, blocks, plainly = random.Random(6), [], near_dup.compare_blocks
+
+    def noted(rows, key, members, most, judge, name):
+        if name == "cluster-blocks":
+            blocks.append((rows.count(), rows.agg({members: "max"}).first()[0] / most))
+        return plainly(rows, key, members, most, judge, name)
+
+    monkeypatch.setattr(near_dup, "compare_blocks", noted)
+    base = words(rng, 100)
+    rows = [(i, " ".join(mutate(rng, base, rng.randint(1, 5)))) for i in range(60)]
+    for size in (near_dup.MEMBER_BYTES, 200):  # sets of some 800 bytes: small, then large
+        monkeypatch.setattr(near_dup, "MEMBER_BYTES", size)
+        assert found(spark, rows) == plain(rows)
+    (n, short), (m, long) = blocks
+    assert n == m > 32 and short <= n / 16 + 1 and long >= n * 600 / 200 / 4
+
+
 def test_empty_table_and_keep_one(spark):
     frame = spark.createDataFrame([(2, "a b c d e f", "k", 1, 1), (1, "A B c d e f", "k", 1, 1), (3, "other words are here too", "k", 1, 1), (4, None, "k", 1, 1), (5, "", "k", 1, 1)], SCHEMA)
     assert near_dup.components(frame.where("false")).count() == 0

@@ -52,6 +52,7 @@ LEVELS = 10
 CLUSTER = 250
 ROUNDS = 1  # of pivots for large clusters
 BLOCK = 125
+SHORT = 4  # times as many members fit a block if their sets are as much smaller than MEMBER_BYTES
 NODE_BLOCK = 8000  # members of a dense node that are compared at once, on one-byte tokens
 DENSE = 0.5  # a member goes to two children a level, so above this share of equal tokens a node's rows grow as it branches
 PROBES = 8  # members of a large node that show its density
@@ -516,7 +517,8 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
     columns, found, rows = ["cluster", "cid", "part", "tokens", "shingles"], None, rows.withColumn("part", F.col("cid"))
     for level in range(ROUNDS + 1):
         bulk = F.ceil(F.sum(F.octet_length("shingles")) / MEMBER_BYTES).cast("long")
-        sizes = rows.groupBy("cluster").agg(F.greatest(F.count("*"), bulk).alias("members"), F.min("cid").alias("pivot"))
+        load = F.greatest(F.ceil(F.count("*") / SHORT).cast("long"), bulk)
+        sizes = rows.groupBy("cluster").agg(F.greatest(F.count("*"), bulk).alias("members"), load.alias("load"), F.min("cid").alias("pivot"))
         large_sizes = materialize(sizes.where(F.col("members") > CLUSTER), f"large-clusters-{level}")
         few = small_enough(large_sizes, MOST_PIVOTS)
         tagged = rows.join(F.broadcast(large_sizes) if few else large_sizes, "cluster", "left")
@@ -524,7 +526,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
         large = tagged.where(F.col("members").isNotNull())
         more = large_sizes.limit(1).count() > 0
         if more and level == ROUNDS:
-            edges = edges.unionByName(compare_blocks(large.select(*columns, "members"), "cluster", "members", BLOCK, confirmed, "cluster-blocks"))
+            edges = edges.unionByName(compare_blocks(large.select(*columns, "load"), "cluster", "load", BLOCK, confirmed, "cluster-blocks"))
         elif more:
             pivots = large.where(F.col("cid") == F.col("pivot")).groupBy("cluster").agg(F.first("shingles").alias("of_pivot"))
             met = large.join(pivots, "cluster").select("cluster", "cid", "pivot", "tokens", "shingles", "of_pivot")
