@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,62 @@ def test_reservations_in_order(spark, tmp_path):
     assert len(list((tmp_path / "r").iterdir())) == 1
 
 
+def decided_one_by_one(rows, initial):
+    """(row, verdict) of (sku, order_id, token, qty, lsn) in order of arrival; sums and highest tokens pass over nulls."""
+    left, highest, out = {}, {}, []
+    for sku, order, token, qty, lsn in sorted(rows, key=lambda r: [(v is not None, v) for v in (r[4], r[1], r[0], r[2], r[3])]):
+        stock, top = left.get(sku, initial), highest.get(order)
+        verdict = "skipped" if None not in (top, token) and token <= top else "insufficient stock" if qty is not None and stock < qty else "applied"
+        if verdict == "applied":
+            left[sku] = stock - (qty or 0)
+            highest[order] = token if top is None else max(top, top if token is None else token)
+        out.append(((sku, order, token, qty, lsn), verdict))
+    return sorted(out, key=str)
+
+
+RESERVATION = "sku string, order_id string, token long, qty long, lsn long"
+
+
+def test_reservations_of_odd_rows_are_those_of_deciding_one_by_one(spark, tmp_path):
+    draw = random.Random(45)
+    some = lambda *values: draw.choice(values)
+    tables = {
+        "empty": [],
+        "hot sku": [("s", f"o{n % 150}", draw.randint(1, 5), draw.randint(1, 9), n) for n in range(600)],
+        "hot order": [(f"s{n % 150}", "o", draw.randint(1, 500), draw.randint(1, 9), n) for n in range(600)],
+        "tangle": [(f"s{draw.randint(0, 9)}", f"o{draw.randint(0, 30)}", draw.randint(1, 9), draw.randint(1, 9), draw.randint(0, 40)) for _ in range(600)],
+        "odd": [(some("a", "b", "", None), some("x", "y", "z", None), some(None, *range(-3, 60)), some(None, *range(-4, 15)), some(None, *range(300))) for _ in range(600)],
+        "repeats": [("s", "o", 2, 6, 1)] * 5 + [("s", "p", 1, 6, 1)] * 5 + [("t", "o", 2, 6, 1)] * 5,
+    }
+    for name, rows in tables.items():
+        found = handlers.reservations_in_order(spark.createDataFrame(rows, RESERVATION), 25, ["lsn"], f"file://{tmp_path}/{name}")
+        assert found.columns == ["sku", "order_id", "token", "qty", "lsn", "verdict"]
+        assert sorted(((tuple(r)[:5], r.verdict) for r in found.collect()), key=str) == decided_one_by_one(rows, 25), name
+
+
+def test_reservations_of_fractions(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "o1", 1, 1), ("s", "o2", 1, 2), ("s", "o3", 1, 3)], "sku string, order_id string, token int, lsn long").withColumn("qty", F.lit(1.25))
+    for kind in ("decimal(9, 2)", "double"):
+        found = handlers.reservations_in_order(rows.withColumn("qty", F.col("qty").cast(kind)), 3, ["lsn"], f"file://{tmp_path}/{kind[:3]}").orderBy("lsn").collect()
+        assert [r.verdict for r in found] == ["applied", "applied", "insufficient stock"]
+
+
+def test_long_chains_of_reservations_move_few_rows(spark, tmp_path):
+    """A chain through twelve orders and skus, beside attempts that are settled at once, and these alone."""
+    alone = [(f"a{n}", f"b{n}", 1, 1, n) for n in range(20_000)]
+    chain = [r for k in range(12) for r in ((f"s{k}", f"o{k}", 2, 6, 30_000 + 2 * k), (f"s{k + 1}", f"o{k}", 1, 6, 30_001 + 2 * k))]
+
+    def moved(rows, name):
+        context = spark.sparkContext._jsc.sc()
+        written = lambda: context.listenerBus().waitUntilEmpty() or context.statusStore().executorSummary("driver").totalShuffleWrite()
+        before = written()
+        found = handlers.reservations_in_order(spark.createDataFrame(rows, RESERVATION), 10, ["lsn"], f"file://{tmp_path}/{name}")
+        assert sorted(((tuple(r)[:5], r.verdict) for r in found.collect()), key=str) == decided_one_by_one(rows, 10)
+        return written() - before
+
+    assert moved(alone + chain, "chain") < 1.5 * moved(alone, "alone")
+
+
 def test_records_make_jobs(spark):
     ns = 10**9
     start = {"job_id": "a", "type": "t", "queue": "q", "payload": b"{}", "priority": 1, "state": "pending", "attempt": 0, "max_attempts": 3, "run_at_ns": ns, "lease_expiry_ns": None, "lease_token": 0, "worker_id": None, "cancel_req": False, "last_error": "", "idem_key": None, "created_at_ns": ns, "updated_at_ns": ns}

@@ -115,26 +115,73 @@ def reservations_in_order(attempts: DataFrame, initial: int, order: list[str], f
 
     An attempt is skipped where its order has one with the same or a higher token applied, whatever the
     sku; it fails for good where its sku's stock is short.  So each decision depends on earlier ones of its
-    order and of its sku.  All are decided at once from the verdicts of the round before, by two windows,
-    until a round changes none: after k rounds the first k decisions of any chain are final, so the result
-    is that of deciding one by one.  Rounds are tables below `folder`."""
-    spark = attempts.sparkSession
-    before = lambda by: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.col("verdict") == "applied"
-    highest, spent = F.max(F.when(used, F.col("token"))).over(before("order_id")), F.sum(F.when(used, F.col("qty"))).over(before("sku"))
-    verdict = F.when(F.coalesce(F.col("token") <= highest, F.lit(False)), "skipped").when(initial - F.coalesce(spent, F.lit(0)) < F.col("qty"), "insufficient stock").otherwise("applied")
-    rows, turn, old = attempts.withColumn("verdict", F.lit("none")), 0, None
+    order and of its sku.  A round settles what follows from what is settled: by order which open attempts
+    are skipped and which can't be, then by sku which of the latter the stock suffices for, whatever becomes of open
+    ones before them.  After k rounds the first k decisions of any chain are settled, as is most else, so the
+    result is that of deciding one by one.  Only open attempts go on to the next round, with the highest
+    token and the quantity applied before them, and once those just applied that attempts of their order wait for.
+    Rounds are parts of one table below `folder`; ties of `order` go by order_id, sku, token and qty."""
+    spark, table, turn = attempts.sparkSession, f"{folder}/rounds", 0
+    token, total = attempts.schema["token"].dataType, attempts.agg(F.sum("qty").alias("spent")).schema["spent"].dataType
+    more = {"verdict": T.StringType(), "place": T.IntegerType(), "floor": token, "spent": total, "part": T.StringType()}
+    schema = T.StructType([*attempts.schema, *(T.StructField(n, t) for n, t in more.items())])
+    rows = attempts.withColumns({"verdict": F.lit(None).cast("string"), "floor": F.lit(None).cast(token), "spent": F.lit(0).cast(total)})
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("order_id").orderBy(*order, "sku", "token", "qty")))
     while True:
-        path = f"{folder}/{turn}"
-        rows.withColumn("after", verdict).withColumn("moved", F.col("after") != F.col("verdict")).drop("verdict").withColumnRenamed("after", "verdict").write.parquet(path)
-        done = spark.read.parquet(path)
-        rows, moved = done.drop("moved"), done.where("moved").limit(1).count() > 0
-        if old:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        path = f"{table}/round={turn}"
+        by_sku = _by_order(rows).repartition("sku").sortWithinPartitions("sku", *order, "order_id", "place")
+        by_sku.mapInArrow(_by_sku(initial, schema), schema).write.partitionBy("part").parquet(path)
+        if turn:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/round={turn - 1}/part=open")
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        if not moved:
-            return rows
-        old, turn = path, turn + 1
+        rows = spark.read.schema(schema).parquet(path).where(F.col("part") != "settled")
+        if rows.where(F.col("part") == "open").isEmpty():
+            return spark.read.schema(schema).parquet(table).where(F.col("part") != "open").select(*attempts.columns, "verdict")
+        rows, turn = rows.drop("part"), turn + 1
+
+
+def _by_order(rows: DataFrame) -> DataFrame:
+    """Open attempts: skipped ones, else the highest token applied before them (`floor`), whether they can't be
+    skipped (`free`), and whether open ones that can be may wait for them (`awaited`)."""
+    order = Window.partitionBy("order_id")
+    before = order.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    token, is_open = F.col("token"), F.col("verdict").isNull()
+    highest = lambda which: F.max(F.when(which, token)).over(before)
+    rows = rows.withColumns({"floor": F.greatest("floor", highest(~is_open)), "ceiling": highest(is_open)})
+    skipped, free = F.coalesce(token <= F.col("floor"), F.lit(False)), F.coalesce(token > F.greatest("floor", "ceiling"), F.lit(True))
+    rows = rows.withColumn("free", free).withColumn("after", F.when(is_open & skipped, "skipped").otherwise(F.col("verdict")))
+    waits = F.min(F.when(F.col("after").isNull() & ~F.col("free"), token)).over(order)
+    rows = rows.withColumn("awaited", F.coalesce(token >= waits, F.lit(False))).where(is_open)
+    return rows.drop("ceiling", "verdict").withColumnRenamed("after", "verdict")
+
+
+def _by_sku(initial: int, schema: T.StructType) -> Callable:
+    """A pass over attempts sorted by sku and arrival that holds one sku's bounds."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sku, known = None, False
+        for batch in batches:
+            verdicts, spents, parts = [], [], []
+            for s, qty, verdict, spent, free, awaited in zip(*[batch.column(n).to_pylist() for n in ("sku", "qty", "verdict", "spent", "free", "awaited")], strict=True):
+                if s != sku or not known:
+                    sku, known, applied, low, high = s, True, 0, 0, 0  # applied in this pass; the least and most that open ones may add
+                if verdict is None:
+                    left, spent = initial - spent - applied, spent + applied
+                    if free and (qty is None or left - high >= qty):
+                        verdict, applied = "applied", applied + (qty or 0)
+                    elif qty is not None and left - low < qty:
+                        verdict = "insufficient stock" if free else None  # not applied in any case
+                    else:
+                        low, high = low + min(qty or 0, 0), high + max(qty or 0, 0)
+                verdicts.append(verdict)
+                spents.append(spent if verdict is None else None)
+                parts.append("open" if verdict is None else "awaited" if awaited and verdict == "applied" else "settled")
+            new = {"verdict": pa.array(verdicts, pa.string()), "spent": pa.array(spents, batch.column("spent").type), "part": pa.array(parts, pa.string())}
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in schema.names], names=schema.names)
+
+    return run
 
 
 def first_capture(attempts: DataFrame, order: list[str]) -> DataFrame:
