@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidefold.plans import catalog
+from tidefold.plans import catalog, views
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -49,6 +49,22 @@ def test_reservations_against_a_plain_loop(spark, sf):
     assert {v for _, v in found} == {"applied", "skipped", "insufficient stock"}
 
 
+def test_attempts_of_a_type_leave_other_lines_out_before_the_join(spark, sf, monkeypatch):
+    whole = catalog.attempts_v(spark, sf).where("type = 'inventory.reserve'")
+    for words in (views.MOST_WORDS, 1):  # the second has too many words, so that all lines go to the join
+        monkeypatch.setattr(views, "MOST_WORDS", words)
+        found = catalog.attempts_v(spark, sf, "inventory.reserve")
+        assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+
+
+@pytest.mark.parametrize("ids", [[], [None], [0, 1, 63, 64, 64, -1, -64, -65, 2**63 - 1, -(2**63), 10**12, None]])
+def test_lines_of_some_orders(spark, ids):
+    near = sorted({max(min(i + k, 2**63 - 1), -(2**63)) for i in ids if i is not None for k in (-64, -1, 0, 1, 64)})
+    lines = spark.createDataFrame([(i,) for i in [*near, *near, 7, None]], "l_orderkey long")
+    orders = spark.createDataFrame([(i,) for i in ids], "o_orderkey long")
+    assert sorted(r[0] for r in views.lines_of(lines, orders).collect()) == sorted(2 * [*{i for i in ids if i is not None}])
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
 

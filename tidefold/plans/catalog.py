@@ -509,7 +509,7 @@ ARRIVAL = ["amount_cents", "order_id", "token"]
       FROM r WHERE moved))
   SELECT sku, verdict, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM r WHERE NOT moved GROUP BY sku, verdict""")
 def q45(spark, d):
-    attempts = attempts_v(spark, d).where(F.col("type") == JOB_TYPES[1]).select("order_id", "sku", "token", "qty", "amount_cents")
+    attempts = attempts_v(spark, d, JOB_TYPES[1]).select("order_id", "sku", "token", "qty", "amount_cents")
     rows = handlers.reservations_in_order(attempts, STOCK, ARRIVAL, scratch(spark, "reservations"))
     return rows.groupBy("sku", "verdict").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
 
